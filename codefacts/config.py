@@ -1,0 +1,15 @@
+"""Options of a run."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Roots and limits. Results never depend on the order of the input."""
+
+    project_root: str = "/proj"
+    build_root: str = "/proj/build"
+    timeout_seconds: int = 300
+    strict_reference: bool = False
