@@ -1,4 +1,5 @@
 """All registered queries of the engine and their SQL twins."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from codefacts.queries import ORACLE_SQL, QUERIES, building, merging, navigating, scalars
+
+__all__ = ["ORACLE_SQL", "QUERIES", "building", "merging", "navigating", "scalars"]
