@@ -105,12 +105,12 @@ def format_options(lines: DataFrame) -> DataFrame:
     return own.select("relative_path", F.explode(F.split(F.substr("text", F.lit(19)), "[, ]+")).alias("option")).where("option <> ''").distinct()
 
 
-def read_shards(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_shards(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows of readable shards, names of the others). Shards are Parquet files of units; an unreadable one is passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     good = (F.substring("content", 1, 4) == F.lit(b"PAR1")) & (F.octet_length("content") > 12)
     bad = files.where(~good).select("path")
-    return spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(root), bad
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(root), bad
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
