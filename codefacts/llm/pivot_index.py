@@ -1,7 +1,7 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-A vector is described by its nearest pivots in order (pivots are a bounded sample of the vectors; their number follows the
-square root of the number of different vectors). Each pivot has an inverted list of the vectors that name it. Vectors on
+A vector is described by its nearest pivots in order (pivots are a bounded, spread sample of the vectors; their number follows
+the square root of the number of different vectors). Each pivot has an inverted list of the vectors that name it. Vectors on
 a list are compared by the number of pivots that they share; those that share enough are verified by cosine in double
 precision. A pair that shares several lists is verified on the one with the smallest pivot only.
 
@@ -29,15 +29,27 @@ ADDED = ("n_links", "component_id", "kept")
 DESCRIBED = "vec_id bigint, label string, dims int, n bigint, unit array<double>, near array<int>"
 
 
+def spread(units: np.ndarray, most: int, apart: float = 0.95) -> np.ndarray:
+    """At most `most` of the unit vectors, each the farthest from those before it, while one has a cosine below `apart` to them all."""
+    chosen, near = [0], units @ units[0]
+    while len(chosen) < most and near.min() < apart:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, units @ units[chosen[-1]])
+    return units[chosen]
+
+
 def choose_pivots(classes: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Unit pivots by number of components: 2 * sqrt(classes) vectors, at most `most`, in the order of a hash of their ids."""
+    """Unit pivots by number of components: up to m = 2 * sqrt(classes) (at most `most`) from 4 * m vectors in the order of a hash.
+
+    Pivots stand apart, so the vectors of a tight cluster have the same pivots in nearly the same order.
+    """
     m = max(16, min(most, math.ceil(2 * math.sqrt(classes.count()))))
-    rows = classes.orderBy(F.xxhash64("vec_id"), "vec_id", "label").select("vector").limit(m).collect()
+    rows = classes.orderBy(F.xxhash64("vec_id"), "vec_id", "label").select("vector").limit(4 * m).collect()
     out: dict[int, list] = {}
     for (v,) in rows:
         x = np.array(v, np.float64)
         out.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    return {k: np.stack(v) for k, v in out.items()}
+    return {k: spread(np.stack(v), m) for k, v in out.items()}
 
 
 def nearest(units: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
@@ -85,7 +97,7 @@ def links(rows: pd.DataFrame, pivot: int, first: int, second: int, least: float,
     return pd.DataFrame({"vec_id": ids[some], "links": count[some], "root": ids[root[some]]})
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 8, shared: int = 2, most_pivots: int = 1024, block_rows: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 12, shared: int = 2, most_pivots: int = 1024, block_rows: int = 512) -> DataFrame:
     """vectors with n_links (rows linked directly), component_id and kept, for links of cosine >= least within a label."""
     vectors = vectors.drop(*ADDED)
     v = F.col("embedding")
