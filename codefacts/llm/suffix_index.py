@@ -1,17 +1,19 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 Which suffixes. A suffix array over every byte would be several times the size of the corpus, so suffixes are sampled by
-content: in each run of 200 bytes, the suffix whose first 50 bytes have the smallest hash (leftmost of equals) stands for
-the run. Equal runs choose alike, wherever they are, so no long match is lost, and about one suffix in 76 bytes remains.
-A suffix is held by the 64-bit fingerprint of its first 50 bytes, and an array keeps its suffixes in the order of these.
+content: in each run of 200 bytes, the suffix whose first 80 bytes have the smallest hash (leftmost of equals) stands for
+the run. Equal runs choose alike, wherever they are, so no long match is lost, and about one suffix in 61 bytes remains.
+A suffix is held by the 64-bit fingerprint of its first 80 bytes, and an array keeps its suffixes in the order of these.
 
 The family. Documents come in batches. Each batch gets an array of its own, which is scanned side by side with each array of
 the family for suffixes that both hold; then arrays of equal rank are merged, from the smallest up, as in a binary counter,
 so that a suffix is rewritten a logarithmic number of times. What a batch holds twice by itself counts as a match too.
 
-From suffixes to bytes. A matching suffix stands for up to 151 runs of 200 bytes. If another suffix of its kind stands for
-the very same bytes, all its runs repeat. Only where matches begin or end is each run hashed and counted by itself (with one
-copy of every other kind of the same suffix to compare with). Fingerprints and run hashes are compared together, 128 bits.
+From suffixes to bytes. A matching suffix stands for up to 121 runs of 200 bytes. If another suffix of its kind stands for
+the very same bytes, all its runs repeat. Where matches begin or end, its runs are looked at by eights: eight neighbours share
+193 bytes, and if these don't repeat, none of the eight does; if all their bytes repeat, all eight do; otherwise each run is
+hashed and counted by itself. At each step one copy of every kind stays in to compare with. Fingerprints and further hashes
+are compared together, 128 bits.
 
 Defined results. Every row is a document of its own, repeated rows included. A null text is empty; texts under 200 bytes
 lose nothing. Matches never cross rows. Added columns replace input columns of the same names.
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm.buffers import Spans, chunks, utf8
+from codefacts.llm.buffers import Spans, chunks, mix, utf8
 from codefacts.llm.common import cut
 
-PREFIX, LENGTH = 50, 200
+PREFIX, LENGTH, EIGHT = 80, 200, 8
 ADDED = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
 SEGMENT = 8 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -47,7 +49,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
-    """The sampled suffixes of a buffer of texts: row, first run's start in the row, further runs, fingerprint, hash of all bytes of its runs."""
+    """The sampled suffixes of a buffer of texts: row, first run's start in the row, further runs, start of the suffix after that of the first run, fingerprint, hash of all bytes of its runs."""
     parts = []
     for base in range(0, max(len(data) - length + 1, 0), SEGMENT):
         piece = data[base : base + SEGMENT + length - 1]
@@ -59,9 +61,9 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, prefix:
         good = run + length <= offsets[row + 1]
         first = np.flatnonzero(good & np.concatenate(([True], (at[1:] != at[:-1]) | ~good[:-1])))
         last = np.flatnonzero(good & np.concatenate(((at[1:] != at[:-1]) | ~good[1:], [True])))
-        parts.append((row[first], run[first] - offsets[row[first]], last - first, prefixes[at[first]], spans.hash(first, last + length)))
+        parts.append((row[first], run[first] - offsets[row[first]], last - first, at[first] - first, prefixes[at[first]], spans.hash(first, last + length)))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -73,35 +75,47 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         part = batch.column(1).to_numpy(zero_copy_only=False)
         for start, _, data, offsets in chunks(batch.column(0)):
-            row, _, _, prints, _ = sampled(data, offsets)
+            row, _, _, _, prints, _ = sampled(data, offsets)
             yield pa.RecordBatch.from_arrays([_signed(prints), pa.array(part[start + row], pa.int32())], ["fp", "part"])
 
 
+_PLACE = "k bigint, at int, more smallint, rel smallint"
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = batch.column(1).to_numpy(zero_copy_only=False)
         for start, _, data, offsets in chunks(batch.column(0)):
-            row, at, more, prints, whole = sampled(data, offsets)
-            yield pa.RecordBatch.from_arrays([_signed(prints), _signed(whole), pa.array(key[start + row]), pa.array(at.astype(np.int32)), pa.array(more.astype(np.int16))], ["fp", "whole", "k", "at", "more"])
+            row, at, more, rel, prints, whole = sampled(data, offsets)
+            own = [pa.array(at.astype(np.int32)), pa.array(more.astype(np.int16)), pa.array(rel.astype(np.int16))]
+            yield pa.RecordBatch.from_arrays([_signed(prints), _signed(whole), pa.array(key[start + row]), *own], ["fp", "whole", "k", "at", "more", "rel"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each run of the suffixes `edges` of each text."""
+def _opened(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The groups of `width` neighbouring runs of the suffixes `edges` of each text, counted back from the suffix: what all runs of
+    the group share (core), and the bytes of those that the suffix stands for (whole)."""
     for batch in batches:
-        keys, edges = batch.column(1).to_pylist(), batch.column(2)
+        keys = batch.column(1).to_numpy(zero_copy_only=False)
         for start, end, data, offsets in chunks(batch.column(0)):
-            hashes = Spans(data).windows(LENGTH)
-            own = edges.slice(start, end - start)
+            own = batch.column(2).slice(start, end - start)
             sizes, flat = np.diff(own.offsets.to_numpy()), own.flatten()
-            fp, at, more = (flat.field(i).to_numpy() for i in range(3))
+            fp = flat.field(0).to_numpy()
+            at, more, rel = (flat.field(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
             row = np.repeat(np.arange(end - start), sizes)
-            n = more.astype(np.int64) + 1
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(at.astype(np.int64), n) + inner
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(fp, n)), _signed(hashes[np.repeat(offsets[row], n) + place]), pa.array(np.array(keys[start:end], np.int64)[np.repeat(row, n)]), pa.array(place.astype(np.int32))],
-                ["fp", "run", "k", "at"],
-            )
+            suffix = at + rel
+            low, high = (rel - more) // width, rel // width
+            n = high - low + 1
+            one = np.repeat(np.arange(len(n)), n)
+            group = low[one] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = np.maximum(at[one], suffix[one] - width * group - width + 1)
+            last = np.minimum((at + more)[one], suffix[one] - width * group)
+            base, spans = offsets[row[one]], Spans(data)
+            core_start = base + suffix[one] - width * group
+            core = spans.hash(core_start, core_start - width + 1 + LENGTH) if width > 1 else spans.hash(base + first, base + first + LENGTH)
+            core = mix(core + group.astype(np.uint64))
+            whole = mix(spans.hash(base + first, base + last + LENGTH) + (suffix[one] - first).astype(np.uint64))
+            place = [pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array((suffix[one] - first).astype(np.int16))]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), _signed(core), _signed(whole), pa.array(keys[start + row[one]]), *place], ["fp", "core", "whole", "k", "at", "more", "rel"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], text: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -155,25 +169,34 @@ class SuffixFamily:
         return cut(out.distinct(), "matched")
 
 
+def _settle(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pieces that repeat as they are, one copy of each kind of rows that agree in `by` but not in all their bytes)."""
+    kinds = cut(rows.groupBy(*by, "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "more", "rel")).alias("one")), "kinds")
+    many = rows.join(kinds.where("n > 1").select(*by, "whole"), [*by, "whole"], "left_semi")
+    mixed = kinds.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1").select(*by)
+    return many.select("k", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end")), kinds.join(mixed, by, "left_semi").select("fp", "one.*")
+
+
+def _open(keyed: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+    lists = edges.groupBy("k").agg(F.collect_list(F.struct("fp", "at", "more", "rel")).alias("edges"))
+    texts = keyed.join(lists, "k").select("text", "k", "edges")
+    return texts.mapInArrow(lambda b: _opened(b, width), f"fp bigint, core bigint, whole bigint, {_PLACE}")
+
+
 def repeated_spans(docs: DataFrame, batches: int = 4) -> DataFrame:
     """Per document key k, the pieces [start, end) of it that repeated runs of 200 bytes cover (they may overlap)."""
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("k"))
     parts = keyed.select("text", F.pmod(F.xxhash64("k"), F.lit(batches)).cast("int").alias("part"))
-    sampled_once, family = cut(parts.mapInArrow(_prefixes, "fp bigint, part int"), "prefixes"), SuffixFamily(docs.sparkSession)
+    prints, family = cut(parts.mapInArrow(_prefixes, "fp bigint, part int"), "prefixes"), SuffixFamily(docs.sparkSession)
     for i in range(batches):
-        family.add(sampled_once.where(F.col("part") == i))
-    rows = keyed.mapInArrow(_suffixes, "fp bigint, whole bigint, k bigint, at int, more smallint")
-    rows = cut(rows.join(family.matched(), "fp", "left_semi"), "suffixes")
-    kinds = rows.groupBy("fp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "more")).alias("one"))
-    mixed = kinds.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp")
-    kinds = cut(kinds, "kinds")
-    many = rows.join(kinds.where("n > 1").select("fp", "whole"), ["fp", "whole"], "left_semi")
-    whole = many.select("k", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end"))
-    edges = kinds.join(mixed, "fp", "left_semi").groupBy("one.k").agg(F.collect_list(F.struct("fp", F.col("one.at"), F.col("one.more"))).alias("edges"))
-    runs = cut(keyed.join(edges, "k").select("text", "k", "edges").mapInArrow(_runs, "fp bigint, run bigint, k bigint, at int"), "runs")
-    twice = runs.groupBy("fp", "run").count().where("count > 1").select("fp", "run")
-    single = runs.join(twice, ["fp", "run"], "left_semi").select("k", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    return whole.union(single)
+        family.add(prints.where(F.col("part") == i))
+    suffixes = keyed.mapInArrow(_suffixes, f"fp bigint, whole bigint, {_PLACE}").join(family.matched(), "fp", "left_semi")
+    pieces, edges = _settle(cut(suffixes, "suffixes"), ["fp"])
+    more, edges = _settle(cut(_open(keyed, edges, EIGHT), "eights"), ["fp", "core"])
+    runs = cut(_open(keyed, edges, 1), "runs")
+    twice = runs.groupBy("fp", "core").count().where("count > 1").select("fp", "core")
+    single = runs.join(twice, ["fp", "core"], "left_semi").select("k", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
+    return pieces.union(more).union(single)
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
