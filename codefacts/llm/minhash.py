@@ -1,15 +1,21 @@
 """MinHash near-dedup with tensored bands.
 
-A table key would take eight minhashes; 1024 tables of them 8192 minhashes a document. Tensoring forms each key as a pair:
-one of 32 half-keys of four minhashes from collection A with one of 32 from collection B, so 256 minhashes a document serve
-all 1024 tables. Two documents share a table when they share a half-key of A and one of B, so rows are looked up by
-the 32 half-keys of A and the half-keys of B are compared then: the 1024 keys are never written out. At a similarity of
-0.75 a pair is missed with a chance of about 1e-5, and less above.
+A table key would take twelve minhashes; 3136 tables of them 37,632 minhashes a document. Tensoring forms each key as a pair:
+one of 56 half-keys of six minhashes from collection A with one of 56 from collection B, so 672 minhashes a document serve
+all 3136 tables. Two documents share a table when they share a half-key of A and one of B. Rows are looked up by the
+half-keys of A first, and the pairs with half-keys of B are formed only for rows that are still open then. At a similarity of
+0.75 a pair is missed with a chance of about 3e-5, and less above; texts that share a fifth of their shingles meet in one
+pair of 70,000.
 
-Confirmation is on whole shingle sets (64-bit hashes of shingles). Documents with equal sets are one class from the start.
-The classes of a bucket aren't paired with each other: each class is first confirmed against the smallest class that most
-of its buckets have, the links give components, and only pairs of a bucket that stand in different components after
-that (and share a half-key of B) are confirmed too. No pair that could change a component is left out.
+Confirmation is on whole shingle sets (64-bit hashes of shingles). The members of a bucket aren't paired with each other:
+
+1. Documents with equal sets are one class from the start.
+2. Each class is confirmed against the smallest class that most of its buckets have. The links give components.
+3. Twice more, one member of each further component of a bucket is confirmed against one of its first component.
+4. Components that still share a table without being joined are confirmed in full: small ones pair by pair, large ones
+   by an inverted index of their members' shingles, built in blocks, which every member of the other component looks up.
+
+No pair that shares a table and could join two components is left out.
 
 Defined results. Null, empty and wordless texts have no shingles, link with nothing and are kept. A text of fewer than five
 words is one shingle. Rows that share a doc_id are one node; a row without doc_id links with nothing, and its
@@ -21,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +35,9 @@ from pyspark.sql import functions as F
 from codefacts.llm.buffers import ASCII_LOWER, Spans, chunks, mix, words
 from codefacts.llm.common import components, cut
 
-SHINGLE, ROWS, HALVES = 5, 4, 32
+SHINGLE, ROWS, HALVES = 5, 6, 56
+#: Components of at most SMALL classes are compared pair by pair; blocks of an index hold about BLOCK documents.
+SMALL, BLOCK, ROUNDS = 3, 512, 2
 _RNG = np.random.default_rng(75)
 _STEPS = _RNG.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 31, (2 * HALVES * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -64,8 +73,8 @@ def half_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(A, B): the 64-bit half-keys of one set for either collection; each depends on its position."""
     x = (own >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):
-        np.minimum(least, ((x[at : at + 4096] ^ _FLIPS) * _FACTORS).min(axis=1), out=least)
+    for at in range(0, len(x), 1024):
+        np.minimum(least, ((x[at : at + 1024] ^ _FLIPS) * _FACTORS).min(axis=1), out=least)
     joined = (least.reshape(2 * HALVES, ROWS).astype(np.uint64) * _JOIN).sum(axis=1, dtype=np.uint64)
     keys = mix(joined + np.arange(2 * HALVES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return keys[:HALVES], keys[HALVES:]
@@ -95,44 +104,107 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), _lists([s.view(np.uint64) for s in sets], np.int64)], ["doc_id", "items"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets have 100 * intersection >= percent * union.
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and shingle set (items) of the documents in ids (doc_id), built again from their texts."""
+    return docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, items array<bigint>")
 
-    Only the sets of documents in a pair are built again from their texts and shuffled.
-    """
-    asked = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "doc_id bigint, items array<bigint>"), "sets")
+
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets have 100 * intersection >= percent * union. Only sets of documents in a pair are shuffled."""
+    sets = cut(sets_of(docs, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "x", "items": "of_x"}), "x").join(sets.withColumnsRenamed({"doc_id": "y", "items": "of_y"}), "y")
     shared = F.size(F.array_intersect("of_x", "of_y"))
     return both.where(100 * shared >= percent * (F.size("of_x") + F.size("of_y") - shared)).select("x", "y").distinct()
 
 
+def look_up(queries: pd.DataFrame, base: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each query (x, items), one row of base (y, held) that is similar enough, if any: an inverted index over the items of base."""
+    found = []
+    if len(queries) and len(base):
+        sizes = base["held"].map(len).to_numpy()
+        items, owner = np.concatenate(base["held"].to_list()), np.repeat(np.arange(len(base)), sizes)
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order]
+        for x, own in zip(queries["x"], queries["items"], strict=True):
+            low, high = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+            n = high - low
+            places = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shared = np.bincount(owner[places], minlength=len(base))
+            good = np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared))
+            if len(good):
+                found.append((x, base["y"].iloc[good[0]]))
+    return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+
+
+def joined_by_index(docs: DataFrame, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """One link (x, y) at least for each pair of components (big, other) with a similar pair of members, and no false one.
+
+    members: c, x, n (members of c). Members of big are split into blocks, and so are all members that look them up, and
+    each pair of blocks is a group.
+    """
+    sets = cut(sets_of(docs, members.select(F.col("x").alias("doc_id"))), "index-sets").withColumnRenamed("doc_id", "x")
+    asked = pairs.join(members.select(F.col("c").alias("other"), "x"), "other").groupBy("big", "x").agg(F.lit(1).alias("one"))
+    asked_n = asked.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
+    held = members.join(asked_n, F.col("c") == F.col("big")).select("big", "x", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "q_blocks")
+    block = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = held.select("big", "blocks", "q_blocks").distinct()
+    queries = asked.join(sizes, "big").select("big", "x", block("q_blocks").alias("j"), every("blocks").alias("i")).join(sets, "x")
+    base = held.select("big", "x", block("blocks").alias("i"), every("q_blocks").alias("j")).join(sets, "x")
+    base = base.select("big", "i", "j", "x", "items").toDF("of", "of_i", "of_j", "y", "held")
+    return queries.groupBy("big", "i", "j").cogroup(base.groupBy("of", "of_i", "of_j")).applyInPandas(lambda q, b: look_up(q, b, percent), "x bigint, y bigint")
+
+
+def _overlapping(pairs: DataFrame, halves: DataFrame) -> DataFrame:
+    """pairs (x, y) that share a half-key of B."""
+    both = pairs.join(halves, "x").join(halves.withColumnsRenamed({"x": "y", "b": "b2"}), "y")
+    return both.where(F.arrays_overlap("b", "b2")).select("x", "y")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id)."""
     docs = docs.drop(*ADDED)
     whole = docs.select(F.col("doc_id").cast("long"), "text")
     signed = cut(whole.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures, SIGNATURE), "signatures")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_low", "set_high").agg(F.min("doc_id").alias("rep"))
-    member = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_low", "set_high").join(classes, ["n_shingles", "set_low", "set_high"]).select("doc_id", "rep"), "classes")
-    reps = member.where("doc_id = rep").select("doc_id").distinct()
-    keyed = signed.where("n_shingles > 0").join(reps, "doc_id", "left_semi")
+    by = ["n_shingles", "set_low", "set_high"]
+    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *by)
+    member = cut(some.join(some.groupBy(*by).agg(F.min("doc_id").alias("rep")), by).select("doc_id", "rep"), "classes")
+    keyed = signed.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     posting = keyed.select(F.explode("a").alias("key"), F.col("doc_id").alias("x"))
     buckets = posting.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).where("y < z").select("key", "y")
     posting = cut(posting.join(buckets, "key"), "postings")
-    chosen = posting.where("x <> y").groupBy("x", "y").count().groupBy("x").agg(F.max(F.struct("count", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
-    first = cut(confirmed(whole, cut(chosen, "pairs"), percent), "links")
-    found = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), "first")
-    placed = posting.select("key", "x").join(found.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component_id", "x")).drop("component_id")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    placed = cut(placed.join(open_keys, "key", "left_semi"), "open")
-    halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
-    pairs = placed.alias("p").join(placed.alias("q"), "key").where("p.x < q.x AND p.c <> q.c").select(F.col("p.x").alias("x"), F.col("q.x").alias("y")).distinct()
-    pairs = pairs.join(halves, "x").join(halves.withColumnsRenamed({"x": "y", "b": "b2"}), "y").where(F.arrays_overlap("b", "b2")).select("x", "y")
-    tried = chosen.select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x"))
-    second = confirmed(whole, cut(pairs.join(tried, ["x", "y"], "left_anti"), "more-pairs"), percent)
+    chosen = posting.where("x <> y").groupBy("x", "y").count().groupBy("x").agg(F.max(F.struct("count", (-F.col("y")).alias("y"))).alias("m"))
+    tried = cut(chosen.select((-F.col("m.y")).alias("x"), F.col("x").alias("y")), "pairs")
+    links = cut(confirmed(whole, tried, percent), "links")
+    for salt in range(ROUNDS + 1):
+        found = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")), "round").withColumnRenamed("id", "x")
+        placed = posting.select("key", "x").join(found, "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("c"))
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+        placed = cut(placed.join(open_keys, "key", "left_semi"), "open")
+        halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
+        if salt == ROUNDS:
+            break
+        one = placed.groupBy("key", "c").agg(F.min_by("x", F.xxhash64("x", F.lit(salt))).alias("x"))
+        hub = one.groupBy("key").agg(F.min(F.struct("c", "x")).alias("hub")).select("key", F.col("hub.c").alias("hub_c"), F.col("hub.x").alias("hub"))
+        pairs = one.join(hub, "key").where("c <> hub_c").select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y")).distinct()
+        pairs = cut(_overlapping(pairs.join(tried, ["x", "y"], "left_anti"), halves), "pairs")
+        tried, links = cut(tried.union(pairs), "tried"), cut(links.union(confirmed(whole, pairs, percent)), "links")
+    tables = placed.join(halves, "x").select("key", "c", F.explode("b").alias("b")).distinct()
+    shared = tables.groupBy("key", "b").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key", "b")
+    tables = tables.join(shared, ["key", "b"], "left_semi")
+    met = tables.alias("p").join(tables.alias("q"), ["key", "b"]).where("p.c < q.c").select(F.col("p.c").alias("c1"), F.col("q.c").alias("c2")).distinct()
+    members = found.select(F.col("component_id").alias("c"), "x").union(placed.where("c = x").select("c", "x")).distinct()
+    count = members.groupBy("c").agg(F.count("*").alias("n"))
+    met = cut(met.join(count.toDF("c1", "n1"), "c1").join(count.toDF("c2", "n2"), "c2"), "met")
+    of_1, of_2 = members.toDF("c1", "x"), members.toDF("c2", "y")
+    small = met.where(F.greatest("n1", "n2") <= SMALL).join(of_1, "c1").join(of_2, "c2").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    second = confirmed(whole, cut(small.join(tried, ["x", "y"], "left_anti"), "small-pairs"), percent)
+    first_big = F.col("n1") >= F.col("n2")
+    large = met.where(F.greatest("n1", "n2") > SMALL).select(F.when(first_big, F.col("c1")).otherwise(F.col("c2")).alias("big"), F.when(first_big, F.col("c2")).otherwise(F.col("c1")).alias("other"))
+    asked = large.select(F.col("big").alias("c")).union(large.select("other")).distinct()
+    third = joined_by_index(whole, large, cut(members.join(asked, "c", "left_semi").join(count, "c"), "members"), percent)
     edges = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = edges.union(first.select("x", "y")).union(second.select("x", "y"))
+    edges = edges.union(links.select("x", "y")).union(second.select("x", "y")).union(third.select("x", "y"))
     joined = components(edges, "near").withColumnRenamed("id", "doc_id")
     found = signed.select("doc_id", "text_key", "n_shingles").distinct().join(joined, "doc_id", "left")
     found = found.toDF("__id", "__text", "__n", "__component")
