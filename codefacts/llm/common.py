@@ -34,7 +34,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a short lineage that survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that cut() has written, once everything that reads it has been written itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +82,8 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     """
     now, seen = cut(edges.select("a", "b").where("a <> b").distinct(), label), None
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)), label)
+        last, now = now, cut(_small_star(_large_star(now)), label)
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.llm.buffers import Spans, chunks, mix, utf8
-from codefacts.llm.common import cut
+from codefacts.llm.common import cut, discard
 
 PREFIX, LENGTH, EIGHT = 80, 200, 8
 ADDED = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
@@ -158,7 +158,10 @@ class SuffixFamily:
         self.matches.append(cut(found, "matches"))
         while self.levels and self.levels[-1][0] == rank:
             _, level = self.levels.pop()
-            new, rank = self._array(level.union(new)), rank + 1
+            merged = self._array(level.union(new))
+            discard(level)
+            discard(new)
+            new, rank = merged, rank + 1
         self.levels.append((rank, new))
 
     def matched(self) -> DataFrame:
@@ -168,13 +171,22 @@ class SuffixFamily:
             out = out.union(more)
         return cut(out.distinct(), "matched")
 
+    def drop(self) -> None:
+        """Delete the tables of the family."""
+        for table in [*self.matches, *(level for _, level in self.levels)]:
+            discard(table)
+
 
 def _settle(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pieces that repeat as they are, one copy of each kind of rows that agree in `by` but not in all their bytes)."""
+    """(pieces that repeat as they are, one copy of each kind of rows that agree in `by` but not in all their bytes), both written."""
     kinds = cut(rows.groupBy(*by, "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "more", "rel")).alias("one")), "kinds")
     many = rows.join(kinds.where("n > 1").select(*by, "whole"), [*by, "whole"], "left_semi")
     mixed = kinds.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1").select(*by)
-    return many.select("k", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end")), kinds.join(mixed, by, "left_semi").select("fp", "one.*")
+    pieces = cut(many.select("k", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end")), "pieces")
+    edges = cut(kinds.join(mixed, by, "left_semi").select("fp", "one.*"), "edges")
+    discard(kinds)
+    discard(rows)
+    return pieces, edges
 
 
 def _open(keyed: DataFrame, edges: DataFrame, width: int) -> DataFrame:
@@ -184,19 +196,25 @@ def _open(keyed: DataFrame, edges: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, batches: int = 4) -> DataFrame:
-    """Per document key k, the pieces [start, end) of it that repeated runs of 200 bytes cover (they may overlap)."""
+    """Per document key k, the pieces [start, end) of it that repeated runs of 200 bytes cover (they may overlap), as a written table."""
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("k"))
     parts = keyed.select("text", F.pmod(F.xxhash64("k"), F.lit(batches)).cast("int").alias("part"))
     prints, family = cut(parts.mapInArrow(_prefixes, "fp bigint, part int"), "prefixes"), SuffixFamily(docs.sparkSession)
     for i in range(batches):
         family.add(prints.where(F.col("part") == i))
-    suffixes = keyed.mapInArrow(_suffixes, f"fp bigint, whole bigint, {_PLACE}").join(family.matched(), "fp", "left_semi")
-    pieces, edges = _settle(cut(suffixes, "suffixes"), ["fp"])
+    matched = family.matched()
+    family.drop()
+    discard(prints)
+    suffixes = cut(keyed.mapInArrow(_suffixes, f"fp bigint, whole bigint, {_PLACE}").join(matched, "fp", "left_semi"), "suffixes")
+    pieces, edges = _settle(suffixes, ["fp"])
     more, edges = _settle(cut(_open(keyed, edges, EIGHT), "eights"), ["fp", "core"])
     runs = cut(_open(keyed, edges, 1), "runs")
     twice = runs.groupBy("fp", "core").count().where("count > 1").select("fp", "core")
     single = runs.join(twice, ["fp", "core"], "left_semi").select("k", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    return pieces.union(more).union(single)
+    found = cut(pieces.union(more).union(single).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("pieces")), "found")
+    for table in (runs, pieces, more):
+        discard(table)
+    return found
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
@@ -205,7 +223,7 @@ def remove_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
     Every byte of a run of 200 bytes that starts anywhere else too is removed.
     """
     docs = docs.drop(*ADDED)
-    pieces = repeated_spans(docs, batches).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    pieces = repeated_spans(docs, batches).withColumnRenamed("pieces", "__spans")
     whole = docs.join(pieces, F.xxhash64("doc_id", "text") == pieces["k"], "left").select(*[docs[c] for c in docs.columns], "__spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kinds += ", n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
