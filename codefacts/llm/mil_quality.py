@@ -146,10 +146,10 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> AttentionMil:
-    """Fit on labelled documents outside the held-out fold, most_labelled at most."""
+    """Fit on labelled documents outside the held-out fold, most_labelled at most, which also bounds what is broadcast."""
     own = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y"))
     own = own.where(~in_fold(F.col("__id"))).withColumn("rank", F.xxhash64("__id")).orderBy("rank", "__id", "y").limit(most_labelled)
-    bags = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("__id")).select("rank", "text", "y")
+    bags = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("rank", "text", "y")
     rows = bags.mapInArrow(_encoded, "rank bigint, y int, x array<array<float>>").orderBy("rank", "y").limit(2 * most_labelled).toArrow()
     y = rows["y"].to_numpy().astype(float)
     model = AttentionMil()
