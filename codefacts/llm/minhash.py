@@ -11,7 +11,7 @@ Confirmation is on whole shingle sets (64-bit hashes of shingles). The members o
 
 1. Documents with equal sets are one class from the start.
 2. Each class is confirmed against the smallest class that most of its buckets have. The links give components.
-3. Twice more, one member of each further component of a bucket is confirmed against one of its first component.
+3. Once more, one member of each further component of a bucket is confirmed against one of its first component.
 4. Components that still share a table without being joined are confirmed in full: small ones pair by pair, large ones
    by an inverted index of their members' shingles, built in blocks, which every member of the other component looks up.
 
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.buffers import ASCII_LOWER, Spans, chunks, mix, words
-from codefacts.llm.common import components, cut
+from codefacts.llm.common import components, cut, discard
 
 SHINGLE, ROWS, HALVES = 5, 6, 56
 #: Components of at most SMALL classes are compared pair by pair; blocks of an index hold about BLOCK documents.
-SMALL, BLOCK, ROUNDS = 3, 512, 2
+SMALL, BLOCK, ROUNDS = 3, 512, 1
 _RNG = np.random.default_rng(75)
 _STEPS = _RNG.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 31, (2 * HALVES * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -114,7 +114,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     sets = cut(sets_of(docs, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "x", "items": "of_x"}), "x").join(sets.withColumnsRenamed({"doc_id": "y", "items": "of_y"}), "y")
     shared = F.size(F.array_intersect("of_x", "of_y"))
-    return both.where(100 * shared >= percent * (F.size("of_x") + F.size("of_y") - shared)).select("x", "y").distinct()
+    out = cut(both.where(100 * shared >= percent * (F.size("of_x") + F.size("of_y") - shared)).select("x", "y").distinct(), "confirmed")
+    discard(sets)
+    return out
 
 
 def look_up(queries: pd.DataFrame, base: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -161,6 +163,14 @@ def _overlapping(pairs: DataFrame, halves: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("b", "b2")).select("x", "y")
 
 
+def _open_buckets(posting: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, component_id) of linked classes, and the postings key, x, c of the buckets that hold several components."""
+    found = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")), "round").withColumnRenamed("id", "x")
+    placed = posting.select("key", "x").join(found, "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("c"))
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+    return found, cut(placed.join(open_keys, "key", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id)."""
     docs = docs.drop(*ADDED)
@@ -175,23 +185,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     posting = cut(posting.join(buckets, "key"), "postings")
     chosen = posting.where("x <> y").groupBy("x", "y").count().groupBy("x").agg(F.max(F.struct("count", (-F.col("y")).alias("y"))).alias("m"))
     tried = cut(chosen.select((-F.col("m.y")).alias("x"), F.col("x").alias("y")), "pairs")
-    links = cut(confirmed(whole, tried, percent), "links")
-    for salt in range(ROUNDS + 1):
-        found = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")), "round").withColumnRenamed("id", "x")
-        placed = posting.select("key", "x").join(found, "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("c"))
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-        placed = cut(placed.join(open_keys, "key", "left_semi"), "open")
+    links = confirmed(whole, tried, percent)
+    found, placed = _open_buckets(posting, links)
+    for salt in range(ROUNDS):
         halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
-        if salt == ROUNDS:
-            break
         one = placed.groupBy("key", "c").agg(F.min_by("x", F.xxhash64("x", F.lit(salt))).alias("x"))
         hub = one.groupBy("key").agg(F.min(F.struct("c", "x")).alias("hub")).select("key", F.col("hub.c").alias("hub_c"), F.col("hub.x").alias("hub"))
         pairs = one.join(hub, "key").where("c <> hub_c").select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y")).distinct()
         pairs = cut(_overlapping(pairs.join(tried, ["x", "y"], "left_anti"), halves), "pairs")
-        tried, links = cut(tried.union(pairs), "tried"), cut(links.union(confirmed(whole, pairs, percent)), "links")
+        new = confirmed(whole, pairs, percent)
+        tried = tried.union(pairs)
+        if not new.isEmpty():
+            discard(placed)
+            links = links.union(new)
+            found, placed = _open_buckets(posting, links)
+    halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
     tables = placed.join(halves, "x").select("key", "c", F.explode("b").alias("b")).distinct()
-    shared = tables.groupBy("key", "b").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key", "b")
-    tables = tables.join(shared, ["key", "b"], "left_semi")
+    alike = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("c"), "c")).alias("h2")]
+    shared = tables.groupBy("key", "b").agg(*alike).where("k > 1").groupBy("k", "h1", "h2").agg(F.min(F.struct("key", "b")).alias("t")).select("t.*")
+    tables = tables.join(shared, ["key", "b"], "left_semi")  # of tables that hold the same components, one
     met = tables.alias("p").join(tables.alias("q"), ["key", "b"]).where("p.c < q.c").select(F.col("p.c").alias("c1"), F.col("q.c").alias("c2")).distinct()
     members = found.select(F.col("component_id").alias("c"), "x").union(placed.where("c = x").select("c", "x")).distinct()
     count = members.groupBy("c").agg(F.count("*").alias("n"))
