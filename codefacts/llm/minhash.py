@@ -200,11 +200,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             links = links.union(new)
             found, placed = _open_buckets(posting, links)
     halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
-    tables = placed.join(halves, "x").select("key", "c", F.explode("b").alias("b")).distinct()
-    alike = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("c"), "c")).alias("h2")]
-    shared = tables.groupBy("key", "b").agg(*alike).where("k > 1").groupBy("k", "h1", "h2").agg(F.min(F.struct("key", "b")).alias("t")).select("t.*")
-    tables = tables.join(shared, ["key", "b"], "left_semi")  # of tables that hold the same components, one
-    met = tables.alias("p").join(tables.alias("q"), ["key", "b"]).where("p.c < q.c").select(F.col("p.c").alias("c1"), F.col("q.c").alias("c2")).distinct()
+    tables = cut(placed.join(halves, "x").groupBy("key", "c").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "tables")
+    p, q = tables.toDF("key", "c1", "b1"), tables.toDF("key2", "c2", "b2")
+    met = p.join(q, (F.col("key") == F.col("key2")) & (F.col("c1") < F.col("c2")) & F.arrays_overlap("b1", "b2")).select("c1", "c2").distinct()
     members = found.select(F.col("component_id").alias("c"), "x").union(placed.where("c = x").select("c", "x")).distinct()
     count = members.groupBy("c").agg(F.count("*").alias("n"))
     met = cut(met.join(count.toDF("c1", "n1"), "c1").join(count.toDF("c2", "n2"), "c2"), "met")
