@@ -68,7 +68,7 @@ def n06_cross_repo(spark, sf_dir):
 
 @query("SELECT symbol FROM occ_raw WHERE roles = 1 AND start_char < 4 EXCEPT SELECT symbol FROM occ_raw WHERE roles = 0 AND start_char < 4")
 def n07_unused(spark, sf_dir):
-    return navigate.unused(occ_raw(spark, sf_dir).where("start_char < 4"))
+    return navigate.unused(occ_raw(spark, sf_dir))
 
 
 @query("SELECT symbol, count(*) AS n_references, count(DISTINCT relative_path) AS n_files FROM occ_raw WHERE roles = 0 GROUP BY symbol")
