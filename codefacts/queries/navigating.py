@@ -29,7 +29,7 @@ _PLACES = "(SELECT DISTINCT concat('src/f', o_orderkey % 97, '.cc') AS relative_
     JOIN (SELECT DISTINCT symbol, relative_path, start_line, start_char FROM {_OCC} x WHERE roles = 1 AND symbol LIKE '%1#') d ON p.symbol = d.symbol""")
 def n01_definition(spark, sf_dir):
     own = _occurrences(spark, sf_dir)
-    return navigate.go_to_definition(own, _places(spark, sf_dir)).where(F.col("symbol").like("%1#")).select("relative_path", "line", "char", "symbol", "def_path", "def_line", "def_char")
+    return navigate.go_to_definition(own, _places(spark, sf_dir)).select("relative_path", "line", "char", "symbol", "def_path", "def_line", "def_char")
 
 
 @query(f"SELECT relative_path, symbol, start_line, start_char, roles FROM {_OCC} x WHERE symbol IN (SELECT symbol FROM sym_raw WHERE task_id % 10 = 1)")
@@ -56,8 +56,7 @@ def n05_includes(spark, sf_dir):
     from codefacts.functions.symbols import file_symbol
     from codefacts.sources.adapters import tu_file
 
-    own = tu_file(spark, sf_dir).where(F.regexp_extract("path", "h([0-9]+)[.]h", 1).cast("long") % 20 == 3)
-    return own.groupBy(file_symbol(F.lit(None), F.lit("."), F.col("path")).alias("symbol")).agg(F.count_distinct("task_id").alias("n"))
+    return tu_file(spark, sf_dir).groupBy(file_symbol(F.lit(None), F.lit("."), F.col("path")).alias("symbol")).agg(F.count_distinct("task_id").alias("n"))
 
 
 @query("SELECT DISTINCT symbol FROM occ_raw WHERE task_id % 2 = 0 INTERSECT SELECT symbol FROM occ_raw WHERE task_id % 5 = 1 AND roles = 1")

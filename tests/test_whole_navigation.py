@@ -29,3 +29,19 @@ def tables(spark, tmp_path):
 def test_unused_counts_references_at_any_column(spark, tables):
     d = tables(lineitem=[(1, 10, 1, 1, 2.0, "A"), (1, 10, 1, 2, 30.0, "N"), (2, 11, 1, 1, 3.0, "A"), (3, 12, 1, 1, 40.0, "A"), (4, 13, 1, 1, 1.0, "N")])
     assert {r.symbol for r in registry.QUERIES["n07_unused"](spark, d).collect()} == {symbol(11), symbol(12)}
+
+
+def test_definitions_of_any_symbol(spark, tables):
+    d = tables(
+        lineitem=[(5, 35, 1, 6, 3.0, "A"), (6, 20, 1, 5, 40.0, "N"), (7, 20, 1, 2, 9.0, "A"), (8, 20, 1, 1, 1.0, "A"), (31, 31, 1, 4, 30.0, "A"), (6, 22, 1, 5, 40.0, "N"), (6, 20, 1, 4, 40.0, "N")],
+        orders=[(5,), (200,), (31,), (9,)],
+    )
+    want = {("src/f5.cc", 5, 5, symbol(35), "src/f5.cc", 5, 3), ("src/f31.cc", 3, 31, symbol(31), "src/f31.cc", 3, 30)}
+    want |= {("src/f6.cc", 4, 41, symbol(20), "src/f7.cc", 1, 9), ("src/f6.cc", 4, 41, symbol(20), "src/f8.cc", 0, 1)}
+    assert {tuple(r) for r in registry.QUERIES["n01_definition"](spark, d).collect()} == want
+
+
+def test_includes_of_any_header(spark, tables):
+    d = tables(lineitem=[(1, 3, 1, 1, 2.0, "A"), (1, 4, 1, 2, 2.0, "A"), (2, 4, 2, 1, 2.0, "N"), (2, 4, 3, 2, 2.0, "N"), (2, 20, 1, 3, 2.0, "N")])
+    got = {r.symbol: r.n for r in registry.QUERIES["n05_includes"](spark, d).collect()}
+    assert got == {f"cxx . . .$ `<file>//proj/inc/h{part}.h`/": n for part, n in ((3, 1), (4, 2), (20, 1))}
