@@ -77,7 +77,7 @@ def n07_fan_in(spark, sf_dir):
 
 def _shown(spark, sf_dir):
     """Occurrences placed on the lines of documents."""
-    o = _occurrences(spark, sf_dir).where("start_line < 5")
+    o = _occurrences(spark, sf_dir)
     return o.withColumn("relative_path", F.concat(F.lit("src/d"), F.regexp_extract("relative_path", "([0-9]+)", 1), F.lit(".cc")))
 
 

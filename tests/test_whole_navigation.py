@@ -45,3 +45,21 @@ def test_includes_of_any_header(spark, tables):
     d = tables(lineitem=[(1, 3, 1, 1, 2.0, "A"), (1, 4, 1, 2, 2.0, "A"), (2, 4, 2, 1, 2.0, "N"), (2, 4, 3, 2, 2.0, "N"), (2, 20, 1, 3, 2.0, "N")])
     got = {r.symbol: r.n for r in registry.QUERIES["n05_includes"](spark, d).collect()}
     assert got == {f"cxx . . .$ `<file>//proj/inc/h{part}.h`/": n for part, n in ((3, 1), (4, 2), (20, 1))}
+
+
+@pytest.fixture
+def seven_lines(tables):
+    text = "\n".join(f"line {n}" for n in range(1, 9))
+    return tables(lineitem=[(2, 9, 1, n, float(n), "A" if n == 7 else "N") for n in range(1, 8)] + [(2, 8, 1, 6, 1.0, "N")], documents=[(2, text), (98, "other")])
+
+
+def test_snapshot_marks_every_line(spark, seven_lines):
+    got = {r.line_no: r.snapshot for r in registry.QUERIES["k04_snapshot_lines"](spark, seven_lines).where("relative_path = 'src/d2.cc'").collect()}
+    mark = lambda part, at, role: f"//{' ' * at}^^^^ {role} {symbol(part)}".replace("cxx . ", "")
+    want = {n: [f"  line {n}", mark(9, n, "definition" if n == 7 else "reference")] for n in range(1, 8)} | {8: ["  line 8"]}
+    want[6].insert(1, mark(8, 1, "reference"))
+    assert got == {n: "\n".join(lines) for n, lines in want.items()}
+
+
+def test_line_join_counts_every_line(spark, seven_lines):
+    assert tuple(registry.QUERIES["j11_line_join"](spark, seven_lines).first()) == (8, 1)
