@@ -38,6 +38,8 @@ from codefacts.llm.common import components, cut, discard
 SHINGLE, ROWS, HALVES = 5, 6, 56
 #: Components of at most SMALL classes are compared pair by pair; blocks of an index hold about BLOCK documents.
 SMALL, BLOCK, ROUNDS = 3, 512, 1
+#: Buckets of more postings are split where components meet.
+SPREAD = 1024
 _RNG = np.random.default_rng(75)
 _STEPS = _RNG.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 31, (2 * HALVES * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -163,6 +165,28 @@ def _overlapping(pairs: DataFrame, halves: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("b", "b2")).select("x", "y")
 
 
+def tables_of(placed: DataFrame, halves: DataFrame) -> DataFrame:
+    """key, part, c, b: the half-keys of B that component c has in bucket key, without repeats.
+
+    A bucket of more than SPREAD postings is split into parts by the value of b, so that no row holds a whole component:
+    a part has about 56 * SPREAD half-keys at most. Its half-keys are made distinct one by one, before they are gathered.
+    Components that share a half-key of B in a bucket share it in the same part.
+    """
+    parts = placed.groupBy("key").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
+    each = placed.join(parts, "key").join(halves, "x")
+    few = each.where("parts = 1").groupBy("key", F.lit(0).alias("part"), "c").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
+    single = each.where("parts > 1").select("key", "parts", "c", F.explode("b").alias("b")).distinct()
+    many = single.groupBy("key", F.pmod("b", "parts").alias("part"), "c").agg(F.collect_list("b").alias("b"))
+    return few.union(many)
+
+
+def meeting(tables: DataFrame) -> DataFrame:
+    """The pairs of components (c1, c2), c1 < c2, that share a table."""
+    p, q = tables.toDF("key", "part", "c1", "b1"), tables.toDF("key2", "part2", "c2", "b2")
+    on = (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2")) & (F.col("c1") < F.col("c2"))
+    return p.join(q, on & F.arrays_overlap("b1", "b2")).select("c1", "c2").distinct()
+
+
 def _open_buckets(posting: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(x, component_id) of linked classes, and the postings key, x, c of the buckets that hold several components."""
     found = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")), "round").withColumnRenamed("id", "x")
@@ -200,9 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             links = links.union(new)
             found, placed = _open_buckets(posting, links)
     halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
-    tables = cut(placed.join(halves, "x").groupBy("key", "c").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "tables")
-    p, q = tables.toDF("key", "c1", "b1"), tables.toDF("key2", "c2", "b2")
-    met = p.join(q, (F.col("key") == F.col("key2")) & (F.col("c1") < F.col("c2")) & F.arrays_overlap("b1", "b2")).select("c1", "c2").distinct()
+    met = meeting(cut(tables_of(placed, halves), "tables"))
     members = found.select(F.col("component_id").alias("c"), "x").union(placed.where("c = x").select("c", "x")).distinct()
     count = members.groupBy("c").agg(F.count("*").alias("n"))
     met = cut(met.join(count.toDF("c1", "n1"), "c1").join(count.toDF("c2", "n2"), "c2"), "met")

@@ -1,0 +1,33 @@
+"""Where components of near copies meet: rows stay bounded whatever a component's size."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from codefacts.llm import minhash
+
+
+def test_no_row_gathers_a_whole_component(spark, monkeypatch):
+    r = random.Random(5)
+    half_keys = lambda n: [r.randrange(-(1 << 31), 1 << 31) for _ in range(n)]
+    b = {x: half_keys(56) for x in range(600)}
+    b |= {1000: [*half_keys(55), b[7][3]], 1001: half_keys(56)}
+    b |= {1002: [*b[1001][:2], *half_keys(54)], 1003: b[1000][:1] * 56}
+    postings = [(1, x, 0 if x < 600 else x) for x in b if x != 1003] + [(2, 1000, 1000), (2, 1003, 1003), (2, 1001, 1001)]
+    placed = spark.createDataFrame(postings, "key long, x long, c long")
+    halves = spark.createDataFrame(list(b.items()), "x long, b array<int>")
+    monkeypatch.setattr(minhash, "SPREAD", 16)
+    tables = minhash.tables_of(placed, halves).cache()
+    assert tables.agg(F.max(F.size("b"))).first()[0] <= 1.3 * 56 * 16
+    held = {}
+    for key, x, c in postings:
+        held.setdefault((key, c), set()).update(b[x])
+    rows = tables.collect()
+    assert sum(len(t.b) for t in rows) == sum(map(len, held.values()))
+    got = {}
+    for t in rows:
+        got.setdefault((t.key, t.c), set()).update(t.b)
+    assert got == held
+    want = {(c, d) for k, c in held for m, d in held if k == m and c < d and held[k, c] & held[m, d]}
+    assert want == {(0, 1000), (1001, 1002), (1000, 1003)}
+    assert {tuple(p) for p in minhash.meeting(tables).collect()} == want
