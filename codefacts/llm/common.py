@@ -56,21 +56,31 @@ def ascii_lower(text: Column) -> Column:
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
-    """df less its columns of these names, which the caller is about to add."""
-    return df.drop(*names)
+    """df less its columns of these names in any case, which the caller is about to add."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has in any case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
 
+def _stars(edges: DataFrame, label: str) -> list[DataFrame]:
+    """The edges after a large-star and a small-star step, as a written table, and the tables that it was made from.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    The least neighbours are written, so that AQE can split the many edges of one node when they are joined.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
+    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    lower = cut(down.groupBy("a").agg(F.min("b").alias("m")), label)
+    moved = down.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return [cut(moved.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), label), least, lower]
 
 
 def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
@@ -80,14 +90,16 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     rounds logarithmic in the longest path. All joins and aggregates are keyed; each round is written to the
     shared folder, and only a count and a checksum reach the driver.
     """
-    now, seen = cut(edges.select("a", "b").where("a <> b").distinct(), label), None
+    state = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    seen = state(now)
     for _ in range(rounds):
-        last, now = now, cut(_small_star(_large_star(now)), label)
-        discard(last)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        last, (now, *others) = now, _stars(now, label)
+        for old in (last, *others):
+            discard(old)
+        if (new := state(now)) == seen:
             break
-        seen = state
+        seen = new
     else:
         raise RuntimeError(f"{label}: no fixed point after {rounds} rounds")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()

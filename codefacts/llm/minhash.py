@@ -1,25 +1,28 @@
 """MinHash near-dedup with tensored bands.
 
-A table key would take twelve minhashes; 3136 tables of them 37,632 minhashes a document. Tensoring forms each key as a pair:
-one of 56 half-keys of six minhashes from collection A with one of 56 from collection B, so 672 minhashes a document serve
-all 3136 tables. Two documents share a table when they share a half-key of A and one of B. Rows are looked up by the
-half-keys of A first, and the pairs with half-keys of B are formed only for rows that are still open then. At a similarity of
-0.75 a pair is missed with a chance of about 3e-5, and less above; texts that share a fifth of their shingles meet in one
-pair of 70,000.
-
-Confirmation is on whole shingle sets (64-bit hashes of shingles). The members of a bucket aren't paired with each other:
-
-1. Documents with equal sets are one class from the start.
-2. Each class is confirmed against the smallest class that most of its buckets have. The links give components.
-3. Once more, one member of each further component of a bucket is confirmed against one of its first component.
-4. Components that still share a table without being joined are confirmed in full: small ones pair by pair, large ones
-   by an inverted index of their members' shingles, built in blocks, which every member of the other component looks up.
+A table key would take ten minhashes; 1600 tables of them 16,000 minhashes a document. Tensoring forms each key as a pair:
+one of 40 half-keys of five minhashes from collection A with one of 40 from collection B, so 400 minhashes a document serve
+all 1600 tables. Two documents share a table when they share a half-key of A and one of B. At a similarity of 0.75 a pair
+shares none with a chance of about 4e-5, and less above; texts that share a fifth of their shingles meet in one pair of
+6000.
+
+Confirmation is on whole shingle sets (64-bit hashes of shingles), and no row is a pair of members of a bucket:
+
+1. Documents with equal sets are one class, which its smallest doc_id stands for. Copies go no further.
+2. Each class is confirmed against one other, the smallest class that most of its A buckets have, if both share a table. The
+   links give components.
+3. Rows of A buckets that still hold several components form their table keys, pairs of half-keys of A and B. A bucket with a
+   table in which two components meet stays open.
+4. Components that meet in open buckets form families: each takes the smallest component that it meets, some times over.
+   Where all components of a bucket agree, their members are compared as one family, else the bucket is a family itself.
+5. A family is cut into blocks, and each pair of blocks that can join components is one group: an inverted index of the
+   shingles of one block, which every member of the other looks up. A group returns a spanning forest of its links.
 
 No pair that shares a table and could join two components is left out.
 
 Defined results. Null, empty and wordless texts have no shingles, link with nothing and are kept. A text of fewer than five
 words is one shingle. Rows that share a doc_id are one node; a row without doc_id links with nothing, and its
-component_id is null. Added columns replace input columns of the same names.
+component_id is null. Added columns replace input columns of the same names, whatever their case.
 """
 
 from __future__ import annotations
@@ -33,19 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.buffers import ASCII_LOWER, Spans, chunks, mix, words
-from codefacts.llm.common import components, cut, discard
+from codefacts.llm.common import components, cut, discard, spare, without
 
-SHINGLE, ROWS, HALVES = 5, 6, 56
-#: Components of at most SMALL classes are compared pair by pair; blocks of an index hold about BLOCK documents.
-SMALL, BLOCK, ROUNDS = 3, 512, 1
-#: Buckets of more postings are split where components meet.
-SPREAD = 1024
+SHINGLE, ROWS, HALVES = 5, 5, 40
+#: A block of a family holds about so many documents, or so many shingles if that is less. HOPS: how far families reach.
+BLOCK, BLOCK_ITEMS, HOPS = 512, 1 << 20, 2
 _RNG = np.random.default_rng(75)
 _STEPS = _RNG.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 31, (2 * HALVES * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIPS = _RNG.integers(0, 1 << 32, (2 * HALVES * ROWS, 1), dtype=np.uint32)
 _JOIN = _RNG.integers(1, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDED = ("n_shingles", "component_id", "kept")
+SET = ("n_shingles", "set_low", "set_high")
 SIGNATURE = "doc_id bigint, text_key bigint, n_shingles bigint, set_low bigint, set_high bigint, a array<bigint>, b array<int>"
 
 
@@ -121,126 +123,135 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def look_up(queries: pd.DataFrame, base: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """For each query (x, items), one row of base (y, held) that is similar enough, if any: an inverted index over the items of base."""
-    found = []
-    if len(queries) and len(base):
-        sizes = base["held"].map(len).to_numpy()
-        items, owner = np.concatenate(base["held"].to_list()), np.repeat(np.arange(len(base)), sizes)
+def linked(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (x, y) that join the components c of rows (x, c, side, items) as far as similar members do, without cycles.
+
+    Rows of side 1 look up those of side 2, rows of side 0 do both: an inverted index over the items.
+    """
+    base, queries = rows[rows["side"] != 1], rows[rows["side"] != 2]
+    found: list[tuple[int, int]] = []
+    if len(base) and len(queries):
+        sizes = base["items"].map(len).to_numpy()
+        items, owner = np.concatenate(base["items"].to_list()), np.repeat(np.arange(len(base)), sizes)
         order = np.argsort(items, kind="stable")
         items, owner = items[order], owner[order]
-        for x, own in zip(queries["x"], queries["items"], strict=True):
+        names, of = np.unique(np.concatenate((base["c"].to_numpy(), queries["c"].to_numpy())), return_inverse=True)
+        root, of_base, y = np.arange(len(names)), of[: len(base)], base["x"].to_numpy()
+        for x, own, c in zip(queries["x"], queries["items"], of[len(base) :], strict=True):
             low, high = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
             n = high - low
             places = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             shared = np.bincount(owner[places], minlength=len(base))
-            good = np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared))
-            if len(good):
-                found.append((x, base["y"].iloc[good[0]]))
+            good = np.flatnonzero((100 * shared >= percent * (sizes + len(own) - shared)) & (root[of_base] != root[c]))
+            for j in good:
+                a, b = root[of_base[j]], root[c]
+                if a != b:
+                    found.append((x, y[j]))
+                    root[root == max(a, b)] = min(a, b)
     return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
 
-def joined_by_index(docs: DataFrame, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """One link (x, y) at least for each pair of components (big, other) with a similar pair of members, and no false one.
-
-    members: c, x, n (members of c). Members of big are split into blocks, and so are all members that look them up, and
-    each pair of blocks is a group.
-    """
-    sets = cut(sets_of(docs, members.select(F.col("x").alias("doc_id"))), "index-sets").withColumnRenamed("doc_id", "x")
-    asked = pairs.join(members.select(F.col("c").alias("other"), "x"), "other").groupBy("big", "x").agg(F.lit(1).alias("one"))
-    asked_n = asked.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
-    held = members.join(asked_n, F.col("c") == F.col("big")).select("big", "x", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "q_blocks")
-    block = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sizes = held.select("big", "blocks", "q_blocks").distinct()
-    queries = asked.join(sizes, "big").select("big", "x", block("q_blocks").alias("j"), every("blocks").alias("i")).join(sets, "x")
-    base = held.select("big", "x", block("blocks").alias("i"), every("q_blocks").alias("j")).join(sets, "x")
-    base = base.select("big", "i", "j", "x", "items").toDF("of", "of_i", "of_j", "y", "held")
-    return queries.groupBy("big", "i", "j").cogroup(base.groupBy("of", "of_i", "of_j")).applyInPandas(lambda q, b: look_up(q, b, percent), "x bigint, y bigint")
-
-
-def _overlapping(pairs: DataFrame, halves: DataFrame) -> DataFrame:
-    """pairs (x, y) that share a half-key of B."""
+def _sharing(pairs: DataFrame, halves: DataFrame) -> DataFrame:
+    """The pairs (x, y), whose half-keys of A meet, that share a half-key of B too, and so a table."""
     both = pairs.join(halves, "x").join(halves.withColumnsRenamed({"x": "y", "b": "b2"}), "y")
     return both.where(F.arrays_overlap("b", "b2")).select("x", "y")
 
 
-def tables_of(placed: DataFrame, halves: DataFrame) -> DataFrame:
-    """key, part, c, b: the half-keys of B that component c has in bucket key, without repeats.
+def open_buckets(placed: DataFrame, halves: DataFrame) -> DataFrame:
+    """The buckets (key) of placed (key, x, c) with a table in which two components meet.
 
-    A bucket of more than SPREAD postings is split into parts by the value of b, so that no row holds a whole component:
-    a part has about 56 * SPREAD half-keys at most. Its half-keys are made distinct one by one, before they are gathered.
-    Components that share a half-key of B in a bucket share it in the same part.
+    Table keys are counted by partial aggregates: the smallest and the largest component of each.
     """
-    parts = placed.groupBy("key").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
-    each = placed.join(parts, "key").join(halves, "x")
-    few = each.where("parts = 1").groupBy("key", F.lit(0).alias("part"), "c").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
-    single = each.where("parts > 1").select("key", "parts", "c", F.explode("b").alias("b")).distinct()
-    many = single.groupBy("key", F.pmod("b", "parts").alias("part"), "c").agg(F.collect_list("b").alias("b"))
-    return few.union(many)
+    several = cut(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "several")
+    rows = placed.join(several, "key", "left_semi").groupBy("x", "c").agg(F.collect_set("key").alias("keys")).join(halves, "x")
+    tables = rows.select("c", F.explode("keys").alias("key"), "b").select("c", "key", F.explode("b").alias("b"))
+    met = tables.groupBy("key", "b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    return cut(met.select("key").distinct(), "open")
+
 
+def families(members: DataFrame, hops: int = HOPS) -> DataFrame:
+    """kind, family, x, c: the families of members (key, x, c) of open buckets. Any two members of a bucket share a family.
 
-def meeting(tables: DataFrame) -> DataFrame:
-    """The pairs of components (c1, c2), c1 < c2, that share a table."""
-    p, q = tables.toDF("key", "part", "c1", "b1"), tables.toDF("key2", "part2", "c2", "b2")
-    on = (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2")) & (F.col("c1") < F.col("c2"))
-    return p.join(q, on & F.arrays_overlap("b1", "b2")).select("c1", "c2").distinct()
+    A component takes the smallest label of its buckets, `hops` times. A bucket whose components have one label then is
+    part of that family (kind 0), any other is one by itself (kind 1).
+    """
+    places = cut(members.select("key", "c").distinct(), "places")
+    labels = places.groupBy("c").agg(F.min("c").alias("label"))
+    for hop in range(hops):
+        least = cut(places.join(labels, "c").groupBy("key").agg(F.min("label").alias("label")), "least")
+        labels = cut(places.join(least, "key").groupBy("c").agg(F.min("label").alias("label")), f"labels-{hop}")
+    agreed = places.join(labels, "c").groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    of = F.when(F.col("label") == F.col("other"), F.struct(F.lit(0).alias("kind"), F.col("label").alias("family"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("key").alias("family")))
+    agreed = cut(agreed.select("key", of.alias("of")), "agreed")
+    return members.join(agreed, "key").select("of.kind", "of.family", "x", "c", "n").distinct()
 
 
-def _open_buckets(posting: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(x, component_id) of linked classes, and the postings key, x, c of the buckets that hold several components."""
-    found = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")), "round").withColumnRenamed("id", "x")
-    placed = posting.select("key", "x").join(found, "x", "left").select("key", "x", F.coalesce("component_id", "x").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    return found, cut(placed.join(open_keys, "key", "left_semi"), "open")
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """cell, side, x, c: members (kind, family, x, c, n) once for each pair of blocks that theirs is in.
+
+    A large component has blocks of its own, which aren't compared with each other; the small ones share blocks.
+    """
+    by = ["kind", "family"]
+    parts = lambda rows, items: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS)).cast("int")
+    per = rows.groupBy(*by, "c").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
+    per = per.withColumn("own", F.when((2 * F.col("rows") > BLOCK) | (2 * F.col("items") > BLOCK_ITEMS), F.col("c")))
+    whole = per.groupBy(*by, "own").agg(F.sum("rows").alias("rows"), F.sum("items").alias("items"), F.count("*").alias("components"))
+    whole = cut(whole.select(*by, "own", parts(F.col("rows"), F.col("items")).alias("blocks"), (F.col("components") > 1).alias("several")), "blocks")
+    each = whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p, q = each.select(*by, F.col("own").alias("p"), F.col("i").alias("pi"), "several"), each.select(*by, F.col("own").alias("q"), F.col("i").alias("qi"))
+    same_c = F.col("p").eqNullSafe(F.col("q"))
+    order = F.struct(F.col("p").isNotNull(), F.coalesce("p", F.lit(0)), "pi") <= F.struct(F.col("q").isNotNull(), F.coalesce("q", F.lit(0)), "qi")
+    cells = p.join(q, by).where(order & (~same_c | F.col("several"))).withColumn("cell", F.xxhash64(*by, "p", "pi", "q", "qi"))
+    alone = same_c & (F.col("pi") == F.col("qi"))
+    sides = F.when(alone, F.array(F.struct(F.lit(0).alias("side"), F.col("p").alias("own"), F.col("pi").alias("i"))))
+    sides = sides.otherwise(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("own"), F.col("pi").alias("i")), F.struct(F.lit(2).alias("side"), F.col("q").alias("own"), F.col("qi").alias("i"))))
+    cells = cells.select(*by, "cell", F.explode(sides).alias("s")).select(*by, "cell", "s.side", F.coalesce("s.own", F.lit(0)).alias("own"), F.col("s.own").isNull().alias("mixed"), "s.i")
+    at = cut(per.join(whole.withColumnRenamed("own", "w"), [*[per[c] == whole[c] for c in by], F.col("own").eqNullSafe(F.col("w"))]).select(*[per[c] for c in by], "c", "own", "blocks"), "at")
+    placed = rows.join(at, [*by, "c"]).select(*by, "x", "c", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("i"))
+    return placed.join(cells, [*by, "own", "mixed", "i"]).select("cell", "side", "x", "c")
+
+
+def family_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between the components of members (key, x, c, n) that have similar members, enough to join them."""
+    pairs = cut(block_pairs(cut(families(members), "families")), "cells")
+    sets = cut(sets_of(docs, pairs.select(F.col("x").alias("doc_id"))), "sets").withColumnRenamed("doc_id", "x")
+    return cut(pairs.join(sets, "x").groupBy("cell").applyInPandas(lambda rows: linked(rows, percent), "x bigint, y bigint"), "links")
+
+
+def classes_of(signed: DataFrame) -> DataFrame:
+    """n_shingles, set_low, set_high, x (the smallest doc_id), a, b of each set. A partial aggregate: copies don't meet in a task."""
+    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    one = some.groupBy(*SET).agg(F.min(F.struct("doc_id", "a", "b")).alias("one"))
+    return cut(one.select(*SET, F.col("one.doc_id").alias("x"), "one.a", "one.b"), "classes")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id)."""
-    docs = docs.drop(*ADDED)
-    whole = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = without(docs, *ADDED)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(whole.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures, SIGNATURE), "signatures")
-    by = ["n_shingles", "set_low", "set_high"]
-    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *by)
-    member = cut(some.join(some.groupBy(*by).agg(F.min("doc_id").alias("rep")), by).select("doc_id", "rep"), "classes")
-    keyed = signed.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    posting = keyed.select(F.explode("a").alias("key"), F.col("doc_id").alias("x"))
-    buckets = posting.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).where("y < z").select("key", "y")
+    classes = classes_of(signed)
+    halves = classes.select("x", "b")
+    posting = classes.select(F.explode("a").alias("key"), "x", F.col("n_shingles").alias("n"))
+    buckets = cut(posting.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).where("y < z").select("key", "y"), "buckets")
     posting = cut(posting.join(buckets, "key"), "postings")
     chosen = posting.where("x <> y").groupBy("x", "y").count().groupBy("x").agg(F.max(F.struct("count", (-F.col("y")).alias("y"))).alias("m"))
-    tried = cut(chosen.select((-F.col("m.y")).alias("x"), F.col("x").alias("y")), "pairs")
+    tried = cut(_sharing(chosen.select((-F.col("m.y")).alias("x"), F.col("x").alias("y")), halves), "pairs")
     links = confirmed(whole, tried, percent)
-    found, placed = _open_buckets(posting, links)
-    for salt in range(ROUNDS):
-        halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
-        one = placed.groupBy("key", "c").agg(F.min_by("x", F.xxhash64("x", F.lit(salt))).alias("x"))
-        hub = one.groupBy("key").agg(F.min(F.struct("c", "x")).alias("hub")).select("key", F.col("hub.c").alias("hub_c"), F.col("hub.x").alias("hub"))
-        pairs = one.join(hub, "key").where("c <> hub_c").select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y")).distinct()
-        pairs = cut(_overlapping(pairs.join(tried, ["x", "y"], "left_anti"), halves), "pairs")
-        new = confirmed(whole, pairs, percent)
-        tried = tried.union(pairs)
-        if not new.isEmpty():
-            discard(placed)
-            links = links.union(new)
-            found, placed = _open_buckets(posting, links)
-    halves = keyed.select(F.col("doc_id").alias("x"), "b").join(placed.select("x").distinct(), "x", "left_semi")
-    met = meeting(cut(tables_of(placed, halves), "tables"))
-    members = found.select(F.col("component_id").alias("c"), "x").union(placed.where("c = x").select("c", "x")).distinct()
-    count = members.groupBy("c").agg(F.count("*").alias("n"))
-    met = cut(met.join(count.toDF("c1", "n1"), "c1").join(count.toDF("c2", "n2"), "c2"), "met")
-    of_1, of_2 = members.toDF("c1", "x"), members.toDF("c2", "y")
-    small = met.where(F.greatest("n1", "n2") <= SMALL).join(of_1, "c1").join(of_2, "c2").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    second = confirmed(whole, cut(small.join(tried, ["x", "y"], "left_anti"), "small-pairs"), percent)
-    first_big = F.col("n1") >= F.col("n2")
-    large = met.where(F.greatest("n1", "n2") > SMALL).select(F.when(first_big, F.col("c1")).otherwise(F.col("c2")).alias("big"), F.when(first_big, F.col("c2")).otherwise(F.col("c1")).alias("other"))
-    asked = large.select(F.col("big").alias("c")).union(large.select("other")).distinct()
-    third = joined_by_index(whole, large, cut(members.join(asked, "c", "left_semi").join(count, "c"), "members"), percent)
-    edges = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = edges.union(links.select("x", "y")).union(second.select("x", "y")).union(third.select("x", "y"))
-    joined = components(edges, "near").withColumnRenamed("id", "doc_id")
-    found = signed.select("doc_id", "text_key", "n_shingles").distinct().join(joined, "doc_id", "left")
-    found = found.toDF("__id", "__text", "__n", "__component")
-    names = [docs[c] for c in docs.columns]
-    out = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left")
-    component = F.coalesce("__component", F.col("doc_id").cast("long"))
-    return out.select(*names, F.col("__n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id").cast("long")).alias("kept"))
+    found = components(links.select(F.col("y").alias("a"), F.col("x").alias("b")), "first").withColumnRenamed("id", "x")
+    placed = cut(posting.join(found, "x", "left").select("key", "x", "n", F.coalesce("component_id", "x").alias("c")), "placed")
+    more = family_links(whole, placed.join(open_buckets(placed, halves), "key", "left_semi"), percent)
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("low"), F.max(F.struct(*SET)).alias("high")).where("low <> high")
+    repeated = cut(signed.select("doc_id", *SET).join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select(*SET, "x"), [*SET]).select("doc_id", "x").distinct(), "repeated")
+    edges = links.union(more).union(repeated.select("x", F.col("doc_id").alias("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(edges, "near").withColumnRenamed("id", "x")
+    known = cut(classes.select(*SET, "x").join(joined, "x", "left").select(*SET, F.coalesce("component_id", "x").alias("component_id")), "known")
+    other = repeated.select(F.col("doc_id").alias("x")).distinct().join(joined, "x").toDF("doc_id", "of_id")
+    found = signed.select("doc_id", "text_key", *SET).distinct().join(known, [*SET], "left").join(other, "doc_id", "left")
+    key, n, of = spare(docs, "text_key"), spare(docs, "size_of"), spare(docs, "component_of")
+    found = found.select(F.struct("doc_id", "text_key").alias(key), F.col("n_shingles").alias(n), F.coalesce("component_id", "of_id").alias(of))
+    own = F.col("doc_id").cast("long")
+    keyed = docs.select("*", F.struct(own.alias("doc_id"), F.xxhash64("text").alias("text_key")).alias(f"{key}_"))
+    out = keyed.join(found, F.col(f"{key}_").eqNullSafe(F.col(key)), "left")
+    component = F.when(own.isNotNull(), F.coalesce(of, own))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(n).alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(own).alias("kept"))
