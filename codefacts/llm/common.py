@@ -17,11 +17,13 @@ SMALL_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where none is set and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -30,20 +32,37 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a short lineage that survives lost executors."""
+def cut(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write df to the shared folder, in folders by its last columns if they are named, and read it back: a short lineage that survives lost executors."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, store = _store(spark, path)
+    store.delete(at, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of the tables in a folder that have been written to the end."""
+    at, store = _store(spark, path)
+    if not store.exists(at):
+        return []
+    names = [x.getPath().getName() for x in store.listStatus(at) if x.isDirectory()]
+    return [n for n in names if store.exists(_store(spark, f"{path}/{n}/_SUCCESS")[0])]
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that cut() has written, once everything that reads it has been written itself."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(df.sparkSession, df._cut_path)
 
 
 def word_count(text: Column) -> Column:
