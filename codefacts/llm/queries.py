@@ -21,7 +21,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, uri = warc.archive(_table(spark, sf_dir, "pages"))
-    return warc.read_bundles(spark, uri, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(index, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

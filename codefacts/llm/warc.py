@@ -5,7 +5,7 @@ frame that lists the compressed and the plain size of every frame (the public se
 its file, its frame and the offset inside that frame, so one record costs one ranged read and one small decompression.
 
 Bundles are named by a digest of their content: a retried task writes the same file again, and what a lost attempt has
-left is in no index. They are written with pyarrow.fs to the shared folder and read back by Spark's binaryFile source.
+left is in no index. They are written to the shared folder and read by ranges with pyarrow.fs.
 
 Defined results. A null html is an empty payload, a null url an empty target. Rows with a null page_id are recorded under
 the id "none" and rank below all others. Rows that share payload and the largest page_id are all responses. An empty table
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import cut, fresh_path
@@ -37,12 +37,13 @@ RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_ty
 def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, digest, and refers_to (null for a response).
 
-    Payloads are compared by SHA-1 and length. Digests seen twice or more are found with partial counts; the rows of one
-    digest are never gathered, and a hot digest is left to AQE's skew join.
+    Payloads are compared by SHA-1 and length. Digests seen twice or more are found with partial counts and written, so
+    that the join with them is one of two plain shuffles, which AQE splits at a hot digest.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = cut(groups, "digests")
     of = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.join(groups, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", of.alias("refers_to"))
 
@@ -84,7 +85,7 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
 
 
 def frames(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed size, plain size) of every frame, from the footer alone."""
+    """(start, compressed size, plain size) of every frame, from the footer (or a whole bundle) alone."""
     n, flags, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != SEEK_TABLE:
         raise ValueError("no seek table")
@@ -97,12 +98,6 @@ def frames(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_record(bundle: bytes, frame: int, offset: int, size: int) -> bytes:
-    """One record: only its own frame is decompressed."""
-    start, packed, plain = frames(bundle)[frame]
-    return zstandard.ZstdDecompressor().decompress(bundle[start : start + packed], max_output_size=plain)[offset : offset + size]
-
-
 def _write(tables: Iterator[pd.DataFrame], uri: str, frame_bytes: int, bundle_bytes: int) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
@@ -160,33 +155,54 @@ def _page(urn: str) -> int | None:
     return None if name == "none" else int(name)
 
 
-def _read(tables: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
-    unpacker = zstandard.ZstdDecompressor()
+class Bundle:
+    """A bundle file, read by ranges: its footer once, then single frames."""
+
+    def __init__(self, store, path: str):
+        self.file = store.open_input_file(path)
+        size = self.file.size()
+        n, flags, _ = struct.unpack("<IBI", self.file.read_at(9, size - 9))
+        length = 9 + n * (12 if flags & 0x80 else 8)
+        self.frames = frames(self.file.read_at(length, size - length))
+
+    def frame(self, number: int) -> bytes:
+        start, packed, plain = self.frames[number]
+        return zstandard.ZstdDecompressor().decompress(self.file.read_at(packed, start), max_output_size=plain)
+
+
+def _fields(record: bytes, payloads: bool) -> tuple:
+    _, _, head, block = next(parse_records(record))
+    http, _, payload = block.partition(b"\r\n\r\n")
+    revisit = head["WARC-Type"] == "revisit"
+    told = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
+    digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest()
+    size = int(told["Content-Length"]) if revisit else len(payload)
+    return _page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], _page(head["WARC-Refers-To"]) if revisit else None, payload if payloads and not revisit else None
+
+
+def _read(tables: Iterator[pd.DataFrame], uri: str, payloads: bool) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(uri)
+    name, bundle, number, plain = None, None, None, b""
     for t in tables:
-        for path, content in t.itertuples(index=False, name=None):
-            view = memoryview(content)
-            for start, packed, plain in frames(content):
-                rows = []
-                for _, _, head, block in parse_records(unpacker.decompress(view[start : start + packed], max_output_size=plain)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    revisit = head["WARC-Type"] == "revisit"
-                    told = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
-                    digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest()
-                    rows.append((
-                        _page(head["WARC-Record-ID"]), int(told["Content-Length"]) if revisit else len(payload), digest, head["WARC-Type"],
-                        _page(head["WARC-Refers-To"]) if revisit else None, payload if payloads and not revisit else None, path.rsplit("/", 1)[-1],
-                    ))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file"], dtype=object)
-                yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
-
-
-def read_bundles(spark: SparkSession, uri: str, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of the bundles under uri that the index names, frame by frame."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary")
-    files = found.load(uri).select("path", "content") if index.limit(1).count() else None
-    if files is None:
-        return spark.createDataFrame([], RECORD)
-    return files.mapInPandas(lambda tables: _read(tables, payloads), RECORD).join(index.select("file").distinct(), "file", "left_semi").select(*[x.split()[0] for x in RECORD.split(", ")])
+        rows = []
+        for file, frame, at, n in t.itertuples(index=False, name=None):
+            if file != name:
+                name, bundle, number = file, Bundle(store, f"{folder}/{file}"), None
+            if frame != number:
+                number, plain = frame, bundle.frame(frame)
+            rows.append((*_fields(plain[at : at + n], payloads), file))
+        out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file"], dtype=object)
+        yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+
+
+def read_records(index: DataFrame, uri: str, payloads: bool = False) -> DataFrame:
+    """The records that index rows name, each found through its file's seek table: one ranged read a frame.
+
+    The rows of a frame stand together in an index as it is written, so a whole archive is read once, without a shuffle.
+    """
+    return index.select("file", "frame", "record_offset", "record_bytes").mapInPandas(lambda tables: _read(tables, uri, payloads), RECORD)
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000, uri: str | None = None) -> tuple[DataFrame, str]:
