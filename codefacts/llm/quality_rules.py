@@ -2,7 +2,7 @@
 
 A line of words fails as
 * navigation, when separator words make up a fifth of its words, or it is one short menu phrase;
-* boilerplate, when it holds a phrase of notices and page furniture;
+* boilerplate, when it holds a phrase of notices and page furniture, in English, German, French or Spanish;
 * punctuation, when it ends without a sentence end or closing mark and has too few words to be a cut-off sentence,
   or when marks that prose doesn't use end a third of its words;
 * shouting, when a line of several words is in capitals throughout;
@@ -16,6 +16,7 @@ result's names are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.buffers import Spans, chunks, words
+from codefacts.llm.common import WORD, without
 
 SYMBOLS = "#*$%&|<>"
+WORDS = re.compile(WORD)
 SEPARATORS = frozenset("| » › · • / > :: –".split())
-MENU = frozenset("home menu login search contact about sitemap next previous back subscribe share print help faq top register archive".split())
+#: Words of menus and phrases of notices, in four languages.
+MENU = frozenset(
+    "home menu login search contact about sitemap next previous back subscribe share print help faq top register archive "
+    "startseite suche kontakt weiter zurück hilfe anmelden drucken impressum "
+    "accueil rechercher contacter suivant précédent retour aide imprimer connexion "
+    "inicio buscar contacto siguiente anterior volver ayuda imprimir acceder".split()
+)
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "use cookies", "javascript",
     "lorem ipsum", "click here", "read more", "sign up", "log in", "login", "licensed under", "newsletter", "powered by", "copyright (c)",
     "copyright ©", "copyright 1", "copyright 2", "{{", "}}", "function(", "function (",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "hier klicken", "mehr lesen", "weiterlesen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "lire la suite",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utiliza cookies", "haga clic aquí", "leer más",
 )
 ENDS = tuple(".!?…:;\"'”’»)]。！？」")
 ODD_ENDS = (*"#*$%&|<>=~^_@\\", "!!", "??")
@@ -61,7 +73,7 @@ def judge(text: str) -> tuple[int, int, str]:
     """(characters of lines with words, characters of those lost, the text of the others)."""
     lines, seen, whole, lost, keep = text.split("\n"), set(), 0, 0, []
     for line in lines:
-        own = line.split()
+        own = WORDS.findall(line)
         if not own:
             keep.append(line)
             continue
@@ -119,7 +131,7 @@ def judge_documents(docs: DataFrame, most_lost: float = 0.5, min_words: int = 50
     kept is false for a document that fails the base check or loses over most_lost of the characters of its lines.
     A map over Arrow batches: no shuffle, and a task holds one batch at a time.
     """
-    docs = docs.drop(*RESULT)
+    docs = without(docs, *RESULT)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     added = ", ".join(f"{c} {'string' if c == 'clean_text' else 'boolean' if c in ('base_failed', 'kept') else 'bigint'}" for c in RESULT)
     at = docs.columns.index("text")
