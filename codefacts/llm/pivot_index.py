@@ -5,6 +5,10 @@ the square root of the number of different vectors). Each pivot has an inverted
 a list are compared by the number of pivots that they share; those that share enough are verified by cosine in double
 precision. A pair that shares several lists is verified on the one with the smallest pivot only.
 
+A list of over `long_list` vectors is taken apart by a second, larger pivot of its vectors. Since a pair shares two pivots at
+least, it meets in the list of its two smallest common ones, and only there. So lists grow with the vectors over the square
+of the number of pivots, and work stays in proportion where the pivots have reached their bound.
+
 Lists are cut into blocks of a bounded number of vectors, and each pair of blocks is a group of its own, so a hot list is
 spread over many tasks. A group returns, per vector, how many links it has there and the smallest vector of its part of the
 links; pairs themselves are never rows. Vectors with equal components are one class from the start, with a count.
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import components, cut
+from codefacts.llm.common import components, cut, spare, without
 
 ADDED = ("n_links", "component_id", "kept")
 DESCRIBED = "vec_id bigint, label string, dims int, n bigint, unit array<double>, near array<int>"
@@ -66,17 +70,22 @@ def _describe(tables, pivots: dict[int, np.ndarray], depth: int):
             yield pd.DataFrame({"vec_id": own["vec_id"], "label": own["label"], "dims": own["dims"], "n": own["n"], "unit": list(x), "near": list(near)})
 
 
-def links(rows: pd.DataFrame, pivot: int, first: int, second: int, least: float, shared: int) -> pd.DataFrame:
-    """Of two blocks of a pivot's list (or one, if first == second): per linked vector, its links and the smallest vec_id joined to it."""
+def links(rows: pd.DataFrame, pivot: int, next_pivot: int, first: int, second: int, least: float, shared: int) -> pd.DataFrame:
+    """Of two blocks of a list (or one, if first == second): per linked vector, its links and the smallest vec_id joined to it.
+
+    The list is that of a pivot, or of two (next_pivot >= 0), which are then the smallest that a pair shares.
+    """
     rows = rows.sort_values("vec_id", kind="stable", ignore_index=True)
     ids, n, block = rows["vec_id"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy()
     a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
     units, near = np.stack(rows["unit"].to_numpy()), np.stack(rows["near"].to_numpy())
-    held = np.zeros((len(rows), int(near.max()) + 2), np.float32)
-    np.put_along_axis(held, near + 1, 1, axis=1)
+    names, place = np.unique(near, return_inverse=True)
+    held = np.zeros((len(rows), len(names)), np.float32)
+    np.put_along_axis(held, place.reshape(near.shape), 1, axis=1)
     common = held[a] @ held[b].T
-    earlier = held[a, : pivot + 1] @ held[b, : pivot + 1].T
-    good = (common >= min(shared, near.shape[1])) & (earlier == 0) & (units[a] @ units[b].T >= least)
+    last = int(np.searchsorted(names, max(pivot, next_pivot), "right"))
+    upto = held[a, :last] @ held[b, :last].T
+    good = (common >= min(shared, near.shape[1])) & (upto == (1 if next_pivot < 0 else 2)) & (units[a] @ units[b].T >= least)
     if first == second:
         good &= a[:, None] < b[None, :]
     i, j = np.nonzero(good)
@@ -97,9 +106,11 @@ def links(rows: pd.DataFrame, pivot: int, first: int, second: int, least: float,
     return pd.DataFrame({"vec_id": ids[some], "links": count[some], "root": ids[root[some]]})
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 12, shared: int = 2, most_pivots: int = 1024, block_rows: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 12, shared: int = 2, most_pivots: int = 4096, block_rows: int = 512, long_list: int = 4096) -> DataFrame:
     """vectors with n_links (rows linked directly), component_id and kept, for links of cosine >= least within a label."""
-    vectors = vectors.drop(*ADDED)
+    if shared < 2:
+        raise ValueError("a pair has to share two pivots at least")
+    vectors = without(vectors, *ADDED)
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -111,24 +122,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 12, share
     described = cut(classes.select("vec_id", "label", "dims", "n", "vector").mapInPandas(lambda t: _describe(t, pivots, depth), DESCRIBED), "described")
     posting = described.withColumn("pivot", F.explode("near"))
     lists = ["label", "dims", "pivot"]
-    sizes = posting.groupBy(*lists).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    size = cut(posting.groupBy(*lists).agg(F.count("*").alias("size")), "sizes")
+    longer = F.explode(F.filter("near", lambda q: q > F.col("pivot")))
+    posting = posting.join(size, lists)
+    few, many = posting.where(F.col("size") <= long_list), posting.where(F.col("size") > long_list)
+    posting = few.withColumn("next_pivot", F.lit(-1)).unionByName(many.withColumn("next_pivot", longer)).drop("size")
+    lists = [*lists, "next_pivot"]
+    sizes = cut(posting.groupBy(*lists).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "blocks")
     posting = posting.join(sizes, lists).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     other = posting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = other.select(*lists, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "n", "unit", "near")
 
     def of(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return links(own, key[2], key[3], key[4], least, shared)
+        return links(own, key[2], key[3], key[4], key[5], least, shared)
 
     found = cut(paired.groupBy(*lists, "i", "j").applyInPandas(of, "vec_id bigint, links bigint, root bigint"), "links")
     joined = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vectors").withColumnRenamed("id", "vec_id")
     degree = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     result = classes.select(*by, "vec_id", "n").join(degree, "vec_id", "left").join(joined, "vec_id", "left")
-    result = result.select(*[F.col(c).alias(f"__{c}") for c in by], (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("__links"), F.coalesce("component_id", "vec_id").alias("__component"))
-    keyed = vectors.select(*[vectors[c] for c in vectors.columns], usable.alias("__usable"), *[c.alias(f"__of_{name}") for c, name in zip(key, by, strict=True)])
-    on = F.col("__usable")
-    for c in by:
-        on = on & (F.col(f"__of_{c}") == F.col(f"__{c}"))
-    out = keyed.join(result, on, "left")
+    result = cut(result.select(*by, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "vec_id").alias("component")), "result")
+    wanted, of = spare(vectors, "class_key"), spare(vectors, "of_class")
+    keyed = vectors.select("*", F.when(usable, F.struct(*key)).alias(wanted))
+    out = keyed.join(result.select(F.struct(*by).alias(of), "links", "component").select(F.struct(of, "links", "component").alias(of)), F.col(wanted) == F.col(f"{of}.{of}"), "left")
     own = F.col("vec_id").cast("long")
-    component = F.coalesce("__component", own)
-    return out.select(*[F.col(f"`{c}`") for c in vectors.columns], F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(own).alias("kept"))
+    component = F.coalesce(f"{of}.component", own)
+    return out.select(*[F.col(f"`{c}`") for c in vectors.columns], F.coalesce(f"{of}.links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(own).alias("kept"))
