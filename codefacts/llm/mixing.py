@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import SMALL_ROWS, cut, word_count
+from codefacts.llm.common import SMALL_ROWS, cut, spare, without, word_count
 
 INTERVALS = 4096
 ADDED = ("size", "source_size", "target", "copies", "taken")
@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     """Per source of sizes (source, size): source_size, target, whole copies, budget and scale.
 
     Sources that would pass their cap form a prefix in the order of size over weight, so a running sum decides in one pass
-    what repeated resharing would. There is one row per source here, and nothing else goes through the unkeyed window.
+    what repeated resharing would. There is one row per source here, and nothing else goes through the unkeyed window: one
+    task puts the sources in order, so their number is meant to be that of sites or collections, not of documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"))
     at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -77,9 +78,10 @@ def limits(sizes: DataFrame, per: DataFrame) -> DataFrame:
 
 def _by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     """rows with the columns of its source, which may be null. A table of few sources is broadcast, a larger one joined by AQE."""
-    key = per.withColumnRenamed("source", "__source")
+    name = spare(rows, "source_key")
+    key = per.withColumnRenamed("source", name)
     key = F.broadcast(key) if per.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else key
-    return rows.join(key, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    return rows.join(key, rows["source"].eqNullSafe(F.col(name))).drop(name)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -88,20 +90,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     Sources in the order of code points weigh `weights`, repeating; all targets together are `share` of all sizes, and none
     is above `cap` (at most 2) times its source's size.
     """
-    docs = docs.drop(*ADDED)
+    docs = without(docs, *ADDED)
     sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     per = cut(targets(sizes, weights, share, cap), "targets")
     ends = limits(sizes, per).withColumnRenamed("source", "__of")
     per = cut(per.join(ends, F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of"), "limits")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    clash = {c: f"__{c}" for c in ("source_size", "target", "whole", "scale", "limit", "budget")}
-    mixed = _by_source(docs.withColumn("__size", word_count(F.col("text"))), per.withColumnsRenamed(clash))
-    rank = pareto_rank(F.col("__size"), F.col("__scale"), F.col("doc_id"))
-    chosen = (F.col("__size") > 0) & (F.col("__scale") > 0) & F.coalesce(rank <= F.col("__limit"), F.lit(False))
-    copies = F.when(F.col("__size") > 0, F.col("__whole") + chosen.cast("long")).otherwise(0).cast("long")
-    return mixed.select(*names, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    size, of = spare(docs, "words"), spare(docs, "of_source")
+    per = per.select("source", F.struct(*[c for c in per.columns if c != "source"]).alias(of))
+    mixed = _by_source(docs.withColumn(size, word_count(F.col("text"))), per)
+    own = lambda name: F.col(f"{of}.{name}")
+    rank = pareto_rank(F.col(size), own("scale"), F.col("doc_id"))
+    chosen = (F.col(size) > 0) & (own("scale") > 0) & F.coalesce(rank <= own("limit"), F.lit(False))
+    copies = F.when(F.col(size) > 0, own("whole") + chosen.cast("long")).otherwise(0).cast("long")
+    added = (F.col(size).alias("size"), own("source_size").alias("source_size"), own("target").alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The documents of a mix: each row as often as its copies say, without the added columns."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy", *ADDED)
+    copy = spare(mixed, "copy_number")
+    return without(mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), copy, *ADDED)
