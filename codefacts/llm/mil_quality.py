@@ -5,9 +5,9 @@ sketch of its words, then a learned layer). Gated attention, tanh times sigmoid,
 passage representation is scored by a logistic unit. Only documents carry labels: the weights of passages are learned
 from them by gradient descent through the attention.
 
-The network is fitted on a bounded sample of labelled rows (`most_labelled`, in the order of a hash of doc_id) of the
-training folds; their passages, encoded by Spark tasks, reach the driver, and the fitted parameters (some 20 kB) go back to
-the tasks. Every passage of every document is encoded and scored, in one map without a shuffle.
+The network is fitted on a bounded sample of labelled rows of the training folds, in the order of a hash of doc_id: at most
+`most_labelled` of them, and no more than have `most_passages` passages together, so a few huge texts can't fill the driver.
+Their passages, encoded by Spark tasks, reach the driver, and the fitted parameters (some 20 kB) go back to the tasks. Every passage of every document is encoded and scored, in one map without a shuffle.
 
 Defined results. Null and wordless texts are a bag of one empty passage. A null label is no label; rows of labels that
 repeat or contradict count as they stand. Without any label the score is 0.5 throughout. Added columns replace input
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.llm.buffers import Spans, chunks, words
+from codefacts.llm.common import cut, without
 
 PASSAGE, SKETCH = 64, 64
 ADDED = ("held_out", "score", "predicted", "n_passages")
@@ -145,12 +146,15 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(2).slice(start, end - start), pa.ListArray.from_arrays(pa.array(at), flat)], ["rank", "y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> AttentionMil:
-    """Fit on labelled documents outside the held-out fold, most_labelled at most, which also bounds what is broadcast."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_passages: int = 100_000) -> AttentionMil:
+    """Fit on labelled documents outside the held-out fold, within both bounds, the first of which also bounds what is broadcast."""
     own = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y"))
     own = own.where(~in_fold(F.col("__id"))).withColumn("rank", F.xxhash64("__id")).orderBy("rank", "__id", "y").limit(most_labelled)
     bags = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("rank", "text", "y")
-    rows = bags.mapInArrow(_encoded, "rank bigint, y int, x array<array<float>>").orderBy("rank", "y").limit(2 * most_labelled).toArrow()
+    bags = cut(bags.mapInArrow(_encoded, "rank bigint, y int, x array<array<float>>"), "bags")
+    upto = F.sum(F.size("x")).over(Window.orderBy("rank", "y").rowsBetween(Window.unboundedPreceding, 0))  # most_labelled numbers
+    places = bags.select("rank", "y", upto.alias("upto")).where(F.col("upto") <= most_passages).select("rank", "y").distinct()
+    rows = bags.join(F.broadcast(places), ["rank", "y"]).select("rank", "y", "x").orderBy("rank", "y").limit(2 * most_labelled).toArrow()
     y = rows["y"].to_numpy().astype(float)
     model = AttentionMil()
     if len(set(y)) < 2:
@@ -173,7 +177,7 @@ def _scored(batches: Iterator[pa.RecordBatch], at: int, model: AttentionMil) ->
 
 def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> DataFrame:
     """docs with held_out, score (0 to 1), predicted (0 or 1) and n_passages. Scores depend on texts alone."""
-    docs = docs.drop(*ADDED)
+    docs = without(docs, *ADDED)
     model, at = train(docs, labels, most_labelled), docs.columns.index("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.mapInArrow(lambda b: _scored(b, at, model), f"{kinds}, score double, predicted int, n_passages bigint")
