@@ -5,6 +5,9 @@ size, each into the tightest bin that it fits and may join. A bin carries bitmap
 clusters in it; the successor search by residual goes on past bins whose bitmaps conflict until the tightest compatible
 one is found, or a new bin is opened. Shards are dealt by round-robin, so a hot source or cluster is spread evenly.
 
+A bin takes `per_source` documents of a source. By default that is 2 with eight sources or more, and otherwise as many as make
+16 documents a bin possible, so that few sources don't leave bins half empty.
+
 Defined results. A document longer than the capacity fills bins of its own and its rest is packed. A document without words
 (or a null text) is returned once with a null bin. Equal sizes go in the order of doc_id (nulls first). A null source or
 text is never in conflict. Every row is packed, repeated rows included, and rows of one cluster never share a bin.
@@ -17,7 +20,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import cut, word_count
@@ -81,15 +84,19 @@ def _pack_shard(frames: Iterator[pd.DataFrame], capacity: int, per_source: int)
     yield table.astype({"doc_id": "Int64", "piece": "int32", "first_word": "int64", "n_words": "int64", "bin_id": "Int64", "bin_offset": "Int64"})
 
 
-def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows: int = 16_384) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, per_source: int | None = None, shard_rows: int = 16_384, cluster: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, first_word, n_words, bin_id, bin_offset. Bins hold at most `capacity` words.
 
-    Rows with equal texts are a duplicate cluster. Only ids, sizes, sources and digests are shuffled. A shard of
+    Rows with equal texts are a duplicate cluster, or rows with equal values of `cluster` (as of near_duplicates) if it is
+    given. Only ids, sizes, sources and digests are shuffled. A shard of
     shard_rows rows is packed in one task whose memory that parameter bounds.
     """
-    narrow = docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.when(F.col("text").isNotNull(), F.xxhash64("text").cast("string")).alias("cluster"))
+    of = F.when(F.col("text").isNotNull(), F.xxhash64("text").cast("string")) if cluster is None else cluster.cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), of.alias("cluster"))
     narrow = narrow.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     narrow = cut(narrow, "sizes")
     shards = max(1, math.ceil(narrow.count() / shard_rows))
+    if per_source is None:
+        per_source = max(2, math.ceil(16 / max(1, narrow.select("source").distinct().limit(8).count())))
     dealt = narrow.repartition(shards).withColumn("shard", F.spark_partition_id())
     return dealt.mapInPandas(lambda frames: _pack_shard(frames, capacity, per_source), SCHEMA)
