@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from codefacts.llm import lattice_lm, line_dedup, mil_quality, minhash, mixing, packing, pivot_index, quality_rules, suffix_index, warc
@@ -94,7 +95,7 @@ def test_best_fit_is_the_tightest_compatible_bin():
 
 
 def test_quality_rules(docs, empty):
-    got = {r.doc_id: r for r in quality_rules.judge_documents(docs.drop("kept")).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge_documents(docs).collect()}
     assert got[0].n_words == 0 and got[0].base_failed and not got[0].kept
     assert got[6].n_words == 88 and got[6].n_repeat_words == 88 and got[6].base_failed
     assert got[9].word_chars == 200 and got[4].n_dup_lines == 0
@@ -247,7 +248,7 @@ def test_warc(spark, tmp_path):
     pages = [(1, "http://a/ b\r\n", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (None, "u", big), (7, "u", "é" * 200_000), (7, "u", "é" * 200_000)]
     table = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, digest string")
     index, uri = warc.archive(table, uri=f"file://{tmp_path}/w")
-    got = warc.read_bundles(spark, uri, index, payloads=True).collect()
+    got = warc.read_records(index, uri, payloads=True).collect()
     assert len(got) == len(pages)
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got)
     assert kinds == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (7, "response", None)]
@@ -256,8 +257,110 @@ def test_warc(spark, tmp_path):
         assert r.payload_bytes == len(html.encode()) and r.payload_digest == hashlib.sha1(html.encode()).hexdigest()
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html.encode()
     for r in index.collect():
-        bundle = (tmp_path / "w" / r.file).read_bytes()
-        record = warc.read_record(bundle, r.frame, r.record_offset, r.record_bytes)
+        plain = warc.Bundle(fs.LocalFileSystem(), str(tmp_path / "w" / r.file)).frame(r.frame)
+        record = plain[r.record_offset : r.record_offset + r.record_bytes]
         assert record.startswith(b"WARC/1.1\r\n") and f"<urn:page:{'none' if r.page_id is None else r.page_id}>".encode() in record
     index, uri = warc.archive(table.where("false"), uri=f"file://{tmp_path}/none")
-    assert index.count() == 0 and warc.read_bundles(spark, uri, index).count() == 0
+    assert index.count() == 0 and warc.read_records(index, uri).count() == 0
+
+
+CLASHES = "KEY text_key size_of component_of GONE AT line words of_source source_key copy_number own_spans K class_key of_class N_LINES Size TARGET n_Bytes SPANS x c".split()
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "mixing", "repeated", "minhash", "suffix_index", "quality_rules", "mil_quality"])
+def test_clashing_names(spark, docs, name):
+    """Columns that carry an operator's helper names pass through, and those of its results are replaced in any case."""
+    own = docs.drop("size", "kept", "score").select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int")
+    run, added = {
+        "line_dedup": (line_dedup.drop_repeated_lines, ("n_lines", "n_dropped")),
+        "mixing": (mixing.mix_sources, mixing.ADDED),
+        "repeated": (lambda d: mixing.repeated(mixing.mix_sources(d)), mixing.ADDED),
+        "minhash": (minhash.near_duplicates, minhash.ADDED),
+        "suffix_index": (suffix_index.remove_repeats, suffix_index.ADDED),
+        "quality_rules": (quality_rules.judge_documents, quality_rules.RESULT),
+        "mil_quality": (lambda d: mil_quality.score_quality(d, labels), mil_quality.ADDED),
+    }[name]
+    got = run(own)
+    kept = [c for c in own.columns if c.lower() not in added]
+    assert got.columns[: len(kept)] == kept and set(got.columns[len(kept) :]) == (set() if name == "repeated" else set(added))
+    assert all(r[c] == c for r in got.collect() for c in CLASHES if c in kept)
+
+
+def test_clashing_names_of_vectors(spark):
+    own = spark.createDataFrame([(1, [1.0, 2.0], 1, "u", "v"), (2, [1.0, 2.0], 1, "u", "v")], "vec_id long, embedding array<double>, label int, OF_class string, class_key string")
+    assert sorted(pivot_index.near_vectors(own).collect()) == [(1, [1.0, 2.0], 1, "u", "v", 1, 1, True), (2, [1.0, 2.0], 1, "u", "v", 1, 1, False)]
+
+
+def test_ties_of_ranks_and_sizes(spark):
+    """Rows of equal Pareto rank are taken together, and equal sizes are packed in the order of doc_id."""
+    same = spark.createDataFrame([(7, "a b", "s")] * 4 + [(i, "a b", "s") for i in range(8)], "doc_id long, text string, source string")
+    assert {len({x.copies for x in mixing.mix_sources(same).where("doc_id = 7").collect()})} == {1}
+    bins = [(r.doc_id, r.bin_id, r.bin_offset) for r in packing.pack(same.where("doc_id <> 7").withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))), capacity=6).orderBy("bin_id", "bin_offset").collect()]
+    assert [b[0] for b in bins] == sorted(b[0] for b in bins) and Counter(b[1] for b in bins) == {0: 2, 1: 2, 2: 2, 3: 1}
+
+
+def test_clusters_of_near_copies_part(spark):
+    own = spark.createDataFrame([(i, f"a b {i}", "s", i // 3) for i in range(9)], "doc_id long, text string, source string, component_id long")
+    bins = packing.pack(own, capacity=9, cluster=F.col("component_id")).collect()
+    assert len({r.bin_id for r in bins}) == 3 and all(len({r.bin_id for r in bins if r.doc_id // 3 == c}) == 3 for c in range(3))
+
+
+def test_long_pivot_lists_are_taken_apart(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 12))
+    vectors = [(i, (base[i % 60] + rng.normal(0, 0.05, 12)).tolist(), 1) for i in range(600)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    whole, apart = (sorted(pivot_index.near_vectors(table, block_rows=64, long_list=n).collect()) for n in (10_000, 20))
+    assert whole == apart and sum(r.n_links for r in whole) > 1000
+
+
+def test_suffix_family_goes_on_from_earlier_batches(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = [word(300) for _ in range(3)]
+    texts = [word(250) + shared[i % 3] + word(80) if i % 4 else word(300) for i in range(40)]
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, k long")
+    path, ranks, names = f"file://{tmp_path}/family", [], []
+    for first in range(0, 40, 10):
+        family = suffix_index.SuffixFamily(spark, path)
+        family.add(suffix_index.suffixes_of(table.where(F.col("k").between(first, first + 9))).drop("part"))
+        ranks.append([r for r, _ in family.levels])
+        names.append({a for _, a in family.levels})
+    assert ranks == [[0], [1], [1, 0], [2]] and names[1] < names[2]
+    family = suffix_index.SuffixFamily(spark, path)
+    ((_, array),) = family.levels
+    parts = [[(r.p, r.fp, r.k, r.at) for r in rows] for rows in family.table(array).rdd.glom().collect()]
+    whole = suffix_index.suffixes_of(table).drop("part").collect()
+    assert all(rows == sorted(rows) for rows in parts) and sorted(x for rows in parts for x in rows) == sorted(map(tuple, whole))
+    seen = Counter((r.p, r.fp) for r in whole)
+    assert {tuple(r) for r in family.matched().collect()} == {k for k, n in seen.items() if n > 1}
+    assert all(r.p == int.from_bytes(texts[r.k][r.at : r.at + 8].encode(), "big") - (1 << 63) for r in whole)
+
+
+def test_driver_gets_no_more_passages_than_stated(spark):
+    rows = [(i, ("good words here " if i % 2 else "# # $ % ") * (3000 if i == 4 else 40), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    sizes = []
+    fit = mil_quality.AttentionMil.fit
+    try:
+        mil_quality.AttentionMil.fit = lambda self, x, bounds, y: sizes.append(len(x)) or fit(self, x, bounds, y)
+        mil_quality.train(docs, labels, most_passages=50)
+    finally:
+        mil_quality.AttentionMil.fit = fit
+    assert 20 < sizes[0] <= 50
+
+
+def test_attention_score_by_hand(spark):
+    """The forward pass over bags equals the formula written out passage by passage."""
+    rng = np.random.default_rng(3)
+    model = mil_quality.AttentionMil()
+    model.p = {k: rng.normal(size=v.shape) for k, v in model.p.items()}
+    x, bounds = rng.normal(size=(7, mil_quality.WIDTH)), [0, 1, 5]
+    p, sigmoid = model.p, lambda v: 1 / (1 + np.exp(-v))
+    for got, (a, b) in zip(model.score(x, np.array(bounds)), [(0, 1), (1, 5), (5, 7)], strict=True):
+        h = [np.maximum(row @ p["W"] + p["b"], 0) for row in x[a:b]]
+        gates = np.array([sum(p["w"][j] * np.tanh(v @ p["V"][:, j]) * sigmoid(v @ p["U"][:, j]) for j in range(len(p["w"]))) for v in h])
+        weights = np.exp(gates) / np.exp(gates).sum()
+        assert np.isclose(got, sigmoid(sum(w * v for w, v in zip(weights, h, strict=True)) @ p["c"] + p["d"][0]))
