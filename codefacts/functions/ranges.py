@@ -34,6 +34,20 @@ def by_length(text: Column) -> list[Column]:
     return [F.octet_length(text), text]
 
 
+def occurrence_keys(columns: list[str]) -> list[Column]:
+    """Sort keys of an occurrence: range, symbol, roles, then, as far as there are such columns, syntax kind, overriding
+    documentation and diagnostics. Lists are compared by size first, texts in the order of symbols."""
+    keys = [*order(), *by_length(F.col("symbol")), F.col("roles")]
+    if "syntax_kind" in columns:
+        keys.append(F.col("syntax_kind"))
+    if "override_documentation" in columns:
+        keys += [F.size("override_documentation"), F.transform("override_documentation", lambda d: F.struct(F.octet_length(d), d))]
+    if "diagnostics" in columns:
+        texts = lambda d: [x for name in ("code", "message", "source") for x in by_length(d[name])]
+        keys += [F.size("diagnostics"), F.transform("diagnostics", lambda d: F.struct(d["severity"], *texts(d), F.size(d["tags"]), d["tags"]))]
+    return keys
+
+
 def is_definition(roles: Column) -> Column:
     return roles.bitwiseAND(DEFINITION) != 0
 

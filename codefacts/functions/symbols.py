@@ -92,9 +92,15 @@ def local_symbol(counter: Column) -> Column:
     return F.concat(F.lit("local "), counter)
 
 
+def enum_constant(enum: Column, name: Column, is_scoped: Column) -> Column:
+    """The symbol of an enum's case: below the enum if that is scoped, else in the scope that encloses the enum."""
+    outer = F.regexp_replace(enum, r"(`([^`]|``)*`|[A-Za-z0-9+$_-]+)#$", "")
+    return F.concat(F.when(is_scoped, enum).otherwise(outer), escape_name(name), F.lit("."))
+
+
 def clean_doc(comment: Column) -> Column:
-    """A comment without outer ASCII white space; one of white space alone becomes an empty text."""
-    return F.btrim(comment, F.lit(" \t\n\x0b\x0c\r"))
+    """A comment without outer ASCII white space and with invalid UTF-8 replaced; one of white space alone becomes an empty text."""
+    return F.btrim(F.make_valid_utf8(comment), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def has_doc(documentation: Column, strict: bool = False) -> Column:

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codefacts.operators.tables import durable
 from codefacts.schema import MAX_GRAPH_STEPS
 
+#: Rounds after which the pairs seen so far become one table again.
+MERGE_EVERY = 16
 
-def closure(edges: DataFrame, steps: int = MAX_GRAPH_STEPS) -> DataFrame:
+
+def closure(edges: DataFrame, steps: int = MAX_GRAPH_STEPS, defined: DataFrame | None = None) -> DataFrame:
     """All (derived, base) that edges (derived, base) reach; a node is never its own base.
 
-    Each round joins only the pairs that the last round found and takes away those already seen, so cycles end. Rounds are
-    cut by reliable checkpoints if the session has a folder for them.
+    With defined (derived), bases without a definition are reached but not gone on from. Each round joins only the pairs that
+    the last round found and takes away those already seen, so cycles end; it writes the new pairs alone.
     """
     direct = edges.select("derived", "base").where("derived <> base").distinct()
-    hops = direct.select(F.col("derived").alias("base"), F.col("base").alias("next"))
-    durable = direct.sparkSession.sparkContext.getCheckpointDir() is not None
-    seen = fresh = direct.checkpoint() if durable else direct.persist()
-    for _ in range(steps):
-        found = fresh.join(hops, "base").select("derived", F.col("next").alias("base")).where("derived <> base").distinct().join(seen, ["derived", "base"], "left_anti")
-        fresh = found.checkpoint() if durable else found.persist()
+    known = direct if defined is None else direct.join(defined.select("derived").distinct(), "derived", "left_semi")
+    hops = known.select(F.col("derived").alias("base"), F.col("base").alias("next"))
+    kept = lambda rows: durable(rows) if rows.sparkSession.sparkContext.getCheckpointDir() is not None else rows.persist()
+    seen = fresh = kept(direct)
+    for step in range(1, steps + 1):
+        found = fresh.join(hops, "base").select("derived", F.col("next").alias("base")).where("derived <> base").distinct()
+        fresh = kept(found.join(seen, ["derived", "base"], "left_anti"))
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
-        seen = seen.checkpoint() if durable else seen
+        seen = kept(seen) if step % MERGE_EVERY == 0 else seen
     raise RuntimeError(f"no fixed point after {steps} steps")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codefacts.functions.units import seconds
+
 
 def latest_state(events: DataFrame) -> DataFrame:
     """The state of each job (task_id, subtask) after its last event. One partial maximum per job."""
@@ -50,6 +52,13 @@ def summary(commands: DataFrame, events: DataFrame) -> DataFrame:
     return own.toDF(*names).union(done).union(wrong).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def phase_times(events: DataFrame) -> DataFrame:
+    """Per phase (subtask), the seconds from its first start to its last finish, and its finished jobs."""
+    own = events.where("event IN ('start', 'finish')").groupBy("subtask")
+    ends = own.agg(F.min(F.when(F.col("event") == "start", F.col("ts"))).alias("first"), F.max(F.when(F.col("event") == "finish", F.col("ts"))).alias("last"), F.count_distinct(F.when(F.col("event") == "finish", F.col("task_id"))).alias("n_done"))
+    return ends.select("subtask", (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))).alias("micros"), "n_done").select("subtask", seconds(F.col("micros"), 3).alias("seconds"), "n_done")
+
+
 def stats_of_jobs(stats: DataFrame, jobs: DataFrame) -> DataFrame:
     """Statistics of second phases with the file of their task's first phase."""
     return stats.join(jobs.where("subtask = 0").select("task_id", "filepath").distinct(), "task_id")

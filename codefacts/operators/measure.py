@@ -41,6 +41,33 @@ def budget_groups(paths: DataFrame, budget: int = 900 * 1024) -> DataFrame:
     return paths.groupBy("task_id").applyInPandas(split, "task_id bigint, ord bigint, path string, grp int")
 
 
+def _mix(a: str, b: str) -> str:
+    return hashlib.md5(f"{a}|{b}".encode()).hexdigest()[:16]
+
+
+def _passages(own: pd.DataFrame):
+    """(path, hash, history) of each file's passage in a unit; history: before, mixed value, context, data, after."""
+    stack = []
+
+    def take(value: str, context: str, data: str | None) -> None:
+        top = stack[-1]
+        after = _mix(top[1], value)
+        top[2].append((top[1], value, context, data, after))
+        top[1] = after
+
+    for kind, value in own.sort_values("seq", kind="stable")[["kind", "value"]].itertuples(index=False, name=None):
+        if kind == "enter":
+            stack.append([value, "0", []])
+            take(value, "self path", None)
+        elif kind == "exit" and stack:
+            path, h, history = stack.pop()
+            yield path, h, history
+            if stack:
+                take(h, "hash for #include", path)
+        elif stack and kind != "exit":
+            take(f"{kind} {value}", kind, None)
+
+
 def include_hashes(events: DataFrame) -> DataFrame:
     """Per unit, the hash of each file's passage: events (task_id, seq, kind, value) of enter, exit, and other kinds.
 
@@ -49,20 +76,28 @@ def include_hashes(events: DataFrame) -> DataFrame:
     """
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
-        stack, out = [], []
-        mix = lambda a, b: hashlib.md5(f"{a}|{b}".encode()).hexdigest()[:16]
-        for kind, value in own.sort_values("seq", kind="stable")[["kind", "value"]].itertuples(index=False, name=None):
-            if kind == "enter":
-                stack.append([value, mix("0", value)])
-            elif kind == "exit" and stack:
-                path, h = stack.pop()
-                out.append((path, h))
-                if stack:
-                    stack[-1][1] = mix(stack[-1][1], h)
-            elif stack and kind != "exit":
-                stack[-1][1] = mix(stack[-1][1], f"{kind} {value}")
-        done = pd.DataFrame(out, columns=["path", "hash"])
+        done = pd.DataFrame([x[:2] for x in _passages(own)], columns=["path", "hash"])
         done.insert(0, "task_id", own["task_id"].iloc[0])
         return done
 
     return events.groupBy("task_id").applyInPandas(fold, "task_id bigint, path string, hash string")
+
+
+def hash_history(events: DataFrame) -> DataFrame:
+    """How the hashes of include_hashes came about: a row for each value that a passage of a file has mixed in."""
+
+    def fold(own: pd.DataFrame) -> pd.DataFrame:
+        rows = [(own["task_id"].iloc[0], passage, path, i, *step) for passage, (path, _, history) in enumerate(_passages(own)) for i, step in enumerate(history)]
+        return pd.DataFrame(rows, columns=["task_id", "passage", "path", "ord", "before", "mixed_value", "mix_context", "context_data", "after"])
+
+    schema = "task_id bigint, passage int, path string, ord int, before string, mixed_value string, mix_context string, context_data string, after string"
+    return events.groupBy("task_id").applyInPandas(fold, schema)
+
+
+def history_text(history: DataFrame) -> DataFrame:
+    """Per passage, its history as a YAML document."""
+    line = lambda name, column: F.concat(F.lit(f"    {name}:".ljust(21)), column)
+    step = F.concat_ws("\n", F.concat(F.lit("  - before-hash:".ljust(21)), "before"), line("mixed-value", F.col("mixed_value")), line("mix-context", F.col("mix_context")), line("context-data", F.col("context_data")), line("after-hash", F.col("after")))
+    own = history.withColumn("step", step).groupBy("task_id", "passage", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "step", "after"))).alias("steps"))
+    head = F.concat(F.lit("---\npath:            "), "path", F.lit("\nhash:            "), F.element_at("steps", -1)["after"], F.lit("\nhistory:"))
+    return own.select("task_id", "passage", "path", F.concat_ws("\n", head, F.array_join(F.transform("steps", lambda s: s["step"]), "\n"), F.lit("...")).alias("text"))

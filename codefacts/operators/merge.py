@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.functions.symbols import fake_symbol, is_doc, suffix
+from codefacts.operators.tables import durable
 from codefacts.schema import MISSING_DOC
 
+#: The flags of a relationship in the order in which they are compared.
+FLAGS = ["is_definition", "is_reference", "is_type_definition", "is_implementation"]
 OCCURRENCE = ["relative_path", "symbol", "start_line", "start_char", "end_line", "end_char", "roles"]
 
 
@@ -27,23 +30,50 @@ def merge_symbols(symbols: DataFrame, by: list[str], order: list[str]) -> DataFr
 
 
 def merge_relationships(relations: DataFrame) -> DataFrame:
-    """Relationships (symbol, target, is_implementation, is_reference) as a sorted set per symbol."""
-    return relations.distinct().groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("target", "is_implementation", "is_reference"))).alias("relationships"))
+    """Relationships (symbol, target, four flags) as a set per symbol, ordered by their flags, then by target: shorter ones first."""
+    one = F.struct(*FLAGS, F.octet_length("target").alias("n"), "target")
+    return relations.select("symbol", "target", *FLAGS).distinct().groupBy("symbol").agg(F.array_sort(F.collect_list(one)).alias("relationships"))
+
+
+def with_relationships(symbols: DataFrame, relations: DataFrame) -> DataFrame:
+    """symbols with their relationships, an empty array where there are none."""
+    own = symbols.join(merge_relationships(relations), "symbol", "left")
+    kind = f"array<struct<{', '.join(f'{f}: boolean' for f in FLAGS)}, n: int, target: string>>"
+    return own.withColumn("relationships", F.coalesce("relationships", F.array().cast(kind)))
+
+
+def forward_groups(references: DataFrame) -> DataFrame:
+    """Per unit and suffix, the ranges of its forward references in order, and the first documentation among them (else an empty text)."""
+    place = F.struct("relative_path", "start_line", "start_char", "end_line", "end_char")
+    doc = F.min_by("doc", F.when(is_doc(F.col("doc")), F.struct(place, "doc")))
+    return references.groupBy("task_id", "suffix").agg(F.coalesce(doc, F.lit("")).alias("doc"), F.sort_array(F.collect_list(place)).alias("references"))
+
+
+def external_names(external: DataFrame) -> DataFrame:
+    """The set of external symbols of each suffix."""
+    return external.groupBy("suffix").agg(F.array_sort(F.collect_set("symbol")).alias("names"))
+
+
+def forward_by_document(documents: DataFrame, references: DataFrame) -> DataFrame:
+    """Per document, the number of its forward references. Those of paths without a document are lost."""
+    counts = references.groupBy("relative_path").agg(F.count("*").alias("n"))
+    return documents.select("relative_path").distinct().join(counts, "relative_path", "left").select("relative_path", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def first_symbols(symbols: DataFrame) -> DataFrame:
-    """The one in-document symbol of each suffix: singly indexed documents first, then by unit, path and symbol."""
-    order = F.struct("is_multi", "task_id", "relative_path", F.octet_length("symbol"), "symbol")
+    """The one in-document symbol of each suffix: singly indexed documents first, then by unit, path and symbol, as far as these are given."""
+    known = [c for c in ("is_multi", "task_id", "relative_path") if c in symbols.columns]
+    order = F.struct(*known, F.octet_length("symbol"), "symbol")
     return symbols.withColumn("suffix", suffix(F.col("symbol"))).where("suffix IS NOT NULL").groupBy("suffix").agg(F.min_by("symbol", order).alias("symbol"))
 
 
 def resolve(suffixes: DataFrame, in_documents: DataFrame, external: DataFrame) -> DataFrame:
-    """suffix, symbol and how it was found: in a document, else under every external name, else invented.
+    """suffix, symbol and how it was found: the first in a document, else under every external name, else invented.
 
     External names are joined to suffixes without an in-document symbol only, so others don't fan out.
     """
     keys = suffixes.select("suffix").distinct()
-    d = in_documents.select("suffix", F.col("symbol").alias("d"))
+    d = first_symbols(in_documents).select("suffix", F.col("symbol").alias("d"))
     found = keys.join(d, "suffix", "left")
     open_keys = found.where("d IS NULL").select("suffix").join(external.select("suffix", F.col("symbol").alias("e")).distinct(), "suffix", "left")
     own = found.where("d IS NOT NULL").select("suffix", F.col("d").alias("symbol"), F.lit("document").alias("found"))
@@ -67,10 +97,22 @@ def remaining_external(external: DataFrame, in_documents: DataFrame, suffixes: D
     return external.join(defined.distinct(), "suffix", "left_anti")
 
 
+def offered_docs(resolved: DataFrame, references: DataFrame) -> DataFrame:
+    """The first documentation (offer) that forward declarations have for each symbol. References are reduced to one a suffix first."""
+    first = references.where(is_doc(F.col("doc"))).groupBy("suffix").agg(F.min(F.struct("task_id", "doc")).alias("first"))
+    return resolved.select("suffix", "symbol").join(first, "suffix").groupBy("symbol").agg(F.min("first").alias("first")).select("symbol", F.col("first.doc").alias("offer"))
+
+
+def external_records(external: DataFrame, in_documents: DataFrame, references: DataFrame, resolved: DataFrame) -> DataFrame:
+    """symbol, suffix, doc of the external symbols of an index: those that remain, with their documentation patched, and the invented ones."""
+    left = patched_docs(remaining_external(external, in_documents, references).select("symbol", "suffix", "doc"), resolved, references)
+    new = resolved.where("found = 'invented'").join(offered_docs(resolved, references), "symbol", "left")
+    return left.select("symbol", "suffix", "doc").unionByName(new.select("symbol", "suffix", F.coalesce("offer", F.lit(MISSING_DOC)).alias("doc")))
+
+
 def patched_docs(symbols: DataFrame, resolved: DataFrame, references: DataFrame) -> DataFrame:
     """symbols (symbol, doc) where forward declarations document those that have no documentation themselves."""
-    offers = references.join(resolved.select("suffix", "symbol"), "suffix").where(is_doc(F.col("doc")))
-    offers = offers.groupBy("symbol").agg(F.min_by("doc", F.struct("task_id", "doc")).alias("offer"))
+    offers = durable(offered_docs(resolved, references))
     doc = F.when(is_doc(F.col("doc")), F.col("doc")).otherwise(F.coalesce("offer", "doc"))
     return symbols.join(offers, "symbol", "left").withColumn("doc", doc).drop("offer")
 

@@ -41,6 +41,21 @@ def hover(symbols: DataFrame, external: DataFrame) -> DataFrame:
     return own.join(other, "symbol", "full").select("symbol", F.coalesce("own", "other").alias("doc"))
 
 
+def shown_docs(occurrences: DataFrame, symbols: DataFrame, relations: DataFrame) -> DataFrame:
+    """The documentation (the smallest text of symbols) that is shown under occurrences: definitions, and all occurrences of
+    symbols that another one defines."""
+    docs = symbols.groupBy("symbol").agg(F.min("doc").alias("doc"))
+    other = relations.where("is_definition").select("symbol", F.lit(True).alias("elsewhere")).distinct()
+    own = occurrences.join(docs, "symbol").join(other, "symbol", "left")
+    return own.where(is_definition(F.col("roles")) | F.coalesce("elsewhere", F.lit(False))).drop("elsewhere")
+
+
+def undocumented(symbols: DataFrame) -> DataFrame:
+    """One row: symbols, those without documentation, and their ratio."""
+    n, none = F.count_distinct("symbol"), F.count_distinct(F.when(~is_doc(F.col("doc")), F.col("symbol")))
+    return symbols.groupBy("symbol").agg(F.max_by("doc", is_doc(F.col("doc"))).alias("doc")).agg(n.alias("n"), none.alias("n_undocumented"), (none / n).alias("ratio"))
+
+
 def cross_links(left: DataFrame, right: DataFrame) -> DataFrame:
     """Symbols of two indexes that are the same."""
     return left.select("symbol").distinct().join(right.select("symbol").distinct(), "symbol")

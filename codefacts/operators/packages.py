@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import paths
-from codefacts.functions.symbols import text_hash
+from codefacts.functions.symbols import file_symbol
 
 NAME = r"^[A-Za-z0-9._-]+@[A-Za-z0-9._-]+$"
 
@@ -22,6 +22,13 @@ def load_map(entries: DataFrame) -> DataFrame:
     return first.select(F.col("path").alias("root"), F.substring_index("package", "@", 1).alias("name"), F.substring_index("package", "@", -1).alias("version"))
 
 
+def require_root(packages: DataFrame, project_root: str) -> DataFrame:
+    """packages, or an error if the project's own root isn't among them."""
+    if packages.where(F.col("root") == project_root).isEmpty():
+        raise ValueError(f"no package for the project root {project_root}")
+    return packages
+
+
 def conflicts(entries: DataFrame) -> DataFrame:
     """Roots that valid entries give to different packages."""
     return entries.where(is_valid(F.col("package"))).groupBy("path").agg(F.count_distinct("package").alias("n")).where("n > 1")
@@ -55,6 +62,7 @@ def classify(files: DataFrame, packages: DataFrame, project_root: str, build_roo
     return out.withColumn("stable_path", stable.otherwise(paths.external_path(path))).withColumn("is_in_project", F.col("kind").isin("project", "build")).withColumn("is_synthetic", F.col("kind") == "external")
 
 
-def file_ids(files: DataFrame) -> DataFrame:
-    """files (path) with an opaque id that depends on the path alone."""
-    return files.withColumn("file_id", text_hash(F.col("path")))
+def include_references(includes: DataFrame, files: DataFrame, package: Column, version: Column) -> DataFrame:
+    """A reference to the file symbol of each included file (path, hash) that is known; others have none."""
+    known = files.select("path", "hash").distinct()
+    return includes.join(known, ["path", "hash"]).withColumn("symbol", file_symbol(package, version, F.col("path")))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.operators import facts, merge, planning
+from codefacts.functions.paths import root_uri
+from codefacts.operators import facts, merge, planning, render
+from codefacts.operators.tables import durable
 
 PLACED = ["relative_path", "symbol", "start_line", "start_char", "roles"]
+PARTS = ("metadata", "documents", "external_symbols")
 
 
 def merged_occurrences(occurrences: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
     """All occurrences of an index: those of documents once, then every forward reference under its resolved symbol."""
-    resolved = merge.resolve(references, symbols.where("in_doc"), symbols.where("is_ext"))
+    resolved = durable(merge.resolve(references, symbols.where("in_doc"), symbols.where("is_ext")))
     return merge.append_forward(occurrences.select(*PLACED).distinct(), merge.forward_occurrences(references, resolved), PLACED)
 
 
@@ -20,6 +23,34 @@ def document_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("relative_path").agg(F.count("*").alias("n_occ"), F.count_distinct("symbol").alias("n_sym"), F.sum("roles").cast("long").alias("n_def"))
 
 
+def merged_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, project_root: str) -> dict[str, DataFrame]:
+    """The whole index of a project from what its units have written: metadata, nested documents and external symbols.
+
+    occurrences: merge.OCCURRENCE columns; symbols: relative_path, symbol, suffix, doc, task_id, is_multi; external: symbol,
+    suffix, doc; relations: symbol, target and four flags; references (through forward declarations): task_id, suffix, doc,
+    and a range in relative_path.
+    """
+    spark = occurrences.sparkSession
+    resolved = durable(merge.resolve(references, symbols, external))
+    whole = merge.append_forward(merge.merge_occurrences(occurrences), merge.forward_occurrences(references, resolved), merge.OCCURRENCE)
+    own = merge.merge_symbols(symbols, ["relative_path", "symbol"], ["is_multi", "task_id", "doc"])
+    own = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, references), relations)
+    others = merge.with_relationships(merge.external_records(external, symbols, references, resolved), relations)
+    about = spark.range(1).select(F.lit("0.4").alias("version"), F.lit("codefacts").alias("tool"), root_uri(F.lit(project_root)).alias("project_root"), F.lit("UTF8").alias("text_encoding"))
+    return {"metadata": about, "documents": render.nested_documents(whole, own), "external_symbols": others.drop("suffix")}
+
+
+def write_index(index: dict[str, DataFrame], path: str) -> None:
+    """Write the parts of an index: metadata first, then documents, then external symbols in their order."""
+    for name in PARTS:
+        rows = index[name].sort(F.octet_length("symbol"), "symbol") if name == "external_symbols" else index[name]
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in PARTS}
+
+
 def unit_outputs(all_facts: DataFrame, files: DataFrame, seen: DataFrame) -> dict[str, DataFrame]:
     """What units emit from facts: claims, then rules, then records. files: path, stable_path, is_in_project; seen: task_id, path, hash."""
     own = facts.emit(planning.claimed(facts.usable(all_facts), planning.claims(seen)), files)

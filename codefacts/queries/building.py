@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codefacts.functions import paths, symbols
+from codefacts.functions import paths
 from codefacts.operators import commands, jobs, measure, packages, planning, render
 from codefacts.queries import query
 from codefacts.schema import MAX_OVERLOADS
@@ -136,8 +136,7 @@ def j05_any_hash(spark, sf_dir):
     ON t.path = f.path AND t.hash = f.hash""")
 def j06_include_reference(spark, sf_dir):
     seen = tu_file(spark, sf_dir)
-    target = planning.claims(seen).select("path", "hash")
-    return seen.join(target, ["path", "hash"]).select("path", "hash", symbols.file_symbol(F.lit(None), F.lit("."), F.col("path")).alias("symbol"), "task_id")
+    return packages.include_references(seen, planning.claims(seen), F.lit(None), F.lit(".")).select("path", "hash", "symbol", "task_id")
 
 
 _STATS = "(SELECT path, count(DISTINCT hash) AS n_hash FROM tu_file GROUP BY path)"
@@ -247,13 +246,13 @@ def w07_chunks(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", planning.chunk_of(o % 1003, F.lit(1003), 7).alias("chunk"))
 
 
-@query(f"""SELECT call, ord, symbol, CAST(n AS BIGINT) AS n FROM (SELECT l_orderkey % 500 AS call, l_partkey * 100 + l_linenumber AS ord, concat('s', l_partkey) AS symbol,
-    row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_partkey * 100 + l_linenumber, concat('s', l_partkey)) AS n FROM lineitem WHERE l_partkey % 3 <> 0) x WHERE n <= {MAX_OVERLOADS}""")
+@query(f"""SELECT call, ord, symbol, CAST(n AS BIGINT) AS n FROM (SELECT l_orderkey // 16 AS call, l_partkey * 100 + l_linenumber AS ord, concat('s', l_partkey) AS symbol,
+    row_number() OVER (PARTITION BY l_orderkey // 16 ORDER BY l_partkey * 100 + l_linenumber, concat('s', l_partkey)) AS n FROM lineitem WHERE l_partkey % 3 <> 0) x WHERE n <= {MAX_OVERLOADS}""")
 def o10_top16(spark, sf_dir):
     from codefacts.operators import merge
 
     p = F.col("l_partkey")
-    own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("call"), (p * 100 + F.col("l_linenumber")).alias("ord"), F.when(p % 3 != 0, F.concat(F.lit("s"), p)).alias("symbol"))
+    own = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey DIV 16").alias("call"), (p * 100 + F.col("l_linenumber")).alias("ord"), F.when(p % 3 != 0, F.concat(F.lit("s"), p)).alias("symbol"))
     return merge.top_overloads(own, MAX_OVERLOADS).withColumn("n", F.col("n").cast("long"))
 
 

@@ -8,10 +8,10 @@ from codefacts.operators import facts, graph, measure, merge, planning
 from codefacts.plans import index
 from codefacts.queries import query
 from codefacts.schema import MAX_ENUM_CASES, MISSING_DOC
-from codefacts.sources.adapters import base_edge, fwd_raw, occ_raw, sym_raw, sym_seen, table, tu_file
+from codefacts.sources.adapters import base_edge, fwd_raw, occ_raw, rel_raw, sym_raw, sym_seen, table, tu_file
 
 _RES = """(SELECT f.suffix, coalesce(d.symbol, e.symbol, concat('cxx . . $ ', f.suffix)) AS symbol, CASE WHEN d.symbol IS NOT NULL THEN 'document' WHEN e.symbol IS NOT NULL THEN 'external' ELSE 'invented' END AS found
-    FROM (SELECT DISTINCT suffix FROM fwd_raw) f LEFT JOIN (SELECT suffix, symbol FROM sym_raw WHERE in_doc) d ON f.suffix = d.suffix
+    FROM (SELECT DISTINCT suffix FROM fwd_raw) f LEFT JOIN (SELECT suffix, arg_min(symbol, (is_multi, task_id, relative_path, strlen(symbol), symbol)) AS symbol FROM sym_raw WHERE in_doc GROUP BY suffix) d ON f.suffix = d.suffix
     LEFT JOIN (SELECT suffix, symbol FROM sym_raw WHERE is_ext) e ON f.suffix = e.suffix AND d.symbol IS NULL)"""
 _ALL = f"""(SELECT * FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, roles FROM occ_raw) o
     UNION ALL SELECT w.relative_path, r.symbol, w.start_line, w.start_char, 0 FROM fwd_raw w JOIN {_RES} r ON w.suffix = r.suffix)"""
@@ -41,11 +41,55 @@ def j07_patched_docs(spark, sf_dir):
     return merge.patched_docs(s.select("task_id", "symbol", "doc"), merge.resolve(w, s.where("in_doc"), s.where("is_ext")), w).select("task_id", "symbol", "doc")
 
 
-@query("""SELECT o.relative_path, count(w.start_line) AS n FROM (SELECT DISTINCT relative_path FROM occ_raw WHERE task_id % 2 = 0) o LEFT JOIN fwd_raw w ON o.relative_path = w.relative_path GROUP BY o.relative_path""")
+_OFFER = f"""(SELECT r.symbol, arg_min(w.doc, (w.task_id, w.doc)) AS offer FROM fwd_raw w JOIN {_RES} r ON w.suffix = r.suffix WHERE w.doc <> '' AND w.doc <> '{MISSING_DOC}' GROUP BY r.symbol)"""
+_EXTERNAL = f"""(SELECT e.symbol, CASE WHEN e.doc <> '' AND e.doc <> '{MISSING_DOC}' THEN e.doc ELSE coalesce(o.offer, e.doc) END AS doc
+    FROM (SELECT * FROM sym_raw WHERE is_ext AND suffix NOT IN (SELECT suffix FROM sym_raw WHERE in_doc AND suffix IN (SELECT suffix FROM fwd_raw))) e LEFT JOIN {_OFFER} o ON o.symbol = e.symbol
+    UNION ALL SELECT r.symbol, coalesce(o.offer, '{MISSING_DOC}') FROM {_RES} r LEFT JOIN {_OFFER} o ON o.symbol = r.symbol WHERE r.found = 'invented')"""
+
+
+@query(f"SELECT symbol, doc FROM {_EXTERNAL} e")
+def j07_external_records(spark, sf_dir):
+    s, w = sym_raw(spark, sf_dir), fwd_raw(spark, sf_dir)
+    resolved = merge.resolve(w, s.where("in_doc"), s.where("is_ext"))
+    return merge.external_records(s.where("is_ext"), s.where("in_doc"), w, resolved).select("symbol", "doc")
+
+
+def _index(spark, sf_dir):
+    s = sym_raw(spark, sf_dir)
+    return index.merged_index(occ_raw(spark, sf_dir), s.where("in_doc"), s.where("is_ext"), rel_raw(spark, sf_dir), fwd_raw(spark, sf_dir), "/proj")
+
+
+_SHOWN_RELATIONS = "coalesce((SELECT string_agg(concat(CAST(r.is_definition AS INT), CAST(r.is_reference AS INT), CAST(r.is_type_definition AS INT), CAST(r.is_implementation AS INT), ' ', r.target), ',' ORDER BY r.is_definition, r.is_reference, r.is_type_definition, r.is_implementation, strlen(r.target), r.target) FROM rel_raw r WHERE r.symbol = s.symbol), '')"
+
+
+def _relations_text():
+    text = lambda r: F.concat(*[r[c].cast("int").cast("string") for c in merge.FLAGS], F.lit(" "), r["target"])
+    return F.array_join(F.transform("relationships", text), ",").alias("relations")
+
+
+@query(f"""SELECT relative_path, row_number() OVER (PARTITION BY relative_path ORDER BY start_line, start_char, start_line <> end_line, CASE WHEN start_line <> end_line THEN end_line ELSE end_char END, end_char, strlen(symbol), symbol, roles) - 1 AS place,
+    start_line, start_char, end_line, end_char, symbol, roles FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw
+    UNION ALL SELECT w.relative_path, r.symbol, w.start_line, w.start_char, w.end_line, w.end_char, 0 FROM fwd_raw w JOIN {_RES} r ON w.suffix = r.suffix) x""")
+def k02_document_occurrences(spark, sf_dir):
+    own = _index(spark, sf_dir)["documents"].select("relative_path", F.posexplode("occurrences").alias("place", "o"))
+    return own.select("relative_path", F.col("place").cast("long").alias("place"), "o.start_line", "o.start_char", "o.end_line", "o.end_char", "o.symbol", "o.roles")
+
+
+@query(f"""SELECT s.relative_path, row_number() OVER (PARTITION BY s.relative_path ORDER BY strlen(s.symbol), s.symbol) - 1 AS place, s.symbol, CASE WHEN s.doc <> '{MISSING_DOC}' THEN s.doc ELSE coalesce(o.offer, s.doc) END AS doc, {_SHOWN_RELATIONS} AS relations
+    FROM (SELECT relative_path, symbol, coalesce(arg_min(doc, (is_multi, task_id, doc)) FILTER (doc <> '' AND doc <> '{MISSING_DOC}'), '{MISSING_DOC}') AS doc FROM sym_raw WHERE in_doc GROUP BY relative_path, symbol) s LEFT JOIN {_OFFER} o ON o.symbol = s.symbol""")
+def k02_document_symbols(spark, sf_dir):
+    own = _index(spark, sf_dir)["documents"].select("relative_path", F.posexplode("symbols").alias("place", "s"))
+    return own.select("relative_path", F.col("place").cast("long").alias("place"), "s.symbol", "s.doc", F.col("s.relationships").alias("relationships")).select("relative_path", "place", "symbol", "doc", _relations_text())
+
+
+@query(f"SELECT s.symbol, s.doc, {_SHOWN_RELATIONS} AS relations FROM {_EXTERNAL} s")
+def k02_external_symbols(spark, sf_dir):
+    return _index(spark, sf_dir)["external_symbols"].select("symbol", "doc", _relations_text())
+
+
+@query("""SELECT o.relative_path, count(w.start_line) AS n FROM (SELECT DISTINCT relative_path FROM occ_raw WHERE roles = 1) o LEFT JOIN fwd_raw w ON o.relative_path = w.relative_path GROUP BY o.relative_path""")
 def j08_forward_by_document(spark, sf_dir):
-    documents = occ_raw(spark, sf_dir).where("task_id % 2 = 0").select("relative_path").distinct()
-    counts = fwd_raw(spark, sf_dir).groupBy("relative_path").agg(F.count("*").alias("n"))
-    return documents.join(counts, "relative_path", "left").select("relative_path", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return merge.forward_by_document(occ_raw(spark, sf_dir).where("roles = 1"), fwd_raw(spark, sf_dir))
 
 
 @query("""SELECT relative_path, count(*) AS n, CAST(sum(start_char) AS BIGINT) AS chars FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw) x GROUP BY relative_path""")
@@ -62,11 +106,33 @@ def a04_first_doc(spark, sf_dir):
     return merge.merge_symbols(sym_seen(spark, sf_dir), ["relative_path", "symbol"], _ORDER)
 
 
-@query("""SELECT symbol, string_agg(target, ',' ORDER BY target) AS targets FROM (SELECT DISTINCT concat('T', l_partkey) AS symbol, concat('T', l_partkey % 50) AS target FROM lineitem) x GROUP BY symbol""")
+def _relations(spark, sf_dir):
+    """Relationships of parts to suppliers, with flags by the state of a line item."""
+    p, flag = F.col("l_partkey"), F.col("l_returnflag")
+    flags = ((F.col("l_linenumber") % 5 == 0).alias("is_definition"), (F.col("l_linestatus") == "F").alias("is_reference"), (flag == "R").alias("is_type_definition"), (flag == "A").alias("is_implementation"))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("T"), p).alias("symbol"), F.concat(F.lit("T"), "l_suppkey").alias("target"), *flags)
+
+
+_RELATIONS = """(SELECT DISTINCT concat('T', l_partkey) AS symbol, concat('T', l_suppkey) AS target, l_linenumber % 5 = 0 AS is_definition, l_linestatus = 'F' AS is_reference, l_returnflag = 'R' AS is_type_definition, l_returnflag = 'A' AS is_implementation FROM lineitem)"""
+_FLAG_ORDER = "is_definition, is_reference, is_type_definition, is_implementation, strlen(target), target"
+
+
+@query(f"SELECT symbol, string_agg(target, ',' ORDER BY {_FLAG_ORDER}) AS targets FROM {_RELATIONS} x GROUP BY symbol")
 def a05_relation_union(spark, sf_dir):
-    p = F.col("l_partkey")
-    own = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("T"), p).alias("symbol"), F.concat(F.lit("T"), p % 50).alias("target"), F.lit(True).alias("is_implementation"), F.lit(False).alias("is_reference"))
-    return merge.merge_relationships(own).select("symbol", F.array_join(F.transform("relationships", lambda r: r["target"]), ",").alias("targets"))
+    return merge.merge_relationships(_relations(spark, sf_dir)).select("symbol", F.array_join(F.transform("relationships", lambda r: r["target"]), ",").alias("targets"))
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {_FLAG_ORDER}) - 1 AS place FROM {_RELATIONS} x")
+def o04_relationship_order(spark, sf_dir):
+    own = merge.merge_relationships(_relations(spark, sf_dir)).select("symbol", F.posexplode("relationships").alias("place", "r"))
+    return own.select("symbol", F.col("place").cast("long").alias("place"), "r.target", *[f"r.{c}" for c in merge.FLAGS])
+
+
+@query(f"""SELECT s.symbol, s.doc, coalesce(string_agg(r.target, ',' ORDER BY r.is_definition, r.is_reference, r.is_type_definition, r.is_implementation, strlen(r.target), r.target), '') AS targets
+    FROM (SELECT symbol, coalesce(arg_min(doc, (task_id, ord, line, doc)) FILTER (doc <> '' AND doc <> '{MISSING_DOC}'), '{MISSING_DOC}') AS doc FROM sym_seen GROUP BY symbol) s LEFT JOIN rel_raw r ON r.symbol = s.symbol GROUP BY s.symbol, s.doc""")
+def a06_external_relations(spark, sf_dir):
+    own = merge.with_relationships(merge.merge_symbols(sym_seen(spark, sf_dir), ["symbol"], _ORDER), rel_raw(spark, sf_dir))
+    return own.select("symbol", "doc", F.array_join(F.transform("relationships", lambda r: r["target"]), ",").alias("targets"))
 
 
 @query(f"SELECT symbol, {_FIRST} AS doc, count(*) AS n_seen FROM sym_seen GROUP BY symbol")
@@ -74,14 +140,18 @@ def a06_external_merge(spark, sf_dir):
     return merge.merge_symbols(sym_seen(spark, sf_dir), ["symbol"], _ORDER)
 
 
-@query(f"SELECT task_id, suffix, doc, n FROM (SELECT task_id, suffix, min(doc) AS doc, count(*) AS n FROM fwd_raw GROUP BY task_id, suffix) x")
+@query("""SELECT task_id, suffix, coalesce(arg_min(doc, (relative_path, start_line, start_char, end_line, end_char, doc)) FILTER (doc <> ''), '') AS doc, count(*) AS n,
+    string_agg(concat(start_line, ':', start_char), ',' ORDER BY relative_path, start_line, start_char) AS places
+    FROM (SELECT * REPLACE (CASE WHEN start_line % 3 = 0 THEN '' ELSE doc END AS doc) FROM fwd_raw) x GROUP BY task_id, suffix""")
 def a07_forward_groups(spark, sf_dir):
-    return fwd_raw(spark, sf_dir).groupBy("task_id", "suffix").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+    own = fwd_raw(spark, sf_dir).withColumn("doc", F.when(F.col("start_line") % 3 == 0, "").otherwise(F.col("doc")))
+    places = F.array_join(F.transform("references", lambda r: F.concat(r["start_line"], F.lit(":"), r["start_char"])), ",")
+    return merge.forward_groups(own).select("task_id", "suffix", "doc", F.size("references").cast("long").alias("n"), places.alias("places"))
 
 
 @query("SELECT suffix, string_agg(symbol, ',' ORDER BY symbol) AS names FROM (SELECT DISTINCT suffix, symbol FROM sym_raw WHERE is_ext) x GROUP BY suffix")
 def a08_external_names(spark, sf_dir):
-    return sym_raw(spark, sf_dir).where("is_ext").groupBy("suffix").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("names"))
+    return merge.external_names(sym_raw(spark, sf_dir).where("is_ext")).select("suffix", F.array_join("names", ",").alias("names"))
 
 
 @query(r"""SELECT suffix, arg_min(symbol, (is_multi, task_id, relative_path, strlen(symbol), symbol)) AS symbol FROM (
@@ -94,10 +164,10 @@ def a09_suffix_first(spark, sf_dir):
 
 
 @query("""SELECT path, start_line, start_char, end_char, seq, symbol FROM (SELECT *, row_number() OVER (PARTITION BY path, start_line, start_char, end_char ORDER BY seq, symbol) AS n FROM (
-    SELECT concat('f', l_orderkey % 97) AS path, l_linenumber AS start_line, CAST(l_quantity AS INT) AS start_char, CAST(l_quantity AS INT) + 3 AS end_char, l_orderkey AS seq, concat('M', l_partkey) AS symbol FROM lineitem) x) y WHERE n = 1""")
+    SELECT concat('f', l_orderkey // 20) AS path, l_linenumber AS start_line, CAST(l_quantity AS INT) AS start_char, CAST(l_quantity AS INT) + 3 AS end_char, l_orderkey AS seq, concat('M', l_partkey) AS symbol FROM lineitem) x) y WHERE n = 1""")
 def a10_macro_dedup(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
-    own = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_orderkey") % 97).alias("path"), F.col("l_linenumber").alias("start_line"), q.alias("start_char"), (q + 3).alias("end_char"), F.col("l_orderkey").alias("seq"), F.concat(F.lit("M"), "l_partkey").alias("symbol"))
+    own = table(spark, sf_dir, "lineitem").select(F.expr("concat('f', l_orderkey DIV 20)").alias("path"), F.col("l_linenumber").alias("start_line"), q.alias("start_char"), (q + 3).alias("end_char"), F.col("l_orderkey").alias("seq"), F.concat(F.lit("M"), "l_partkey").alias("symbol"))
     return merge.dedup_macro_uses(own)
 
 
@@ -119,10 +189,11 @@ def u05_all_files(spark, sf_dir):
     return planning.all_files(seen.where("task_id % 2 = 0"), seen.where("task_id % 3 = 0")).groupBy("task_id", "path", "hash").agg(F.count("*").alias("n"))
 
 
-@query("SELECT path FROM (SELECT path FROM tu_file GROUP BY path HAVING count(DISTINCT hash) = 1) a INTERSECT SELECT path FROM tu_file GROUP BY path HAVING count(DISTINCT hash) > 1")
+@query("""SELECT path FROM (SELECT path FROM tu_file WHERE task_id % 3 = 0 GROUP BY path HAVING count(DISTINCT hash) = 1) a INTERSECT SELECT path FROM tu_file GROUP BY path HAVING count(DISTINCT hash) > 1""")
 def u06_disjoint_plans(spark, sf_dir):
-    stats = planning.path_stats(tu_file(spark, sf_dir))
-    return stats.where("NOT is_multi").select("path").intersect(stats.where("is_multi").select("path"))
+    """Paths that the plan of some units has as singly indexed and that of all units as multiply indexed."""
+    seen = tu_file(spark, sf_dir)
+    return planning.in_both_plans(planning.path_stats(seen.where("task_id % 3 = 0")), planning.path_stats(seen))
 
 
 @query("""WITH RECURSIVE up AS (SELECT derived, base FROM base_edge UNION ALL SELECT u.derived, e.base FROM up u JOIN base_edge e ON u.base = e.derived) SELECT DISTINCT derived, base FROM up""")
@@ -130,6 +201,13 @@ def r01_closure(spark, sf_dir):
     return graph.closure(base_edge(spark, sf_dir))
 
 
+@query("""WITH RECURSIVE up AS (SELECT derived, base FROM base_edge UNION ALL SELECT u.derived, e.base FROM up u JOIN base_edge e ON u.base = e.derived JOIN part p ON p.p_partkey = u.base AND p.p_size % 4 <> 0)
+    SELECT DISTINCT derived, base FROM up""")
+def r01_undefined_bases(spark, sf_dir):
+    defined = table(spark, sf_dir, "part").where("p_size % 4 <> 0").select(F.col("p_partkey").alias("derived"))
+    return graph.closure(base_edge(spark, sf_dir), defined=defined)
+
+
 @query("SELECT concat('T', derived) AS symbol, concat('T', base) AS target, true AS is_implementation, true AS is_reference FROM base_edge")
 def r02_overrides(spark, sf_dir):
     own = base_edge(spark, sf_dir).select(F.lit("function").alias("node_kind"), F.concat(F.lit("T"), "derived").alias("symbol"), F.array(F.concat(F.lit("T"), "base")).alias("related"))
@@ -240,10 +318,10 @@ def e27_declaration_docs(spark, sf_dir):
 def w03_include_hashes(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "enter").when(F.col("event_type") == "view", "exit").otherwise("define")
-    return measure.include_hashes(e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value")))
+    return measure.include_hashes(e.select(F.expr("user_id * 1000000 + event_id DIV 512").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value")))
 
 
 @query()
 def w08_budget_groups(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
-    return measure.budget_groups(d.select((F.col("l_orderkey") % 50).alias("task_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("/proj/inc/h"), "l_partkey", F.lit(".h")).alias("path")), 4096)
+    return measure.budget_groups(d.select(F.expr("l_orderkey DIV 20").alias("task_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("/proj/inc/h"), "l_partkey", F.lit(".h")).alias("path")), 4096)

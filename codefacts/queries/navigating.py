@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codefacts.operators import graph, merge, navigate, render
 from codefacts.queries import query
 from codefacts.schema import MISSING_DOC
-from codefacts.sources.adapters import base_edge, occ_raw, source_line, sym_raw, sym_seen, table
+from codefacts.sources.adapters import base_edge, occ_raw, rel_raw, source_line, sym_raw, sym_seen, table
 
 _OCC = "(SELECT DISTINCT relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw)"
 
@@ -18,15 +18,15 @@ def _occurrences(spark, sf_dir):
 
 def _places(spark, sf_dir):
     o = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("src/f"), o % 97, F.lit(".cc")).alias("relative_path"), (o % 7).cast("int").alias("line"), (o % 53).cast("int").alias("char")).distinct()
+    return table(spark, sf_dir, "orders").select(F.expr("concat('src/f', o_orderkey DIV 20, '.cc')").alias("relative_path"), (o % 7).cast("int").alias("line"), (o % 53).cast("int").alias("char")).distinct()
 
 
-_PLACES = "(SELECT DISTINCT concat('src/f', o_orderkey % 97, '.cc') AS relative_path, CAST(o_orderkey % 7 AS INT) AS line, CAST(o_orderkey % 53 AS INT) AS char FROM orders)"
+_PLACES = "(SELECT DISTINCT concat('src/f', o_orderkey // 20, '.cc') AS relative_path, CAST(o_orderkey % 7 AS INT) AS line, CAST(o_orderkey % 53 AS INT) AS char FROM orders)"
 
 
 @query(f"""SELECT p.relative_path, p.line, p.char, p.symbol, d.relative_path AS def_path, d.start_line AS def_line, d.start_char AS def_char FROM
-    (SELECT DISTINCT p.relative_path, p.line, p.char, o.symbol FROM {_PLACES} p JOIN {_OCC} o ON o.relative_path = p.relative_path AND o.start_line = p.line AND o.start_char <= p.char AND p.char < o.end_char) p
-    JOIN (SELECT DISTINCT symbol, relative_path, start_line, start_char FROM {_OCC} x WHERE roles = 1 AND symbol LIKE '%1#') d ON p.symbol = d.symbol""")
+    (SELECT DISTINCT p.relative_path, p.line, p.char, o.symbol FROM {_PLACES} p JOIN {_OCC} o ON o.relative_path = p.relative_path AND o.start_line = p.line AND o.start_line = o.end_line AND o.start_char <= p.char AND p.char < o.end_char) p
+    JOIN (SELECT DISTINCT symbol, relative_path, start_line, start_char FROM {_OCC} x WHERE roles = 1) d ON p.symbol = d.symbol""")
 def n01_definition(spark, sf_dir):
     own = _occurrences(spark, sf_dir)
     return navigate.go_to_definition(own, _places(spark, sf_dir)).select("relative_path", "line", "char", "symbol", "def_path", "def_line", "def_char")
@@ -51,7 +51,7 @@ def n04_hover(spark, sf_dir):
     return navigate.hover(sym_seen(spark, sf_dir), sym_raw(spark, sf_dir).where("is_ext"))
 
 
-@query("SELECT concat('cxx . . .$ `<file>//proj/inc/h', l_partkey, '.h`/') AS symbol, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_partkey % 20 = 3 GROUP BY l_partkey")
+@query("SELECT concat('cxx . . .$ `<file>//proj/inc/h', l_partkey, '.h`/') AS symbol, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey")
 def n05_includes(spark, sf_dir):
     from codefacts.functions.symbols import file_symbol
     from codefacts.sources.adapters import tu_file
@@ -65,11 +65,31 @@ def n06_cross_repo(spark, sf_dir):
     return navigate.cross_links(own.where("task_id % 2 = 0"), own.where("task_id % 5 = 1 AND roles = 1"))
 
 
-@query("SELECT symbol FROM occ_raw WHERE roles = 1 AND start_char < 4 EXCEPT SELECT symbol FROM occ_raw WHERE roles = 0 AND start_char < 4")
+@query("SELECT symbol FROM occ_raw WHERE roles = 1 EXCEPT SELECT symbol FROM occ_raw WHERE roles = 0")
 def n07_unused(spark, sf_dir):
     return navigate.unused(occ_raw(spark, sf_dir))
 
 
+def _members(spark, sf_dir):
+    """Seven members of each part, defined with it and used by its line items of their number."""
+    name = lambda of, n: F.concat(of, n, F.lit("."))
+    defined = sym_raw(spark, sf_dir).select("symbol", "relative_path", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n")).select(name(F.col("symbol"), F.col("n")).alias("symbol"), "relative_path", F.lit(1).alias("roles"))
+    used = occ_raw(spark, sf_dir).select(name(F.col("symbol"), F.col("start_line") + 1).alias("symbol"), "relative_path", F.lit(0).alias("roles"))
+    return defined.unionByName(used)
+
+
+@query("""SELECT DISTINCT concat(symbol, n, '.') AS symbol FROM sym_raw, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS n) m
+    EXCEPT SELECT concat(symbol, start_line + 1, '.') FROM occ_raw""")
+def n07_unused_members(spark, sf_dir):
+    return navigate.unused(_members(spark, sf_dir))
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (NOT has) AS n_undocumented, count(*) FILTER (NOT has) / count(*) AS ratio
+    FROM (SELECT symbol, bool_or(doc <> '' AND doc <> '{MISSING_DOC}') AS has FROM sym_raw GROUP BY symbol) x""")
+def n07_undocumented(spark, sf_dir):
+    return navigate.undocumented(sym_raw(spark, sf_dir))
+
+
 @query("SELECT symbol, count(*) AS n_references, count(DISTINCT relative_path) AS n_files FROM occ_raw WHERE roles = 0 GROUP BY symbol")
 def n07_fan_in(spark, sf_dir):
     return navigate.fan_in(occ_raw(spark, sf_dir))
@@ -81,12 +101,12 @@ def _shown(spark, sf_dir):
     return o.withColumn("relative_path", F.concat(F.lit("src/d"), F.regexp_extract("relative_path", "([0-9]+)", 1), F.lit(".cc")))
 
 
-_SHOWN = f"(SELECT concat('src/d', regexp_extract(relative_path, '([0-9]+)', 1), '.cc') AS relative_path, symbol, start_line, start_char, end_char, roles FROM {_OCC} x WHERE start_line < 5)"
+_SHOWN = f"(SELECT concat('src/d', regexp_extract(relative_path, '([0-9]+)', 1), '.cc') AS relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM {_OCC} x)"
 _MARK = "concat('//', repeat(' ', start_char), repeat('^', end_char - start_char), CASE WHEN roles = 1 THEN ' definition ' ELSE ' reference ' END, replace(replace(symbol, 'cxx . . $ ', '[..] '), 'cxx . ', ''))"
 
 
 @query(f"""SELECT l.relative_path, l.line_no, concat('  ', l.text, coalesce(chr(10) || string_agg(m.mark, chr(10) ORDER BY m.start_char, m.end_char, strlen(m.symbol), m.symbol, m.roles), '')) AS snapshot
-    FROM source_line l LEFT JOIN (SELECT *, {_MARK} AS mark FROM {_SHOWN} o) m ON l.relative_path = m.relative_path AND l.line_no = m.start_line + 1 GROUP BY l.relative_path, l.line_no, l.text""")
+    FROM source_line l LEFT JOIN (SELECT *, {_MARK} AS mark FROM {_SHOWN} o WHERE start_line = end_line) m ON l.relative_path = m.relative_path AND l.line_no = m.start_line + 1 GROUP BY l.relative_path, l.line_no, l.text""")
 def k04_snapshot_lines(spark, sf_dir):
     return render.snapshot(source_line(spark, sf_dir), _shown(spark, sf_dir)).select("relative_path", F.col("line_no").cast("long").alias("line_no"), "snapshot")
 
@@ -94,14 +114,13 @@ def k04_snapshot_lines(spark, sf_dir):
 @query(f"SELECT count(*) AS n, count(DISTINCT l.relative_path) AS n_files FROM source_line l JOIN {_SHOWN} o ON l.relative_path = o.relative_path AND l.line_no - 1 = o.start_line")
 def j11_line_join(spark, sf_dir):
     lines, shown = source_line(spark, sf_dir), _shown(spark, sf_dir)
-    both = lines.join(shown, (lines["relative_path"] == shown["relative_path"]) & (lines["line_no"] - 1 == shown["start_line"]))
-    return both.agg(F.count("*").alias("n"), F.count_distinct(lines["relative_path"]).alias("n_files"))
+    return render.on_lines(lines, shown).agg(F.count("*").alias("n"), F.count_distinct("relative_path").alias("n_files"))
 
 
-@query(f"""SELECT o.relative_path, o.symbol, o.start_line, o.start_char, s.doc FROM {_OCC} o JOIN (SELECT symbol, min(doc) AS doc FROM sym_raw GROUP BY symbol) s ON o.symbol = s.symbol WHERE o.roles = 1""")
+@query(f"""SELECT o.relative_path, o.symbol, o.start_line, o.start_char, s.doc FROM {_OCC} o JOIN (SELECT symbol, min(doc) AS doc FROM sym_raw GROUP BY symbol) s ON o.symbol = s.symbol
+    WHERE o.roles = 1 OR o.symbol IN (SELECT symbol FROM rel_raw WHERE is_definition)""")
 def j12_shown_docs(spark, sf_dir):
-    docs = sym_raw(spark, sf_dir).groupBy("symbol").agg(F.min("doc").alias("doc"))
-    return navigate.definitions(_occurrences(spark, sf_dir)).join(docs, "symbol").select("relative_path", "symbol", "start_line", "start_char", "doc")
+    return navigate.shown_docs(_occurrences(spark, sf_dir), sym_raw(spark, sf_dir), rel_raw(spark, sf_dir)).select("relative_path", "symbol", "start_line", "start_char", "doc")
 
 
 @query("SELECT symbol, concat('// ', replace(replace(symbol, 'cxx . . $ ', '[..] '), 'cxx . ', ''), chr(10), '// documentation', chr(10), '// | ', doc) AS snapshot FROM sym_raw WHERE is_ext")
@@ -109,7 +128,7 @@ def k05_external_text(spark, sf_dir):
     return render.external_text(sym_raw(spark, sf_dir).where("is_ext"))
 
 
-@query(f"""SELECT o.relative_path, o.n AS n_occurrences, coalesce(s.n, 0) AS n_symbols, o.first FROM (SELECT relative_path, count(*) AS n, arg_min(symbol, (start_line, start_char, end_line, end_char, strlen(symbol), symbol, roles)) AS first FROM {_OCC} x GROUP BY relative_path) o
+@query(f"""SELECT o.relative_path, o.n AS n_occurrences, coalesce(s.n, 0) AS n_symbols, o.first FROM (SELECT relative_path, count(*) AS n, arg_min(symbol, (start_line, start_char, start_line <> end_line, CASE WHEN start_line <> end_line THEN end_line ELSE end_char END, end_char, strlen(symbol), symbol, roles)) AS first FROM {_OCC} x GROUP BY relative_path) o
     LEFT JOIN (SELECT relative_path, count(DISTINCT symbol) AS n FROM sym_seen GROUP BY relative_path) s ON o.relative_path = s.relative_path""")
 def k02_nested_documents(spark, sf_dir):
     documents = render.nested_documents(_occurrences(spark, sf_dir), merge.merge_symbols(sym_seen(spark, sf_dir), ["relative_path", "symbol"], ["task_id", "ord", "line", "doc"]))

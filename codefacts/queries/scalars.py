@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.functions import paths, ranges, symbols
-from codefacts.operators import commands
+from codefacts.functions import paths, ranges, symbols, units
+from codefacts.operators import commands, planning, tables
 from codefacts.queries import query
 from codefacts.schema import MISSING_DOC
 from codefacts.sources.adapters import base_edge, compdb, occ_raw, page_path, sym_raw, table
@@ -94,10 +94,10 @@ def p09_file_symbol(spark, sf_dir):
     return page_path(spark, sf_dir).select("page_id", symbols.file_symbol(F.lit("web"), F.lit("v1"), F.col("path")).alias("symbol"))
 
 
-@query(r"SELECT page_id, concat('$anonymous_namespace_', path) AS name, 'a/' AS inner_suffix FROM page_path")
+@query(f"SELECT page_id, concat('$anonymous_namespace_', path) AS name, concat({_ESC.format('n')}, '/') AS inner_suffix FROM (SELECT *, concat('$anonymous_namespace_', path) AS n FROM page_path) x")
 def p10_anonymous_namespace(spark, sf_dir):
     name = symbols.anonymous_namespace(F.col("path"))
-    whole = F.concat(F.lit("cxx . p v$ a/"), F.lit(""))
+    whole = symbols.symbol(F.lit("p"), F.lit("v"), symbols.descriptor(name, F.lit("namespace")))
     return page_path(spark, sf_dir).select("page_id", name.alias("name"), symbols.suffix(whole).alias("inner_suffix"))
 
 
@@ -107,6 +107,25 @@ def p11_anonymous_type(spark, sf_dir):
     return page_path(spark, sf_dir).select("page_id", symbols.anonymous_type(F.col("path"), (p % 7).cast("string"), p % 2 == 0).alias("name"))
 
 
+_COUNTED = """(SELECT concat('f', user_id) AS path, event_id AS seq, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY f, event_type) - 1 AS BIGINT) AS counter
+    FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events) y)"""
+
+
+def _uses(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("f"), "user_id").alias("path"), F.col("event_type").alias("decl"), F.col("event_id").alias("seq"))
+
+
+@query(f"SELECT path, seq, CASE WHEN seq % 2 = 0 THEN concat('$anonymous_type_', {_SHORT.format('path')}, '_', counter) ELSE concat('$anonymous_type_', counter) END AS name FROM {_COUNTED} c")
+def p11_counted_types(spark, sf_dir):
+    own = planning.local_counters(_uses(spark, sf_dir))
+    return own.select("path", "seq", symbols.anonymous_type(F.col("path"), F.col("counter").cast("string"), F.col("seq") % 2 == 0).alias("name"))
+
+
+@query(f"SELECT path, seq, concat('local ', counter) AS symbol FROM {_COUNTED} c")
+def p12_local_symbol(spark, sf_dir):
+    return planning.local_symbols(_uses(spark, sf_dir)).select("path", "seq", "symbol")
+
+
 @query(f"SELECT p_partkey, {_SHORT.format('p_type')} AS disambiguator, {_HASH.format('p_name')} AS hash FROM part")
 def p13_disambiguator(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", symbols.short_hash(F.col("p_type")).alias("disambiguator"), symbols.text_hash(F.col("p_name")).alias("hash"))
@@ -181,7 +200,7 @@ def p24_root_uri(spark, sf_dir):
 @query("SELECT conv_id, turn, trim(concat(chr(9), ' ', text, chr(10), ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS doc, '' AS blank FROM conversations")
 def p25_clean_doc(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", symbols.clean_doc(F.concat(F.lit("\t "), "text", F.lit("\n "))).alias("doc"), symbols.clean_doc(F.lit(" \n\t")).alias("blank"))
+    return t.select("conv_id", "turn", symbols.clean_doc(F.concat(F.lit("\t "), "text", F.lit("\n "))).alias("doc"), symbols.clean_doc(F.repeat(F.lit(" \n\t"), F.col("turn") % 3)).alias("blank"))
 
 
 @query(f"SELECT task_id, symbol, doc <> '{MISSING_DOC}' AS loose, doc <> '' AND doc <> '{MISSING_DOC}' AS has FROM sym_raw")
@@ -190,12 +209,11 @@ def p26_has_doc(spark, sf_dir):
     return sym_raw(spark, sf_dir).select("task_id", "symbol", symbols.has_doc(doc, strict=True).alias("loose"), symbols.has_doc(doc).alias("has"))
 
 
-@query("""SELECT n_nationkey, CASE WHEN name = '' THEN 'anonymous namespace' WHEN n_regionkey = 2 THEN concat('inline namespace ', name) ELSE concat('namespace ', name) END AS doc,
-    concat('File: ', lower(n_name), '.h') AS file_doc FROM (SELECT *, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS name FROM nation) x""")
+@query("""SELECT p_partkey, CASE WHEN name = '' THEN 'anonymous namespace' WHEN p_size % 3 = 2 THEN concat('inline namespace ', name) ELSE concat('namespace ', name) END AS doc,
+    concat('File: ', p_name, '.h') AS file_doc FROM (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS name FROM part) x""")
 def p27_namespace_doc(spark, sf_dir):
-    t = table(spark, sf_dir, "nation")
-    name = F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.col("n_name"))
-    return t.select("n_nationkey", symbols.namespace_doc(name, F.col("n_regionkey") == 2).alias("doc"), symbols.file_doc(F.concat(F.lower("n_name"), F.lit(".h"))).alias("file_doc"))
+    name = F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.col("p_brand"))
+    return _part(spark, sf_dir).select("p_partkey", symbols.namespace_doc(name, F.col("p_size") % 3 == 2).alias("doc"), symbols.file_doc(F.concat("p_name", F.lit(".h"))).alias("file_doc"))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity, CASE WHEN el = sl THEN concat(sl - 1, ',', sc - 1, ',', ec - 1) ELSE concat(sl - 1, ',', sc - 1, ',', el - 1, ',', ec - 1) END AS stored,
@@ -234,7 +252,7 @@ def p31_display(spark, sf_dir):
 
 @query("SELECT event_id, round(event_id * 1234567 / 1e6, 3) AS seconds FROM events")
 def p32_seconds(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("event_id") * 1234567 / 1e6, 3).alias("seconds"))
+    return table(spark, sf_dir, "events").select("event_id", units.seconds(F.col("event_id") * 1234567, 3).alias("seconds"))
 
 
 @query("""SELECT task_id, array_to_string(CASE task_id % 3
@@ -256,13 +274,11 @@ def p35_front_end_flags(spark, sf_dir):
 
 @query("""SELECT symbol, row_number() OVER (ORDER BY octet_length(encode(symbol)), symbol) AS place FROM (SELECT DISTINCT symbol FROM sym_raw) x""")
 def o01_length_first(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return sym_raw(spark, sf_dir).select("symbol").distinct().withColumn("place", F.row_number().over(Window.orderBy(*ranges.by_length(F.col("symbol")))).cast("long"))
+    return tables.numbered(sym_raw(spark, sf_dir).select("symbol").distinct(), ranges.by_length(F.col("symbol")), "place")
 
 
-@query("""SELECT relative_path, symbol, start_line, start_char, roles, row_number() OVER (PARTITION BY relative_path ORDER BY start_line, start_char, end_char, strlen(symbol), symbol, roles) AS place
-    FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, end_char, roles FROM occ_raw) x""")
+@query("""SELECT relative_path, symbol, start_line, start_char, roles, row_number() OVER (PARTITION BY relative_path ORDER BY start_line, start_char, start_line <> end_line, CASE WHEN start_line <> end_line THEN end_line ELSE end_char END, end_char, strlen(symbol), symbol, roles) AS place
+    FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw) x""")
 def o02_occurrence_order(spark, sf_dir):
     from codefacts.operators import merge, render
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +35,17 @@ def tokenize(command: str) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def split_command(commands: pd.Series) -> pd.Series:
+def _split_quoted(commands: pd.Series) -> pd.Series:
     return commands.map(lambda x: None if x is None else tokenize(x))
 
 
+def split_command(command: Column) -> Column:
+    """The words of a command line. Python sees only the lines with a quote or a backslash."""
+    quoted = command.rlike("[\"'\\\\]")
+    words = F.filter(F.split(command, " "), lambda w: w != "")
+    return F.when(quoted, _split_quoted(F.when(quoted, command))).otherwise(words)
+
+
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
     """task_id, directory, file, arguments of a database (a JSON array of objects). A row's number is its place before any filter.
 
@@ -49,6 +58,17 @@ def read_commands(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("task_id").cast("long"), "c.directory", "c.file", F.concat(words, F.coalesce("c.arguments", F.array().cast("array<string>"))).alias("arguments"))
 
 
+def read_command_lines(spark: SparkSession, path: str) -> DataFrame:
+    """read_commands for a database with one JSON object a line, of any size: files are split, and a row's number follows from
+    the rows in the blocks before it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block
+    blocks = lines.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("file_path", "block", "first", before.alias("before"))
+    own = lines.join(F.broadcast(blocks), ["file_path", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("task_id"), F.from_json("value", COMMAND_OBJECT).alias("c"))
+    words = F.coalesce(split_command(F.col("c.command")), F.array().cast("array<string>"))
+    return own.select("task_id", "c.directory", "c.file", F.concat(words, F.coalesce("c.arguments", F.array().cast("array<string>"))).alias("arguments"))
+
+
 def raw_objects(spark: SparkSession, path: str) -> DataFrame:
     """Each object of a database as JSON text, for the checks of keys and types."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<variant>").alias("all"))
@@ -105,12 +125,44 @@ def format_options(lines: DataFrame) -> DataFrame:
     return own.select("relative_path", F.explode(F.split(F.substr("text", F.lit(19)), "[, ]+")).alias("option")).where("option <> ''").distinct()
 
 
+def _unreadable(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for t in tables:
+        out = []
+        for path in t["path"]:
+            try:
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as file:
+                    pq.ParquetFile(file)
+                out.append(None)
+            except Exception as e:  # whatever is wrong with a shard, the others are read
+                out.append(f"{type(e).__name__}: {e}"[:200])
+        yield t.assign(reason=out)[["path", "reason"]]
+
+
 def read_shards(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of readable shards, names of the others). Shards are Parquet files of units; an unreadable one is passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    good = (F.substring("content", 1, 4) == F.lit(b"PAR1")) & (F.octet_length("content") > 12)
-    bad = files.where(~good).select("path")
-    return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(root), bad
+    """(rows of readable shards, path and reason of the others). Shards are Parquet files of units, of any size.
+
+    Tasks look at the footer of each shard, so a truncated one is told apart and reported; only paths go through the driver,
+    as they do whenever Spark lists files.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    looked = listed.mapInPandas(_unreadable, "path string, reason string").persist()
+    good = [r.path for r in looked.where("reason IS NULL").select("path").collect()]
+    rows = spark.read.schema(schema).parquet(*good) if good else spark.createDataFrame([], schema)
+    return rows, looked.where("reason IS NOT NULL")
+
+
+FORWARD = "task_id bigint, suffix string, doc string, references array<struct<relative_path: string, start_line: int, start_char: int, end_line: int, end_char: int>>"
+
+
+def read_forward_shards(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Shards of forward declarations, a second pass beside the shards of documents: a row per reference; (rows, unreadable shards)."""
+    rows, bad = read_shards(spark, root, FORWARD)
+    each = rows.select("task_id", "suffix", "doc", F.explode("references").alias("r"))
+    return each.select("task_id", "suffix", "doc", "r.*"), bad
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codefacts.operators.jobs import latest_state
 
@@ -13,11 +12,6 @@ def states(events: DataFrame) -> DataFrame:
     return latest_state(events)
 
 
-def finished_per_window(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by kind in windows of event time; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event").agg(F.count("*").alias("n"))
-
-
 def read_events(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
