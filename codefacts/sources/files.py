@@ -146,7 +146,7 @@ def read_shards(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame,
     """(rows of readable shards, path and reason of the others). Shards are Parquet files of units, of any size.
 
     Tasks look at the footer of each shard, so a truncated one is told apart and reported; only paths go through the driver,
-    as they do whenever Spark lists files.
+    as they do whenever Spark lists files. Files of no bytes hold nothing and are in neither table.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
     looked = listed.mapInPandas(_unreadable, "path string, reason string").persist()
