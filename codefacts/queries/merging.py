@@ -318,7 +318,7 @@ def e27_declaration_docs(spark, sf_dir):
 def w03_include_hashes(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "enter").when(F.col("event_type") == "view", "exit").otherwise("define")
-    return measure.include_hashes(e.select(F.expr("user_id * 1000000 + event_id DIV 512").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value")))
+    return measure.include_hashes(e.select(F.expr("event_id DIV 512").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value")))
 
 
 @query()

@@ -49,7 +49,7 @@ _LINE = "concat('//', repeat(' ', start_char))"
 _SHOW = "replace(replace({0}, 'cxx . . $ ', '[..] '), 'cxx . ', '')"
 _KIND = "array_to_string(list_filter([CASE WHEN is_implementation THEN 'implementation' END, CASE WHEN is_reference THEN 'reference' END, CASE WHEN is_type_definition THEN 'type_definition' END, CASE WHEN is_definition THEN 'definition' END], lambda x: x IS NOT NULL), '+')"
 _KNOWN = f"""(SELECT relative_path, symbol, coalesce(arg_min(doc, (task_id, ord, line, doc)) FILTER (doc <> '' AND doc <> '{MISSING_DOC}'), '{MISSING_DOC}') AS doc FROM sym_seen GROUP BY relative_path, symbol)"""
-_RELATED = f"(SELECT symbol, bool_or(is_definition) AS elsewhere, list(concat('relation ', {_KIND}, ' ', {_SHOW.format('target')}) ORDER BY target) AS lines FROM rel_raw GROUP BY symbol)"
+_RELATED = f"(SELECT symbol, bool_or(is_definition) AS elsewhere, list(concat('relation ', {_KIND}, ' ', {_SHOW.format('target')}) ORDER BY target, {_KIND}) AS lines FROM rel_raw GROUP BY symbol)"
 
 
 @query(f"""SELECT o.relative_path, o.symbol, start_line, start_char, roles, concat({_LINE}, repeat('^', end_char - start_char), CASE WHEN roles = 1 THEN ' definition ' ELSE ' reference ' END, {_SHOW.format('o.symbol')},
