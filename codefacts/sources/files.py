@@ -39,8 +39,9 @@ def _split_quoted(commands: pd.Series) -> pd.Series:
     return commands.map(lambda x: None if x is None else tokenize(x))
 
 
-def split_command(command: Column) -> Column:
+def split_command(command: Column | str) -> Column:
     """The words of a command line. Python sees only the lines with a quote or a backslash."""
+    command = F.col(command) if isinstance(command, str) else command
     quoted = command.rlike("[\"'\\\\]")
     words = F.filter(F.split(command, " "), lambda w: w != "")
     return F.when(quoted, _split_quoted(F.when(quoted, command))).otherwise(words)

@@ -33,11 +33,11 @@ def test_unused_counts_references_at_any_column(spark, tables):
 
 def test_definitions_of_any_symbol(spark, tables):
     d = tables(
-        lineitem=[(5, 35, 1, 6, 3.0, "A"), (6, 20, 1, 5, 40.0, "N"), (7, 20, 1, 2, 9.0, "A"), (8, 20, 1, 1, 1.0, "A"), (31, 31, 1, 4, 30.0, "A"), (6, 22, 1, 5, 40.0, "N"), (6, 20, 1, 4, 40.0, "N")],
-        orders=[(5,), (200,), (31,), (9,)],
+        lineitem=[(105, 35, 1, 1, 50.0, "A"), (200, 20, 1, 5, 40.0, "N"), (340, 20, 1, 2, 9.0, "A"), (365, 20, 1, 1, 1.0, "A"), (31, 31, 1, 4, 30.0, "A"), (206, 22, 1, 5, 40.0, "N"), (200, 20, 1, 4, 40.0, "N"), (203, 31, 3, 5, 40.0, "N")],
+        orders=[(105,), (200,), (31,), (9,)],
     )
-    want = {("src/f5.cc", 5, 5, symbol(35), "src/f5.cc", 5, 3), ("src/f31.cc", 3, 31, symbol(31), "src/f31.cc", 3, 30)}
-    want |= {("src/f6.cc", 4, 41, symbol(20), "src/f7.cc", 1, 9), ("src/f6.cc", 4, 41, symbol(20), "src/f8.cc", 0, 1)}
+    want = {("src/f5.cc", 0, 52, symbol(35), "src/f5.cc", 0, 50), ("src/f1.cc", 3, 31, symbol(31), "src/f1.cc", 3, 30)}
+    want |= {("src/f10.cc", 4, 41, symbol(20), "src/f17.cc", 1, 9), ("src/f10.cc", 4, 41, symbol(20), "src/f18.cc", 0, 1)}
     assert {tuple(r) for r in registry.QUERIES["n01_definition"](spark, d).collect()} == want
 
 
@@ -50,7 +50,7 @@ def test_includes_of_any_header(spark, tables):
 @pytest.fixture
 def seven_lines(tables):
     text = "\n".join(f"line {n}" for n in range(1, 9))
-    return tables(lineitem=[(2, 9, 1, n, float(n), "A" if n == 7 else "N") for n in range(1, 8)] + [(2, 8, 1, 6, 1.0, "N")], documents=[(2, text), (98, "other")])
+    return tables(lineitem=[(40, 9, 1, n, float(n), "A" if n == 7 else "N") for n in range(1, 8)] + [(59, 8, 1, 6, 1.0, "N")], documents=[(2, text), (98, "other")])
 
 
 def test_snapshot_marks_every_line(spark, seven_lines):
