@@ -291,8 +291,11 @@ def repeated_spans(docs: DataFrame, batches: int = 4) -> DataFrame:
     suffixes = cut(keyed.mapInArrow(_suffixes, f"fp bigint, whole bigint, {_PLACE}").join(matched, "fp", "left_semi"), "suffixes")
     discard(matched)
     pieces, edges = _settle(suffixes, ["fp"])
-    more, edges = _settle(cut(_open(keyed, edges, EIGHT), "eights"), ["fp", "core"])
+    eights = cut(_open(keyed, edges, EIGHT), "eights")
+    discard(edges)
+    more, edges = _settle(eights, ["fp", "core"])
     runs = cut(_open(keyed, edges, 1), "runs")
+    discard(edges)
     twice = runs.groupBy("fp", "core").count().where("count > 1").select("fp", "core")
     single = runs.join(twice, ["fp", "core"], "left_semi").select("k", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
     found = cut(pieces.union(more).union(single).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("pieces")), "found")
