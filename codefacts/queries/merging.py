@@ -314,14 +314,57 @@ def e27_declaration_docs(spark, sf_dir):
     return facts.declaration_docs(fact(spark, sf_dir).select("task_id", "symbol", "seq", "doc"))
 
 
-@query()
-def w03_include_hashes(spark, sf_dir):
+def _unit_events(spark, sf_dir):
+    """Preprocessor events of units: blocks of 512 events; clicks enter a file, views leave one."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "enter").when(F.col("event_type") == "view", "exit").otherwise("define")
-    return measure.include_hashes(e.select(F.expr("event_id DIV 512").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value")))
-
-
-@query()
+    return e.select(F.expr("event_id DIV 512").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value"))
+
+
+# One row per event: the open files (stack) after it, the step that it mixes into a file's hash, and the file that it closes.
+_WALK = """WITH RECURSIVE ev AS (
+    SELECT event_id // 512 AS task_id, row_number() OVER (PARTITION BY event_id // 512 ORDER BY event_id) AS i, concat('p', event_id % 7) AS value,
+        CASE event_type WHEN 'click' THEN 'enter' WHEN 'view' THEN 'exit' ELSE 'define' END AS kind FROM events),
+walk AS (
+    SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, path VARCHAR, h VARCHAR)[]) AS stack, CAST(NULL AS STRUCT(id BIGINT, path VARCHAR, h VARCHAR)) AS closed,
+        CAST(NULL AS STRUCT(id BIGINT, path VARCHAR, h VARCHAR)) AS step, CAST(NULL AS VARCHAR) AS mixed_value, CAST(NULL AS VARCHAR) AS mix_context, CAST(NULL AS VARCHAR) AS context_data, CAST(NULL AS VARCHAR) AS after FROM ev
+    UNION ALL
+    SELECT task_id, i, CASE WHEN after IS NULL THEN kept ELSE list_append(kept, {'id': step.id, 'path': step.path, 'h': after}) END, closed, step, mixed_value, mix_context, context_data, after
+    FROM (SELECT *, left(md5(concat(step.h, '|', mixed_value)), 16) AS after FROM (
+        SELECT task_id, i, closed, CASE WHEN kind = 'enter' THEN {'id': i, 'path': value, 'h': '0'} ELSE top END AS step,
+            CASE WHEN kind = 'enter' THEN rest ELSE rest[:len(rest) - 1] END AS kept,
+            CASE kind WHEN 'enter' THEN value WHEN 'exit' THEN closed.h ELSE concat(kind, ' ', value) END AS mixed_value,
+            CASE kind WHEN 'enter' THEN 'self path' WHEN 'exit' THEN 'hash for #include' ELSE kind END AS mix_context, CASE WHEN kind = 'exit' THEN closed.path END AS context_data
+        FROM (SELECT *, rest[len(rest)] AS top FROM (
+            SELECT w.task_id, e.i, e.kind, e.value, CASE WHEN kind = 'exit' THEN w.stack[len(w.stack)] END AS closed,
+                CASE WHEN kind = 'exit' THEN w.stack[:len(w.stack) - 1] ELSE w.stack END AS rest
+            FROM walk w JOIN ev e ON e.task_id = w.task_id AND e.i = w.i + 1) a) b) c
+        ) d)
+"""
+
+
+@query(_WALK + "SELECT task_id, closed.path AS path, closed.h AS hash FROM walk WHERE closed.id IS NOT NULL")
+def w03_include_hashes(spark, sf_dir):
+    return measure.include_hashes(_unit_events(spark, sf_dir))
+
+
+@query(_WALK + """SELECT w.task_id, CAST(c.passage AS INT) AS passage, c.path, CAST(row_number() OVER (PARTITION BY w.task_id, c.id ORDER BY w.i) - 1 AS INT) AS ord, w.step.h AS before, w.mixed_value, w.mix_context, w.context_data, w.after
+    FROM (SELECT * FROM walk WHERE after IS NOT NULL) w JOIN (SELECT task_id, closed.id AS id, closed.path AS path, row_number() OVER (PARTITION BY task_id ORDER BY i) - 1 AS passage FROM walk WHERE closed.id IS NOT NULL) c
+    ON w.task_id = c.task_id AND w.step.id = c.id""")
+def k06_history(spark, sf_dir):
+    return measure.hash_history(_unit_events(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE p AS (
+    SELECT l_orderkey // 20 AS task_id, l_orderkey * 10 + l_linenumber AS ord, concat('/proj/inc/h', l_partkey, '.h') AS path,
+        row_number() OVER (PARTITION BY l_orderkey // 20 ORDER BY l_orderkey * 10 + l_linenumber) AS i FROM lineitem),
+walk AS (
+    SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS path, CAST(0 AS BIGINT) AS used, CAST(0 AS INT) AS grp FROM p
+    UNION ALL
+    SELECT p.task_id, p.i, p.ord, p.path, CASE WHEN w.used > 0 AND w.used + strlen(p.path) + 1 > 4096 THEN 0 ELSE w.used END + strlen(p.path) + 1,
+        CAST(w.grp + CASE WHEN w.used > 0 AND w.used + strlen(p.path) + 1 > 4096 THEN 1 ELSE 0 END AS INT)
+    FROM walk w JOIN p ON p.task_id = w.task_id AND p.i = w.i + 1)
+SELECT task_id, ord, path, grp FROM walk WHERE i > 0""")
 def w08_budget_groups(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
     return measure.budget_groups(d.select(F.expr("l_orderkey DIV 20").alias("task_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("/proj/inc/h"), "l_partkey", F.lit(".h")).alias("path")), 4096)
