@@ -226,9 +226,9 @@ class SuffixFamily:
         while self.levels and self.levels[-1][0] == rank:
             merged.append(self.levels.pop()[1])
             rank += 1
-        found, own = None, cut(self.table(new).select("p", "fp").distinct(), "keys") if self.levels else None  # written, so that AQE can split the many rows of a hot suffix
+        found, own = None, cut(self.table(new).select("p", "fp").distinct(), "keys") if self.levels else None
         for _, other in self.levels:
-            both = self.table(other).select("p", "fp").join(own, ["p", "fp"], "left_semi").distinct()
+            both = self.table(other).select("p", "fp").distinct().join(own, ["p", "fp"], "left_semi")  # a hot suffix is one row a part before the shuffle
             found = both if found is None else found.union(both)
         if merged:
             old = [*merged, new]
