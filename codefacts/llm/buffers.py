@@ -86,11 +86,11 @@ class Spans:
         return mix(raw)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of the words of each row in a buffer; no word crosses rows."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the words of each row in a buffer; no word crosses rows. between: which bytes part words."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE_BYTES[data]
+    solid = ~between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)

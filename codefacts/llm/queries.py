@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import lattice_lm, line_dedup, mil_quality, minhash, mixing, packing, pivot_index, quality_rules, suffix_index, warc
+from codefacts.llm import alignment, fill_middle, lattice_lm, licenses, line_dedup, mil_quality, minhash, mixing, packing, pivot_index, quality_rules, suffix_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return alignment.add_link_counts(out.withColumn("groups_sha256", digest).drop("groups"), alignment.piece_count())
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_quality_rules, op4_pivot_index, op5_mixing, op6_minhash, op7_lattice_lm, op8_mil_quality, op9_suffix_index, op10_packing, pipeline)
+    for f in (op1_line_dedup, op2_warc, op3_quality_rules, op4_pivot_index, op5_mixing, op6_minhash, op7_lattice_lm, op8_mil_quality, op9_suffix_index, op10_packing, op11_license_templates, op12_alignment, op13_fill_middle, pipeline)
 }
 
 _OP1 = """
@@ -125,4 +143,27 @@ SELECT c.doc_id, c.size, c.source_size, c.target,
 FROM chances c LEFT JOIN ends e ON c.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_warc": _OP2, "op5_mixing": _OP5}
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+d AS (SELECT *, len(units) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) AS draws FROM t),
+c AS (
+  SELECT *, least(draws[1] % (n + 1), draws[2] % (n + 1)) AS i, greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS j,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draws[3] % 100 >= 90 THEN 'plain'
+              WHEN draws[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, coalesce(array_to_string(units[1:i], ''), '') AS head, coalesce(array_to_string(units[i + 1:j], ''), '') AS mid,
+         coalesce(array_to_string(units[j + 1:], ''), '') AS tail
+  FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(head) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid
+                        ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op2_warc": _OP2, "op5_mixing": _OP5, "op11_license_templates": licenses.template_sql(), "op13_fill_middle": _OP13}

@@ -25,7 +25,7 @@ def con(sf_dir):
 def rows(df: pd.DataFrame) -> list[tuple]:
     text = lambda x: "NULL" if x is None or x is pd.NA or x != x else f"{x:.6f}" if isinstance(x, float) else str(x)
     df = df[sorted(df.columns)]
-    df = df.astype({c: float for c in df.columns if df[c].dtype.kind == "i" and c == "refers_to"})
+    df = df.astype({c: float for c in df.columns if df[c].dtype.kind == "i" and c in ("refers_to", "first_word", "last_word", "prefix_chars", "middle_chars")})
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False, name=None))
 
 
