@@ -5,7 +5,8 @@ the square root of the number of different vectors). Each pivot has an inverted
 a list are compared by the number of pivots that they share; those that share enough are verified by cosine in double
 precision. A pair that shares several lists is verified on the one with the smallest pivot only.
 
-A list of over `long_list` vectors is taken apart by a second, larger pivot of its vectors. Since a pair shares two pivots at
+A list of over `long_list` vectors is taken apart by a second, larger pivot of its vectors, if they name more than one (where all
+vectors are close to one another, there is one pivot, and its list stays whole). Since a pair shares two pivots at
 least, it meets in the list of its two smallest common ones, and only there. So lists grow with the vectors over the square
 of the number of pivots, and work stays in proportion where the pivots have reached their bound.
 
@@ -42,18 +43,21 @@ def spread(units: np.ndarray, most: int, apart: float = 0.95) -> np.ndarray:
     return units[chosen]
 
 
-def choose_pivots(classes: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Unit pivots by number of components: up to m = 2 * sqrt(classes) (at most `most`) from 4 * m vectors in the order of a hash.
+def choose_pivots(classes: DataFrame, most: int, kinds: int = 64) -> dict[int, np.ndarray]:
+    """Unit pivots by number of components: up to m = 2 * sqrt(vectors of that number) (at most `most`) from 4 * m of them in the order of a hash.
 
-    Pivots stand apart, so the vectors of a tight cluster have the same pivots in nearly the same order.
+    Pivots stand apart, so the vectors of a tight cluster have the same pivots in nearly the same order. The `kinds` most
+    frequent numbers of components have pivots; vectors of others are one list each, in blocks.
     """
-    m = max(16, min(most, math.ceil(2 * math.sqrt(classes.count()))))
-    rows = classes.orderBy(F.xxhash64("vec_id"), "vec_id", "label").select("vector").limit(4 * m).collect()
-    out: dict[int, list] = {}
-    for (v,) in rows:
-        x = np.array(v, np.float64)
-        out.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    return {k: spread(np.stack(v), m) for k, v in out.items()}
+    counts = classes.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(kinds).collect()
+    out = {}
+    for dims, n in counts:
+        m = max(16, min(most, math.ceil(2 * math.sqrt(n))))
+        rows = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id", "label").select("vector").limit(4 * m).collect()
+        x = np.array([v for (v,) in rows], np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        out[dims] = spread(x / np.linalg.norm(x, axis=1, keepdims=True), m)
+    return out
 
 
 def nearest(units: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
@@ -125,7 +129,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 12, share
     size = cut(posting.groupBy(*lists).agg(F.count("*").alias("size")), "sizes")
     longer = F.explode(F.filter("near", lambda q: q > F.col("pivot")))
     posting = posting.join(size, lists)
-    few, many = posting.where(F.col("size") <= long_list), posting.where(F.col("size") > long_list)
+    short = (F.col("size") <= long_list) | (F.size("near") < 2)  # with one pivot in all there is no second one to take a list apart by
+    few, many = posting.where(short), posting.where(~short)
     posting = few.withColumn("next_pivot", F.lit(-1)).unionByName(many.withColumn("next_pivot", longer)).drop("size")
     lists = [*lists, "next_pivot"]
     sizes = cut(posting.groupBy(*lists).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "blocks")
