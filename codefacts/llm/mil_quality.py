@@ -6,8 +6,9 @@ passage representation is scored by a logistic unit. Only documents carry labels
 from them by gradient descent through the attention.
 
 The network is fitted on a bounded sample of labelled rows of the training folds, in the order of a hash of doc_id: at most
-`most_labelled` of them, and no more than have `most_passages` passages together, so a few huge texts can't fill the driver.
-Their passages, encoded by Spark tasks, reach the driver, and the fitted parameters (some 20 kB) go back to the tasks. Every passage of every document is encoded and scored, in one map without a shuffle.
+`most_labelled` of them, each with a tenth of `most_passages` passages at most, and all together with that number. A row that
+doesn't fit is passed over and the next ones are looked at, so neither can a few huge texts fill the driver nor one of them end
+the sample; what is left out is said in a warning. Their passages, encoded by Spark tasks, reach the driver, and the fitted parameters (some 20 kB) go back to the tasks. Every passage of every document is encoded and scored, in one map without a shuffle.
 
 Defined results. Null and wordless texts are a bag of one empty passage. A null label is no label; rows of labels that
 repeat or contradict count as they stand. Without any label the score is 0.5 throughout. Added columns replace input
@@ -16,11 +17,12 @@ columns of the same names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.llm.buffers import Spans, chunks, words
@@ -146,15 +148,30 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(2).slice(start, end - start), pa.ListArray.from_arrays(pa.array(at), flat)], ["rank", "y", "x"])
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Which of the sizes are taken, in order, if each may be a tenth of `most` at most and all together no more than that."""
+    out, total = [], 0
+    for i, n in enumerate(sizes):
+        if n <= most // 10 and total + n <= most:
+            out.append(i)
+            total += n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_passages: int = 100_000) -> AttentionMil:
     """Fit on labelled documents outside the held-out fold, within both bounds, the first of which also bounds what is broadcast."""
     own = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y"))
     own = own.where(~in_fold(F.col("__id"))).withColumn("rank", F.xxhash64("__id")).orderBy("rank", "__id", "y").limit(most_labelled)
     bags = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("rank", "text", "y")
-    bags = cut(bags.mapInArrow(_encoded, "rank bigint, y int, x array<array<float>>"), "bags")
-    upto = F.sum(F.size("x")).over(Window.orderBy("rank", "y").rowsBetween(Window.unboundedPreceding, 0))  # most_labelled numbers
-    places = bags.select("rank", "y", upto.alias("upto")).where(F.col("upto") <= most_passages).select("rank", "y").distinct()
-    rows = bags.join(F.broadcast(places), ["rank", "y"]).select("rank", "y", "x").orderBy("rank", "y").limit(2 * most_labelled).toArrow()
+    bags = bags.mapInArrow(_encoded, "rank bigint, y int, x array<array<float>>").withColumn("n", F.size("x")).withColumn("bag", F.monotonically_increasing_id())
+    bags = cut(bags, "bags")
+    order = ["rank", "y", "n", "bag"]
+    sizes = bags.select(*order).orderBy(*order).limit(2 * most_labelled).collect()
+    picked = fitting([r.n for r in sizes], most_passages)
+    if len(picked) < len(sizes):
+        warnings.warn(f"{len(sizes) - len(picked)} of {len(sizes)} labelled texts have too many passages for the sample", stacklevel=2)
+    chosen = docs.sparkSession.createDataFrame([(sizes[i].bag,) for i in picked], "bag bigint")
+    rows = bags.join(F.broadcast(chosen), "bag").select(*order, "x").orderBy(*order).drop("n", "bag").toArrow()
     y = rows["y"].to_numpy().astype(float)
     model = AttentionMil()
     if len(set(y)) < 2:
