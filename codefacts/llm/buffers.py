@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, LONG_SPAN = 2 << 20, 512
 _RNG = np.random.default_rng(20_011)
 _CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -62,9 +63,14 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """64-bit hashes of spans of one buffer: equal bytes have equal hashes, wherever they stand."""
+    """64-bit hashes of spans of one buffer: equal bytes have equal hashes, wherever they stand.
+
+    Sums modulo 2 ** 64 tell spans of up to LONG_SPAN bytes apart, but not all simple patterns of 1024 and more; so longer ones
+    are hashed one by one, by another function.
+    """
 
     def __init__(self, data: np.ndarray):
+        self._data = data
         size = CHUNK_BYTES + 1
         while size < len(data) + 1:
             size *= 2
@@ -73,7 +79,10 @@ class Spans:
         np.cumsum(_CODES[data] * up[: len(data)], out=self._sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+        out = mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+        for i in np.flatnonzero(ends - starts > LONG_SPAN):
+            out[i] = int.from_bytes(blake2b(self._data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
     def windows(self, length: int) -> np.ndarray:
         """The hash of each run of `length` bytes."""

@@ -21,6 +21,7 @@ keep their starting probabilities. The result has doc_id and the figures only, s
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,11 @@ def load_pieces(path: str) -> list[str]:
     return [p for p in (model.id_to_piece(i) for i in sorted(good, key=lambda i: (-model.get_score(i), i))) if not any("A" <= c <= "Z" for c in p) and MARK not in p[1:]]
 
 
+def _log_add(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+
+
 class Lattice:
     """Segmentations of words into pieces. Ids 0 to n - 1 are pieces, n is any byte, n + 1 the end of a text."""
 
@@ -53,7 +59,7 @@ class Lattice:
         weights = 1.0 / (np.arange(n) + 10.0) if counts is None else counts[:n] + 0.01
         rest = [weights.min() * 256, weights.max()] if counts is None else [counts[n] + 0.01 * 256, counts[n + 1] + 0.01]
         self.pieces, self.log = pieces, np.log(np.concatenate((weights, rest)) / (weights.sum() + sum(rest)))
-        self.byte = self.log[n] - math.log(256)
+        self.byte, self._scores = float(self.log[n] - math.log(256)), self.log.tolist()
         self.ids, self.longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
         self.power = np.cumprod(np.full(self.longest + 1, _BASE, np.uint64)) * pow(int(_BASE), -1, 1 << 64)
         keys = np.array([self._key(p) for p in pieces], np.uint64)
@@ -101,16 +107,32 @@ class Lattice:
                     c = codes[other, i]
                     yield i, i + 1, other, np.full(len(other), n), self.byte * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
 
-    def _long(self, word: str) -> list[tuple[int, int, int, float]]:
-        out = []
-        for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + self.longest) + 1):
-                p = self.ids.get(word[i:j])
-                if p is not None:
-                    out.append((i, j, p, float(self.log[p])))
-                elif j == i + 1:
-                    out.append((i, j, len(self.pieces), self.byte * len(word[i].encode("utf-8", "surrogatepass"))))
-        return out
+    def _from(self, word: str, i: int) -> Iterator[tuple[int, int, float, int]]:
+        """(to, id, log score, uses) of the edges from a place of a word."""
+        for j in range(i + 1, min(len(word), i + self.longest) + 1):
+            p = self.ids.get(word[i:j])
+            if p is not None:
+                yield j, p, self._scores[p], 1
+            elif j == i + 1:
+                n = len(word[i].encode("utf-8", "surrogatepass"))
+                yield j, len(self.pieces), self.byte * n, n
+
+    def _long(self, word: str, weight: float | None, uses: np.ndarray) -> float:
+        """As run() for one long word: edges are found again for each pass, so a character takes the two sums of its place and nothing more."""
+        n, none = len(word), array("d", [-math.inf])
+        forward = none * (n + 1)
+        forward[0] = 0
+        for i in range(n):
+            for j, _, s, _ in self._from(word, i):
+                forward[j] = _log_add(forward[j], forward[i] + s)
+        if weight is not None:
+            backward = none * (n + 1)
+            backward[n] = 0
+            for i in reversed(range(n)):
+                for j, p, s, times in self._from(word, i):
+                    backward[i] = _log_add(backward[i], s + backward[j])
+                    uses[p] += math.exp(forward[i] + s + backward[j] - forward[n]) * weight * times
+        return forward[n]
 
     def run(self, texts: list[str], weights: np.ndarray | None = None) -> np.ndarray:
         """ln of the marginal probability of each word; with weights, the expected uses of all ids instead."""
@@ -122,10 +144,10 @@ class Lattice:
             step = max(1, 1_000_000 // size) if size <= LONG_WORD else 1
             for at in range(0, len(group), step):
                 rows = group[at : at + step]
-                if size <= LONG_WORD:
-                    edges = list(self._edges([marked[r] for r in rows]))
-                else:
-                    edges = [(i, j, np.zeros(1, int), np.array([p]), np.array([s])) for i, j, p, s in self._long(marked[rows[0]])]
+                if size > LONG_WORD:
+                    out[rows[0]] = self._long(marked[rows[0]], None if weights is None else float(weights[rows[0]]), uses)
+                    continue
+                edges = list(self._edges([marked[r] for r in rows]))
                 forward = np.full((size + 1, len(rows)), -np.inf)
                 forward[0] = 0
                 for i, j, r, _, s in edges:
@@ -172,9 +194,9 @@ def _value(tables: Iterator[pd.DataFrame], lattice: Lattice) -> Iterator[pd.Data
 def _score(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, ...], end: tuple[int, float, float], unit: float) -> Iterator[pa.RecordBatch]:
     """A row per text with its sums over hot words, and a row per text and other word."""
     keys, known, base, value = hot
-    names = ["k", "h", "tf", "n_tokens", "n_known", "base", "value"]
+    names = ["k", "k2", "h", "tf", "n_tokens", "n_known", "base", "value"]
     for batch in batches:
-        own_k = batch.column(1).to_numpy(zero_copy_only=False)
+        own_k = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)])
         for start, stop, data, offsets in chunks(batch.column(0)):
             data, n = ASCII_LOWER[data], stop - start
             first, last, row = words(data, offsets)
@@ -182,15 +204,15 @@ def _score(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, ...], end:
             at = np.minimum(np.searchsorted(keys, prints), max(len(keys) - 1, 0))
             hit = keys[at] == prints if len(keys) else np.zeros(len(prints), bool)
             r, a = row[hit], at[hit]
-            k = own_k[start:stop]
+            k = own_k[:, start:stop]
             sums = [np.bincount(row, minlength=n) + 1, np.bincount(r, known[a], n) + end[0], np.bincount(r, base[a], n) + end[1], np.bincount(r, value[a], n) + end[2]]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k), pa.array(np.zeros(n, np.int64)), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *[pa.array(x) for x in sums[2:]]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1]), pa.array(k[0]), pa.array(np.zeros(n, np.int64)), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *[pa.array(x) for x in sums[2:]]], names)
             r, h = row[~hit], prints[~hit]
             order = np.lexsort((h, r))
             r, h = r[order], h[order]
             new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])))[: len(r)])
             tf, zero = np.diff(np.append(new, len(r))), np.zeros(len(new), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k[r[new]]), pa.array(h[new].view(np.int64)), pa.array(tf), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(zero.astype(float))], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[r[new]]) for x in k), pa.array(h[new].view(np.int64)), pa.array(tf), pa.array(zero), pa.array(zero), pa.array(zero.astype(float)), pa.array(zero.astype(float))], names)
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -220,20 +242,21 @@ def score_texts(docs: DataFrame, pieces: str = "/opt/tokenizers/piece_bpe_32k.mo
     hot = hot.assign(h=hot["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
     hot = (hot["h"].to_numpy(np.uint64), np.ones(len(hot)), np.log10(hot["c"].to_numpy(float) + 1) + unit, hot["value"].to_numpy(float))
     end = (int(n_train > 0), math.log10(n_train + 1) + unit, float(lattice.log[-1]) / math.log(10))
-    keyed = text.select("text", F.xxhash64("doc_id", "text").alias("k"))
-    rows = keyed.mapInArrow(lambda b: _score(b, hot, end, unit), "k bigint, h bigint, tf bigint, n_tokens bigint, n_known bigint, base double, value double")
+    both = [F.xxhash64("doc_id", "text").alias("k"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2")]
+    keyed = text.select("text", *both)
+    rows = keyed.mapInArrow(lambda b: _score(b, hot, end, unit), "k bigint, k2 bigint, h bigint, tf bigint, n_tokens bigint, n_known bigint, base double, value double")
     own = table.select("h", "c", F.col("value").alias("of_word"))
     rare = F.when(F.col("tf") > 0, F.col("tf")).otherwise(0)
-    scored = rows.join(own, "h", "left").groupBy("k").agg(
+    scored = rows.join(own, "h", "left").groupBy("k", "k2").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c") > 0, rare).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + rare * F.coalesce(F.log10(F.col("c") + 1) + unit, F.lit(0.0))).alias("base"),
         F.sum(F.col("value") + rare * F.coalesce("of_word", F.lit(0.0))).alias("value"),
         F.count_if(F.col("tf") == 0).alias("copies"),
     )
-    ids = text.select("doc_id", "out", F.xxhash64("doc_id", "text").alias("k"))
+    ids = text.select("doc_id", "out", *both)
     one = F.col("copies")
-    return ids.join(scored, "k").select(
+    return ids.join(scored, ["k", "k2"]).select(
         "doc_id", F.col("out").alias("held_out"), (F.col("n_tokens") / one).cast("long").alias("n_tokens"), (F.col("n_known") / one).cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") / one).alias("base_score"), (F.col("value") / one).alias("score"),
     )
