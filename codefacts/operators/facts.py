@@ -131,7 +131,8 @@ def nested_names(names: DataFrame) -> DataFrame:
 
 def scope_symbols(descriptors: Column) -> Column:
     """The descriptors of each enclosing scope and of the node, outermost first; null inside scopes that name nothing."""
-    return F.transform(F.sequence(F.lit(1), F.size(descriptors)), lambda i: F.array_join(F.slice(descriptors, 1, i), ""))
+    upto = lambda i: F.slice(descriptors, 1, i)
+    return F.transform(F.sequence(F.lit(1), F.size(descriptors)), lambda i: F.when(~F.exists(upto(i), F.isnull), F.array_join(upto(i), "")))
 
 
 def enum_docs(cases: DataFrame) -> DataFrame:

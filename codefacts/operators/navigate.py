@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codefacts.functions.ranges import is_definition
 from codefacts.functions.symbols import is_doc
+from codefacts.operators import places as places_of
 
 
 def definitions(occurrences: DataFrame) -> DataFrame:
@@ -14,13 +15,12 @@ def definitions(occurrences: DataFrame) -> DataFrame:
 
 
 def at_position(occurrences: DataFrame, places: DataFrame) -> DataFrame:
-    """Symbols under places (relative_path, line, char): one-line ranges that contain them. Joined by path and line."""
-    on = [occurrences["relative_path"] == places["relative_path"], occurrences["start_line"] == places["line"], occurrences["start_char"] <= places["char"], places["char"] < occurrences["end_char"]]
-    return places.join(occurrences.where("start_line = end_line"), on).select(places["relative_path"], "line", "char", "symbol").distinct()
+    """Symbols under places (relative_path, line, char), with depth: 1 for the symbols of the innermost range, which may go over several lines."""
+    return places_of.holding(occurrences, places).groupBy("relative_path", "line", "char", "symbol").agg(F.min("depth").alias("depth"))
 
 
 def go_to_definition(occurrences: DataFrame, places: DataFrame) -> DataFrame:
-    """Definitions of the symbols under places."""
+    """Definitions of the symbols under places, with the depth of the range that names them."""
     targets = definitions(occurrences).select("symbol", F.col("relative_path").alias("def_path"), F.col("start_line").alias("def_line"), F.col("start_char").alias("def_char")).distinct()
     return at_position(occurrences, places).join(targets, "symbol")
 

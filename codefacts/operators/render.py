@@ -10,10 +10,21 @@ from codefacts.functions.symbols import display
 from codefacts.functions.units import seconds
 
 
+def _marker(carets: Column, told: Column) -> Column:
+    return F.concat(F.lit("//"), F.repeat(F.lit(" "), F.col("start_char")), F.repeat(F.lit("^"), carets), F.lit(" "), told)
+
+
+def _told(roles: Column, symbol: Column) -> Column:
+    return F.concat(ranges.role_text(roles), F.lit(" "), display(symbol))
+
+
 def occurrence_lines(occurrences: DataFrame) -> DataFrame:
-    """The marker line under each occurrence: carets below its characters, its role and its symbol."""
-    mark = F.concat(F.lit("//"), F.repeat(F.lit(" "), F.col("start_char")), F.repeat(F.lit("^"), F.col("end_char") - F.col("start_char")), F.lit(" "), ranges.role_text(F.col("roles")), F.lit(" "), display(F.col("symbol")))
-    return occurrences.withColumn("marker", mark)
+    """The marker line under each occurrence: carets below its characters, its role and its symbol.
+
+    One caret shows the start of a range over several lines: how far its first line goes isn't known here.
+    """
+    carets = F.when(F.col("start_line") == F.col("end_line"), F.col("end_char") - F.col("start_char")).otherwise(1)
+    return occurrences.withColumn("marker", _marker(carets, _told(F.col("roles"), F.col("symbol"))))
 
 
 def _doc_lines(doc: Column, start: Column) -> Column:
@@ -33,7 +44,8 @@ def documented_lines(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
 
     They stand under definitions, and under every occurrence of a symbol that another one defines.
     """
-    own = occurrence_lines(occurrences).join(symbols.select("relative_path", "symbol", "doc", "relationships"), ["relative_path", "symbol"], "left")
+    own = occurrence_lines(occurrences) if "marker" not in occurrences.columns else occurrences
+    own = own.join(symbols.select("relative_path", "symbol", "doc", "relationships"), ["relative_path", "symbol"], "left")
     start = F.concat(F.lit("//"), F.repeat(F.lit(" "), F.col("start_char")))
     shown = ranges.is_definition(F.col("roles")) | F.exists("relationships", lambda r: r["is_definition"])
     relations = F.when(F.size("relationships") > 0, relation_lines(F.col("relationships"), start))
@@ -42,12 +54,19 @@ def documented_lines(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def snapshot(lines: DataFrame, occurrences: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """Per source line, the line and the markers of its occurrences in order, as one text; with symbols, their docs and relations too."""
-    single = occurrences.where("start_line = end_line")
-    marked = occurrence_lines(single) if symbols is None else documented_lines(single, symbols)
-    sorted_marks = F.array_sort(F.collect_list(F.struct("start_char", "end_char", F.octet_length("symbol").alias("n"), "symbol", "roles", "marker")))
-    own = marked.groupBy("relative_path", (F.col("start_line") + 1).alias("line_no")).agg(sorted_marks.alias("marks"))
-    text = F.concat_ws("\n", F.concat(F.lit("  "), "text"), F.transform("marks", lambda m: m["marker"]))
+    """Per source line, the line and the markers of its occurrences in order, as one text; with symbols, their docs and relations too.
+
+    A range over several lines is marked under its first line, from its start to the line's end, with one caret at least.
+    """
+    told = occurrences.withColumn("marker", _told(F.col("roles"), F.col("symbol")))
+    told = told if symbols is None else documented_lines(told, symbols)
+    order = [c.alias(f"k{i}") for i, c in enumerate([*ranges.order()[1:], *ranges.by_length(F.col("symbol"))])]
+    marks = F.array_sort(F.collect_list(F.struct(*order, "roles", "marker", "start_char", "end_char", (F.col("start_line") == F.col("end_line")).alias("single"))))
+    own = told.groupBy("relative_path", (F.col("start_line") + 1).alias("line_no")).agg(marks.alias("marks"))
+    space, line = F.lit(" "), F.char_length("text")
+    carets = lambda m: F.when(m["single"], m["end_char"] - m["start_char"]).otherwise(F.greatest(line - m["start_char"], F.lit(1)))
+    shown = F.transform("marks", lambda m: F.concat(F.lit("//"), F.repeat(space, m["start_char"]), F.repeat(F.lit("^"), carets(m)), space, m["marker"]))
+    text = F.concat_ws("\n", F.concat(F.lit("  "), "text"), shown)
     return lines.join(own, ["relative_path", "line_no"], "left").select("relative_path", "line_no", text.alias("snapshot"))
 
 

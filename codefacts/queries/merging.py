@@ -214,10 +214,10 @@ def r02_overrides(spark, sf_dir):
     return facts.override_relations(own)
 
 
-@query("""SELECT p_partkey, i AS depth, CASE i WHEN 1 THEN concat(p_brand, '/') WHEN 2 THEN concat(p_brand, '/', p_type, '#') ELSE concat(p_brand, '/', p_type, '#', p_name, '.') END AS scope
+@query("""SELECT p_partkey, i AS depth, CASE WHEN i = 1 THEN concat(p_brand, '/') WHEN p_size % 7 = 0 THEN NULL WHEN i = 2 THEN concat(p_brand, '/', p_type, '#') ELSE concat(p_brand, '/', p_type, '#', p_name, '.') END AS scope
     FROM part, (SELECT unnest([1, 2, 3]) AS i) x""")
 def r05_scopes(spark, sf_dir):
-    parts = F.array(F.concat("p_brand", F.lit("/")), F.concat("p_type", F.lit("#")), F.concat("p_name", F.lit(".")))
+    parts = F.array(F.concat("p_brand", F.lit("/")), F.when(F.col("p_size") % 7 != 0, F.concat("p_type", F.lit("#"))), F.concat("p_name", F.lit(".")))
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(facts.scope_symbols(parts)).alias("at", "scope")).select("p_partkey", (F.col("at") + 1).alias("depth"), "scope")
 
 

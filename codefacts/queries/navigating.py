@@ -24,12 +24,16 @@ def _places(spark, sf_dir):
 _PLACES = "(SELECT DISTINCT concat('src/f', o_orderkey // 20, '.cc') AS relative_path, CAST(o_orderkey % 7 AS INT) AS line, CAST(o_orderkey % 53 AS INT) AS char FROM orders)"
 
 
-@query(f"""SELECT p.relative_path, p.line, p.char, p.symbol, d.relative_path AS def_path, d.start_line AS def_line, d.start_char AS def_char FROM
-    (SELECT DISTINCT p.relative_path, p.line, p.char, o.symbol FROM {_PLACES} p JOIN {_OCC} o ON o.relative_path = p.relative_path AND o.start_line = p.line AND o.start_line = o.end_line AND o.start_char <= p.char AND p.char < o.end_char) p
+_HELD = "(p.line > o.start_line OR p.char >= o.start_char) AND (p.line < o.end_line OR p.char < o.end_char)"
+
+
+@query(f"""SELECT p.relative_path, p.line, p.char, p.symbol, p.depth, d.relative_path AS def_path, d.start_line AS def_line, d.start_char AS def_char FROM
+    (SELECT relative_path, line, char, symbol, min(depth) AS depth FROM (SELECT p.*, o.symbol, dense_rank() OVER (PARTITION BY p.relative_path, p.line, p.char ORDER BY o.start_line DESC, o.start_char DESC, o.end_line, o.end_char) AS depth
+        FROM {_PLACES} p JOIN {_OCC} o ON o.relative_path = p.relative_path AND p.line BETWEEN o.start_line AND o.end_line AND {_HELD}) x GROUP BY relative_path, line, char, symbol) p
     JOIN (SELECT DISTINCT symbol, relative_path, start_line, start_char FROM {_OCC} x WHERE roles = 1) d ON p.symbol = d.symbol""")
 def n01_definition(spark, sf_dir):
-    own = _occurrences(spark, sf_dir)
-    return navigate.go_to_definition(own, _places(spark, sf_dir)).select("relative_path", "line", "char", "symbol", "def_path", "def_line", "def_char")
+    own = navigate.go_to_definition(_occurrences(spark, sf_dir), _places(spark, sf_dir))
+    return own.select("relative_path", "line", "char", "symbol", F.col("depth").cast("long").alias("depth"), "def_path", "def_line", "def_char")
 
 
 @query(f"SELECT relative_path, symbol, start_line, start_char, roles FROM {_OCC} x WHERE symbol IN (SELECT symbol FROM sym_raw WHERE task_id % 10 = 1)")
@@ -102,11 +106,11 @@ def _shown(spark, sf_dir):
 
 
 _SHOWN = f"(SELECT concat('src/d', regexp_extract(relative_path, '([0-9]+)', 1), '.cc') AS relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM {_OCC} x)"
-_MARK = "concat('//', repeat(' ', start_char), repeat('^', end_char - start_char), CASE WHEN roles = 1 THEN ' definition ' ELSE ' reference ' END, replace(replace(symbol, 'cxx . . $ ', '[..] '), 'cxx . ', ''))"
+_MARK = "concat('//', repeat(' ', o.start_char), repeat('^', CASE WHEN o.start_line = o.end_line THEN o.end_char - o.start_char ELSE greatest(length(t.text) - o.start_char, 1) END), CASE WHEN roles = 1 THEN ' definition ' ELSE ' reference ' END, replace(replace(symbol, 'cxx . . $ ', '[..] '), 'cxx . ', ''))"
 
 
-@query(f"""SELECT l.relative_path, l.line_no, concat('  ', l.text, coalesce(chr(10) || string_agg(m.mark, chr(10) ORDER BY m.start_char, m.end_char, strlen(m.symbol), m.symbol, m.roles), '')) AS snapshot
-    FROM source_line l LEFT JOIN (SELECT *, {_MARK} AS mark FROM {_SHOWN} o WHERE start_line = end_line) m ON l.relative_path = m.relative_path AND l.line_no = m.start_line + 1 GROUP BY l.relative_path, l.line_no, l.text""")
+@query(f"""SELECT l.relative_path, l.line_no, concat('  ', l.text, coalesce(chr(10) || string_agg(m.mark, chr(10) ORDER BY m.start_char, m.start_line <> m.end_line, m.end_line, m.end_char, strlen(m.symbol), m.symbol, m.roles), '')) AS snapshot
+    FROM source_line l LEFT JOIN (SELECT o.*, {_MARK} AS mark FROM {_SHOWN} o JOIN source_line t ON o.relative_path = t.relative_path AND o.start_line + 1 = t.line_no) m ON l.relative_path = m.relative_path AND l.line_no = m.start_line + 1 GROUP BY l.relative_path, l.line_no, l.text""")
 def k04_snapshot_lines(spark, sf_dir):
     return render.snapshot(source_line(spark, sf_dir), _shown(spark, sf_dir)).select("relative_path", F.col("line_no").cast("long").alias("line_no"), "snapshot")
 

@@ -52,16 +52,16 @@ _KNOWN = f"""(SELECT relative_path, symbol, coalesce(arg_min(doc, (task_id, ord,
 _RELATED = f"(SELECT symbol, bool_or(is_definition) AS elsewhere, list(concat('relation ', {_KIND}, ' ', {_SHOW.format('target')}) ORDER BY target, {_KIND}) AS lines FROM rel_raw GROUP BY symbol)"
 
 
-@query(f"""SELECT o.relative_path, o.symbol, start_line, start_char, roles, concat({_LINE}, repeat('^', end_char - start_char), CASE WHEN roles = 1 THEN ' definition ' ELSE ' reference ' END, {_SHOW.format('o.symbol')},
+@query(f"""SELECT o.relative_path, o.symbol, start_line, start_char, end_line, end_char, roles, concat({_LINE}, repeat('^', CASE WHEN start_line = end_line THEN end_char - start_char ELSE 1 END), CASE WHEN roles = 1 THEN ' definition ' ELSE ' reference ' END, {_SHOW.format('o.symbol')},
     CASE WHEN s.symbol IS NOT NULL AND (roles = 1 OR coalesce(r.elsewhere, false)) THEN concat(chr(10), {_LINE}, 'documentation', chr(10), {_LINE}, '| ', s.doc,
       coalesce(chr(10) || array_to_string(list_transform(r.lines, lambda x: concat({_LINE}, x)), chr(10)), '')) ELSE '' END) AS marker
     FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw) o LEFT JOIN {_KNOWN} s ON s.relative_path = o.relative_path AND s.symbol = o.symbol
-    LEFT JOIN {_RELATED} r ON r.symbol = o.symbol WHERE o.start_line = o.end_line""")
+    LEFT JOIN {_RELATED} r ON r.symbol = o.symbol""")
 def k04_documented_lines(spark, sf_dir):
     """Markers with documentation and relations (in the plain order of targets) under definitions."""
     known = merge.merge_symbols(sym_seen(spark, sf_dir), ["relative_path", "symbol"], ["task_id", "ord", "line", "doc"])
-    own = merge.merge_occurrences(occ_raw(spark, sf_dir)).where("start_line = end_line")
-    return render.documented_lines(own, merge.with_relationships(known, rel_raw(spark, sf_dir))).select("relative_path", "symbol", "start_line", "start_char", "roles", "marker")
+    own = merge.merge_occurrences(occ_raw(spark, sf_dir))
+    return render.documented_lines(own, merge.with_relationships(known, rel_raw(spark, sf_dir))).select("relative_path", "symbol", "start_line", "start_char", "end_line", "end_char", "roles", "marker")
 
 
 @query("""SELECT subtask, round(epoch_us(max(ts) FILTER (event = 'finish')) / 1e6 - epoch_us(min(ts) FILTER (event = 'start')) / 1e6, 3) AS seconds, count(DISTINCT task_id) FILTER (event = 'finish') AS n_done

@@ -1,5 +1,5 @@
 """All registered queries of the engine and their SQL twins."""
 
-from codefacts.queries import ORACLE_SQL, QUERIES, building, merging, navigating, ordering, rules, scalars
+from codefacts.queries import ORACLE_SQL, QUERIES, building, merging, navigating, ordering, placing, rules, scalars
 
-__all__ = ["ORACLE_SQL", "QUERIES", "building", "merging", "navigating", "ordering", "rules", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "building", "merging", "navigating", "ordering", "placing", "rules", "scalars"]

@@ -36,8 +36,9 @@ def test_definitions_of_any_symbol(spark, tables):
         lineitem=[(105, 35, 1, 1, 50.0, "A"), (200, 20, 1, 5, 40.0, "N"), (340, 20, 1, 2, 9.0, "A"), (365, 20, 1, 1, 1.0, "A"), (31, 31, 1, 4, 30.0, "A"), (206, 22, 1, 5, 40.0, "N"), (200, 20, 1, 4, 40.0, "N"), (203, 31, 3, 5, 40.0, "N")],
         orders=[(105,), (200,), (31,), (9,)],
     )
-    want = {("src/f5.cc", 0, 52, symbol(35), "src/f5.cc", 0, 50), ("src/f1.cc", 3, 31, symbol(31), "src/f1.cc", 3, 30)}
-    want |= {("src/f10.cc", 4, 41, symbol(20), "src/f17.cc", 1, 9), ("src/f10.cc", 4, 41, symbol(20), "src/f18.cc", 0, 1)}
+    want = {("src/f5.cc", 0, 52, symbol(35), 1, "src/f5.cc", 0, 50), ("src/f1.cc", 3, 31, symbol(31), 1, "src/f1.cc", 3, 30)}
+    want |= {("src/f10.cc", 4, 41, symbol(20), 1, "src/f17.cc", 1, 9), ("src/f10.cc", 4, 41, symbol(20), 1, "src/f18.cc", 0, 1)}
+    want |= {("src/f10.cc", 4, 41, symbol(31), 2, "src/f1.cc", 3, 30)}  # a range over three lines, around the other
     assert {tuple(r) for r in registry.QUERIES["n01_definition"](spark, d).collect()} == want
 
 
