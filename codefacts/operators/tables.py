@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of a scan.
@@ -12,19 +13,32 @@ BLOCK = 4096
 _MERGED = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def durable(rows: DataFrame) -> DataFrame:
-    """rows as a reliable checkpoint in spark.checkpoint.dir. Where none is set, a new local folder serves a local master; else it is an error.
-
-    A join with a checkpoint is one of two plain shuffles, whose hot keys AQE can split; a join with an aggregate isn't.
-    """
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where none is set, a new local folder serves a local master; else it is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+    return context.getCheckpointDir()
+
+
+def durable(rows: DataFrame) -> DataFrame:
+    """rows as a reliable checkpoint in the shared folder.
+
+    A join with a checkpoint is one of two plain shuffles, whose hot keys AQE can split; a join with an aggregate isn't.
+    """
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
+def written(rows: DataFrame, label: str, *by: str) -> DataFrame:
+    """rows as a new table in the shared folder, in folders by the values of columns, so that a filter on these reads its rows only."""
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows with their place (from 1) in a total order: sorted by ranges, counted per range, and moved by what stands before."""
     own = durable(rows.orderBy(*order))

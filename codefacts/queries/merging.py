@@ -315,15 +315,15 @@ def e27_declaration_docs(spark, sf_dir):
 
 
 def _unit_events(spark, sf_dir):
-    """Preprocessor events of units: blocks of 512 events; clicks enter a file, views leave one."""
+    """Preprocessor events of units, a user each; clicks enter a file, views leave one."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "enter").when(F.col("event_type") == "view", "exit").otherwise("define")
-    return e.select(F.expr("event_id DIV 512").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value"))
+    return e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), F.col("event_id") % 7).alias("value"))
 
 
 # One row per event: the open files (stack) after it, the step that it mixes into a file's hash, and the file that it closes.
 _WALK = """WITH RECURSIVE ev AS (
-    SELECT event_id // 512 AS task_id, row_number() OVER (PARTITION BY event_id // 512 ORDER BY event_id) AS i, concat('p', event_id % 7) AS value,
+    SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, concat('p', event_id % 7) AS value,
         CASE event_type WHEN 'click' THEN 'enter' WHEN 'view' THEN 'exit' ELSE 'define' END AS kind FROM events),
 walk AS (
     SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, path VARCHAR, h VARCHAR)[]) AS stack, CAST(NULL AS STRUCT(id BIGINT, path VARCHAR, h VARCHAR)) AS closed,
