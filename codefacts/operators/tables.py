@@ -32,9 +32,14 @@ def durable(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def written(rows: DataFrame, label: str, *by: str) -> DataFrame:
     """rows as a new table in the shared folder, in folders by the values of columns, so that a filter on these reads its rows only."""
-    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(rows.sparkSession, label)
     rows.write.partitionBy(*by).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

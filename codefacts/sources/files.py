@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from codefacts.schema import COMMAND_OBJECT, PACKAGE_ENTRY
+from codefacts.sources import json_arrays
 
 
 def tokenize(command: str) -> list[str]:
@@ -47,16 +48,18 @@ def split_command(command: Column | str) -> Column:
     return F.when(quoted, _split_quoted(F.when(quoted, command))).otherwise(words)
 
 
+def _arguments(command: Column) -> Column:
+    words = F.coalesce(split_command(command["command"]), F.array().cast("array<string>"))
+    return F.concat(words, F.coalesce(command["arguments"], F.array().cast("array<string>")))
+
+
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, directory, file, arguments of a database (a JSON array of objects). A row's number is its place before any filter.
+    """task_id, directory, file, arguments, file_path of databases (JSON arrays of objects, of any size). A row's number is its place in its database before any filter.
 
-    With both a command and arguments, the words of the command come first. One file is one task: JSON arrays don't
-    split; keep large databases as Parquet.
+    With both a command and arguments, the words of the command come first. Files are read in blocks (json_arrays).
     """
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{COMMAND_OBJECT.simpleString()[7:-1]}>>").alias("all"))
-    rows = whole.select(F.posexplode("all").alias("task_id", "c"))
-    words = F.coalesce(split_command(F.col("c.command")), F.array().cast("array<string>"))
-    return rows.select(F.col("task_id").cast("long"), "c.directory", "c.file", F.concat(words, F.coalesce("c.arguments", F.array().cast("array<string>"))).alias("arguments"))
+    own = json_arrays.array_objects(spark, path).select("file_path", F.col("ord").alias("task_id"), F.from_json("json", COMMAND_OBJECT).alias("c"))
+    return own.select("task_id", "c.directory", "c.file", _arguments(F.col("c")).alias("arguments"), "file_path")
 
 
 def read_command_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -66,14 +69,12 @@ def read_command_lines(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("file_path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block
     blocks = lines.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("file_path", "block", "first", before.alias("before"))
     own = lines.join(F.broadcast(blocks), ["file_path", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("task_id"), F.from_json("value", COMMAND_OBJECT).alias("c"))
-    words = F.coalesce(split_command(F.col("c.command")), F.array().cast("array<string>"))
-    return own.select("task_id", "c.directory", "c.file", F.concat(words, F.coalesce("c.arguments", F.array().cast("array<string>"))).alias("arguments"))
+    return own.select("task_id", "c.directory", "c.file", _arguments(F.col("c")).alias("arguments"))
 
 
 def raw_objects(spark: SparkSession, path: str) -> DataFrame:
     """Each object of a database as JSON text, for the checks of keys and types."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<variant>").alias("all"))
-    return whole.select(F.posexplode("all").alias("task_id", "v")).select(F.col("task_id").cast("long"), F.to_json("v").alias("json"))
+    return json_arrays.array_objects(spark, path).select(F.col("ord").alias("task_id"), F.to_json(F.try_parse_json("json")).alias("json"))
 
 
 def require_rows(rows: DataFrame, message: str) -> DataFrame:
@@ -90,8 +91,8 @@ def relative_directories(commands: DataFrame) -> DataFrame:
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """ord, path, package of a package map."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{PACKAGE_ENTRY.simpleString()[7:-1]}>>").alias("all"))
-    return whole.select(F.posexplode("all").alias("ord", "p")).select("ord", "p.path", "p.package")
+    own = json_arrays.array_objects(spark, path).select(F.col("ord").cast("int").alias("ord"), F.from_json("json", PACKAGE_ENTRY).alias("p"))
+    return own.select("ord", "p.path", "p.package")
 
 
 def read_sources(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

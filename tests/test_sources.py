@@ -38,6 +38,28 @@ def test_commands_keep_their_place(spark, tmp_path):
     assert got[1].arguments == ["cc", '-X="arg3"'] and got[2].arguments == ["cc", "e.cc", "more"]
 
 
+def test_arrays_are_read_in_blocks(spark, tmp_path):
+    """Braces, brackets, quotes and backslashes in strings, nested values, any block size: the same objects as a JSON parser finds."""
+    texts = ['}{][', '\\"}', 'a\\\\', '"', "{\"x\": [1, {}]}", "é\n}", "", "\\\\}\\"]
+    rows = [{"file": f"{i}{t}", "arguments": [t, texts[i % 3]], "n": {"a": [[{"b": t}]], "c": {}}} for i, t in enumerate(texts * 6)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    (tmp_path / "b.json").write_text(json.dumps(rows[:3], indent=2) + "\n")
+    (tmp_path / "c.json").write_text("[]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("37b", "1000b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            own = files.json_arrays.array_objects(spark, str(tmp_path))
+            got = {name: [json.loads(r.json) for r in own.where(F.col("file_path").endswith(name)).orderBy("ord").collect()] for name in ("a.json", "b.json", "c.json")}
+            assert got == {"a.json": rows, "b.json": rows[:3], "c.json": []}
+        assert files.json_arrays.fragments(spark, str(tmp_path / "a.json")).count() > 100
+        (tmp_path / "d.json").write_text('[{"file": "x"}, {"file": "y}')
+        with pytest.raises(ValueError, match="d.json"):
+            files.json_arrays.array_objects(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_bad_types_and_unknown_keys(spark, tmp_path):
     path = tmp_path / "commands.json"
     path.write_text(json.dumps([{"file": "a", "n": 5}, {"file": "b", "list": ["x"]}, {"file": True}, {"file": None}]))
