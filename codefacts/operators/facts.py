@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.functions.symbols import file_doc, file_symbol, is_doc, suffix
+from codefacts.operators.tables import durable
 from codefacts.schema import MAX_ENUM_CASES, MISSING_DOC
 
 #: Nodes by rule. Local definitions carry no symbol record.
@@ -118,9 +119,9 @@ def forward_declarations(emitted: DataFrame) -> DataFrame:
     return own.groupBy("task_id", "suffix").agg(F.coalesce(doc, F.lit("")).alias("doc"), F.sort_array(F.collect_list(place)).alias("references"))
 
 
-def override_relations(facts: DataFrame) -> DataFrame:
-    """Direct overrides of methods: implementation and reference, one hop."""
-    own = facts.where("node_kind = 'function'").select("symbol", F.explode("related").alias("target"))
+def override_relations(facts: DataFrame, column: str = "related") -> DataFrame:
+    """Direct overrides of methods, which an array column names: implementation and reference, one hop."""
+    own = facts.where("node_kind = 'function'").select("symbol", F.explode(column).alias("target"))
     return own.select("symbol", "target", F.lit(True).alias("is_implementation"), F.lit(True).alias("is_reference"))
 
 
@@ -135,15 +136,15 @@ def scope_symbols(descriptors: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(descriptors)), lambda i: F.when(~F.exists(upto(i), F.isnull), F.array_join(upto(i), "")))
 
 
-def enum_docs(cases: DataFrame) -> DataFrame:
+def enum_docs(cases: DataFrame, by: tuple[str, ...] = ("enum",)) -> DataFrame:
     """cases (enum, ordinal, begin, comment_begin, doc) without comments that stand before the previous case, for the first cases only."""
-    last = F.lag("begin").over(Window.partitionBy("enum").orderBy("ordinal"))
+    last = F.lag("begin").over(Window.partitionBy(*by).orderBy("ordinal"))
     belongs = (F.col("ordinal") >= MAX_ENUM_CASES) | last.isNull() | (F.col("comment_begin") >= last)
     return cases.withColumn("doc", F.when(belongs, F.col("doc")).otherwise(F.lit("")))
 
 
-def declaration_docs(declarations: DataFrame) -> DataFrame:
+def declaration_docs(declarations: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """declarations (symbol, seq, doc) with their own documentation, or that of the first other declaration that has one."""
-    other = declarations.where(is_doc(F.col("doc"))).groupBy("symbol").agg(F.min_by("doc", F.struct("seq", "doc")).alias("other"))
+    other = declarations.where(is_doc(F.col("doc"))).groupBy(*by).agg(F.min_by("doc", F.struct("seq", "doc")).alias("other"))
     doc = F.when(is_doc(F.col("doc")), F.col("doc")).otherwise(F.coalesce("other", F.lit("")))
-    return declarations.join(other, "symbol", "left").withColumn("doc", doc).drop("other")
+    return declarations.join(durable(other), list(by), "left").withColumn("doc", doc).drop("other")

@@ -117,11 +117,12 @@ def patched_docs(symbols: DataFrame, resolved: DataFrame, references: DataFrame)
     return symbols.join(offers, "symbol", "left").withColumn("doc", doc).drop("offer")
 
 
-def dedup_macro_uses(uses: DataFrame) -> DataFrame:
+def dedup_macro_uses(uses: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """Macro occurrences, one per file and range: the first by seq."""
-    columns = [c for c in uses.columns if c not in ("path", "start_line", "start_char", "end_char")]
-    kept = uses.groupBy("path", "start_line", "start_char", "end_char").agg(F.min(F.struct("seq", *[c for c in columns if c != "seq"])).alias("k"))
-    return kept.select("path", "start_line", "start_char", "end_char", *[F.col(f"k.{c}").alias(c) for c in columns])
+    keys = [*by, "start_line", "start_char", "end_char"]
+    columns = [c for c in uses.columns if c not in keys]
+    kept = uses.groupBy(*keys).agg(F.min(F.struct("seq", *[c for c in columns if c != "seq"])).alias("k"))
+    return kept.select(*keys, *[F.col(f"k.{c}").alias(c) for c in columns])
 
 
 def top_overloads(candidates: DataFrame, most: int) -> DataFrame:

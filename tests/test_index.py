@@ -172,12 +172,17 @@ def test_units_from_facts(spark):
     row = lambda seq, kind, path, symbol, defines, doc="": (1, seq, kind, path, 1, symbol, defines, False, False, False, False, False, doc, seq, 0, seq, 4)
     own = [row(1, "record", "/p/a.h", c("F#"), True, "Doc"), row(2, "function", "/p/a.h", c("g()."), False, "Fwd"), row(3, "decl_ref", "/p/a.h", c("g()."), False), row(4, "record", "/x/b.h", c("X#"), True), row(5, "decl_ref", "/x/b.h", c("F#"), False)]
     table = spark.createDataFrame(own, fields)
-    known = spark.createDataFrame([("/p/a.h", "a.h", True), ("/x/b.h", "b.h", False)], "path string, stable_path string, is_in_project boolean")
+    known = spark.createDataFrame([("/p/a.h", "a.h", True, False, 0), ("/x/b.h", "b.h", False, False, None)], "path string, stable_path string, is_in_project boolean, is_synthetic boolean, start_line int")
+    known = known.withColumns({x: F.when(F.col("start_line") == 0, F.lit(0)) for x in ("start_char", "end_line", "end_char")})
     out = index.unit_outputs(table, known, table.select("task_id", "path", "hash").distinct())
-    assert [(r.symbol, r.rule) for r in out["occurrences"].collect()] == [(c("F#"), "definition")]
-    assert [(r.symbol, r.doc) for r in out["symbols"].collect()] == [(c("F#"), "Doc")] and [r.symbol for r in out["external"].collect()] == [c("X#")]
-    (forward,) = out["forward"].collect()
-    assert (forward.suffix, forward.doc, len(forward.references)) == ("g().", "Fwd", 2)
+    file = "cxx . . .$ `<file>/a.h`/"
+    assert sorted((r.symbol, r.start_line, r.roles) for r in out["occurrences"].collect()) == [(file, 0, 1), (c("F#"), 1, 1)]
+    assert sorted((r.symbol, r.doc) for r in out["symbols"].collect()) == [(file, "File: a.h"), (c("F#"), "Doc")] and [r.symbol for r in out["external"].collect()] == [c("X#")]
+    assert [(r.suffix, r.doc, r.start_line) for r in sorted(out["references"].collect())] == [("g().", "Fwd", 2), ("g().", "Fwd", 3)]
+    whole = index.index_from_facts(table, known, table.select("task_id", "path", "hash").distinct(), "/p")
+    (document,) = whole["documents"].collect()
+    assert [(o.symbol[-4:], o.start_line) for o in document.occurrences] == [("a.h`/"[-4:], 0), ("$ F#", 1), ("g().", 2), ("g().", 3)]
+    assert sorted((r.symbol[-4:], r.doc) for r in whole["external_symbols"].collect()) == [("$ X#", MISSING_DOC), ("g().", "Fwd")]
     assert facts.related_references(table.withColumn("related", F.array(F.lit("t")))).count() == 3
 
 
