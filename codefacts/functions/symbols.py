@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +86,9 @@ def anonymous_namespace(main_file: Column) -> Column:
     return F.concat(F.lit("$anonymous_namespace_"), main_file)
 
 
-def anonymous_type(path: Column, counter: Column, at_top: Column) -> Column:
-    return F.concat(F.lit("$anonymous_type_"), F.when(at_top, F.concat(short_hash(path), F.lit("_"))).otherwise(F.lit("")), counter)
+def anonymous_type(path: Column, counter: Column, at_top: Column, hashed: Callable[[Column], Column] = short_hash) -> Column:
+    """The name of a type without one. hashed: short_hash stays in the JVM, hashing.exact_hash gives the values that other tools' names have."""
+    return F.concat(F.lit("$anonymous_type_"), F.when(at_top, F.concat(hashed(path), F.lit("_"))).otherwise(F.lit("")), counter)
 
 
 def local_symbol(counter: Column) -> Column:

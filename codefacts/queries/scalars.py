@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.functions import paths, ranges, symbols, units
+from codefacts.functions import hashing, paths, ranges, symbols, units
 from codefacts.operators import commands, planning, tables
 from codefacts.queries import query
 from codefacts.schema import MISSING_DOC
@@ -283,3 +283,21 @@ def o02_occurrence_order(spark, sf_dir):
     from codefacts.operators import merge, render
 
     return render.ranked(merge.merge_occurrences(occ_raw(spark, sf_dir))).select("relative_path", "symbol", "start_line", "start_char", "roles", F.col("place").cast("long").alias("place"))
+
+
+_WORD = lambda at: "(" + " + ".join(f"CAST(ascii(substr(name, {at} + {i + 1}, 1)) AS UHUGEINT) * {256**i}" for i in range(4)) + ")"
+_SECRETS = [int(x) for x in hashing.SECRET]
+_FOLD = lambda p: f"xor({p} & 18446744073709551615, {p} >> 64)"
+
+
+@query(f"""WITH n AS (SELECT doc_id, concat('f', doc_id, '.cc') AS name, length(concat('f', doc_id, '.cc')) AS n FROM documents),
+    r AS (SELECT *, ({_WORD("0")} << 32) | {_WORD("n // 8 * 4")} AS a, ({_WORD("n - 4")} << 32) | {_WORD("n - 4 - n // 8 * 4")} AS b,
+        CAST({_SECRETS[0]} AS UHUGEINT) * CAST({_SECRETS[1]} AS UHUGEINT) AS s FROM n),
+    m AS (SELECT *, xor(a, {_SECRETS[1]}::UHUGEINT) * xor(b, {_FOLD("s")}) AS p FROM r),
+    f AS (SELECT *, xor(xor(p & 18446744073709551615, {_SECRETS[0]}::UHUGEINT), n::UHUGEINT) * xor(p >> 64, {_SECRETS[1]}::UHUGEINT) AS q FROM m)
+    SELECT doc_id, concat('$anonymous_type_', lower(hex(CAST({_FOLD("q")} AS UBIGINT))), '_', doc_id % 7) AS name FROM f""")
+def p14_exact_names(spark, sf_dir):
+    """Names of anonymous types with the hash that other tools' names have, for files of up to 16 bytes (tests go through all lengths)."""
+    d = F.col("doc_id")
+    name = symbols.anonymous_type(F.concat(F.lit("f"), d, F.lit(".cc")), (d % 7).cast("string"), F.lit(True), hashing.exact_hash)
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
