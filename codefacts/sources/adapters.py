@@ -104,11 +104,11 @@ def base_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of workers: start, finish, kill and others."""
+    """Events of workers: start, finish, kill and others. Fifteen workers share a hundred tasks."""
     t = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     event = F.when(kind == "click", "start").when(kind == "view", "finish").when(kind == "error", "kill").otherwise("other")
-    return t.select("ts", F.col("user_id").alias("worker_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 500).alias("task_id"), (F.col("event_id") % 2).alias("subtask"), event.alias("event"))
+    return t.select("ts", F.col("user_id").alias("worker_id"), F.col("event_id").alias("seq"), (F.expr("user_id DIV 15") * 100 + F.col("event_id") % 100).alias("task_id"), (F.col("event_id") % 2).alias("subtask"), event.alias("event"))
 
 
 def compdb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ RELATIONS = {
         {_SQL_SYMBOL.format("l_partkey")} AS symbol, CASE l_linenumber % 3 WHEN 0 THEN '{MISSING_DOC}' WHEN 1 THEN '' ELSE concat('doc ', l_orderkey, ' ', l_linenumber) END AS doc FROM lineitem""",
     "tu_file": "SELECT DISTINCT l_orderkey AS task_id, concat('/proj/inc/h', l_partkey, '.h') AS path, l_suppkey % (1 + l_partkey % 3) AS hash FROM lineitem",
     "base_edge": "SELECT p_partkey AS derived, CAST(floor(p_partkey / 2) AS BIGINT) AS base FROM part WHERE p_partkey > 1",
-    "job_event": """SELECT ts, user_id AS worker_id, event_id AS seq, event_id % 500 AS task_id, event_id % 2 AS subtask,
+    "job_event": """SELECT ts, user_id AS worker_id, event_id AS seq, user_id // 15 * 100 + event_id % 100 AS task_id, event_id % 2 AS subtask,
         CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'finish' WHEN 'error' THEN 'kill' ELSE 'other' END AS event FROM events""",
     "compdb": """SELECT doc_id AS task_id, concat('/proj/', coalesce(source, 'none')) AS directory, concat('f', doc_id, ['.c', '.cc', '.h', '.cu', '.CPP', '.S'][1 + doc_id % 6]) AS file,
         [CASE doc_id % 3 WHEN 0 THEN 'clang++' WHEN 1 THEN 'gcc' ELSE 'nvcc' END, concat('-march=m', doc_id % 4), '-o', '-o', concat('out', doc_id, '.o'),

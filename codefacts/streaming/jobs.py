@@ -1,21 +1,150 @@
-"""Job states over a stream of job events."""
+"""Job states, timeouts and late answers over a stream of job events.
+
+Events (ts, seq, worker_id, task_id, subtask, event) are told in the order in which they happen for each job and each worker, in batches of any size. Each
+operator keeps a few numbers a job or a worker, so its state grows with them and not with the events.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from codefacts.operators.jobs import latest_state
 
+STATES = {"start": "wip", "finish": "done", "kill": "maybe_errored"}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COUNTED = ("start", "finish", "kill")
+
 
 def states(events: DataFrame) -> DataFrame:
     """The running state of each job of a stream (ts, seq, task_id, subtask, event): update or complete mode."""
     return latest_state(events)
 
 
-def read_events(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+def _in_order(tables: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(tables)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+
+
+class JobStates(StatefulProcessor):
+    """Per job: its last event, whether it has been killed, and how many answers have come after that."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("job", "event string, killed boolean, n_late bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        own = _in_order(rows)["event"]
+        _, killed, n_late = self._state.get() or (None, False, 0)
+        after_kill = (own == "kill").cumsum().gt(0) | killed
+        n_late += int((after_kill & (own == "finish")).sum())
+        last = own.iloc[-1]
+        self._state.update((last, bool(after_kill.iloc[-1]), n_late))
+        yield pd.DataFrame({"task_id": [key[0]], "subtask": [key[1]], "event": [last], "state": [STATES.get(last, "pending")], "n_late": [n_late]})
+
+    def close(self) -> None:
+        pass
+
+
+class WorkerTimeouts(StatefulProcessor):
+    """Per worker: the start that nothing has followed yet. A timer at its limit tells it as timed out; so does a later event that comes after the limit."""
+
+    def __init__(self, seconds: int, by_event_time: bool):
+        self._limit, self._by_event_time = 1000 * seconds, by_event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", "ts timestamp, seq bigint, task_id bigint, subtask bigint")
+
+    def _clear(self) -> None:
+        self._open.clear()
+        for at in list(self._handle.listTimers()):
+            self._handle.deleteTimer(at)
+
+    def _told(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"worker_id": key[0], "ts": rows["ts"], "seq": rows["seq"], "task_id": rows["task_id"], "subtask": rows["subtask"]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        own = _in_order(rows)
+        own = own[own["event"].isin(COUNTED)][["ts", "seq", "task_id", "subtask", "event"]]
+        if own.empty:
+            return
+        if self._open.exists():
+            own = pd.concat([pd.DataFrame([(*self._open.get(), "start")], columns=own.columns), own], ignore_index=True)
+        self._clear()
+        gap = own["ts"].shift(-1) - own["ts"]
+        yield self._told(key, own[(own["event"] == "start") & (gap > pd.Timedelta(milliseconds=self._limit))])
+        last = own.iloc[-1]
+        if last["event"] == "start":
+            self._open.update((last["ts"].to_pydatetime(), int(last["seq"]), int(last["task_id"]), int(last["subtask"])))
+            begun = int(last["ts"].timestamp() * 1000) if self._by_event_time else timerValues.getCurrentProcessingTimeInMs()
+            self._handle.registerTimer(begun + self._limit)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._open.exists():
+            yield self._told(key, pd.DataFrame([self._open.get()], columns=["ts", "seq", "task_id", "subtask"]))
+            self._open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """An update a batch for each job that it tells of: last event, state, late answers so far. Update mode."""
+    kinds = "task_id bigint, subtask bigint, event string, state string, n_late bigint"
+    return events.groupBy("task_id", "subtask").transformWithStateInPandas(JobStates(), kinds, "Update", "None")
+
+
+def worker_timeouts(events: DataFrame, seconds: int, by_event_time: bool = False) -> DataFrame:
+    """The starts that the next event of their worker doesn't follow within the limit, each told once, as soon as that is known. Append mode.
+
+    Timers go by the clock, for a live stream (which then never ends by itself: Spark waits for the timers); or, for a log that is told again, by the time of events, which the watermark of the stream (set one
+    on ts) moves on. A start within the limit of the last event is still open when a log ends.
+    """
+    kinds = "worker_id bigint, ts timestamp, seq bigint, task_id bigint, subtask bigint"
+    mode = "EventTime" if by_event_time else "ProcessingTime"
+    return events.groupBy("worker_id").transformWithStateInPandas(WorkerTimeouts(seconds, by_event_time), kinds, "Append", mode)
+
+
+def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def write_states(states: DataFrame, checkpoint: str, name: str):
     """Keep the states of a stream in a table in memory, for tests and dashboards; returns the running query."""
     return states.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_end(rows: DataFrame, path: str, checkpoint: str, mode: str) -> None:
+    """Run a stream over what is there and write its rows as Parquet, a folder a batch (batch_id=...), so a batch that is repeated replaces itself."""
+    spark = rows.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)  # operators of this kind need it
+    try:
+        query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def replayed(events: DataFrame, path: str, batches: int = 4) -> DataFrame:
+    """A log of events as a stream of that many batches of about equal length, in the order of time; written to path first."""
+    spark, at = events.sparkSession, F.col("ts").cast("timestamp").cast("double")
+    cuts = sorted(set(events.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)])).first()[0] or []))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = F.lit(True) if low is None else at > low
+        events.where(inside if high is None else inside & (at <= high)).coalesce(1).write.mode("append").parquet(path)  # a stretch of time is a batch, and a batch is a file
+    return read_events(spark, path, events.schema)
+
+
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last update (by batch_id) of each key."""
+    names = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch_id").alias("u"))
+    return last.select(*keys, "u.*")
