@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codefacts.operators.tables import fresh_path
-from codefacts.queries import query
-from codefacts.sources import files
-from codefacts.sources.adapters import table
+from codefacts.operators import merge
+from codefacts.queries import ORACLE_SQL, merging, query
+from codefacts.sources import files, index_files
+from codefacts.sources.adapters import fwd_raw, table
 
 _KEPT = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('/proj/', coalesce(source, 'none')) END"
 
@@ -28,3 +29,44 @@ def s01_array_commands(spark, sf_dir):
     own = files.read_commands(spark, path)
     number = F.regexp_extract("file_path", "database=(-?[0-9]+)", 1).cast("long")
     return own.select(number.alias("database"), "task_id", "directory", "file", F.size("arguments").alias("n_arguments"), F.md5(F.array_join("arguments", " ").cast("binary")).alias("arguments_md5"))
+
+
+def _protobuf(spark, sf_dir, part):
+    """A part of an index that has been written as protobuf files and read back."""
+    whole = merging._index(spark, sf_dir)
+    path = fresh_path(spark, "index-files")
+    index_files.write_index_files(whole, path)
+    return index_files.read_index_files(spark, path)[part]
+
+
+def _relations_text():
+    text = lambda r: F.concat(*[r[c].cast("int").cast("string") for c in merge.FLAGS], F.lit(" "), r["symbol"])
+    return F.array_join(F.transform("relationships", text), ",").alias("relations")
+
+
+@query()
+def k02_protobuf_occurrences(spark, sf_dir):
+    return _protobuf(spark, sf_dir, "occurrences").drop("shard").withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def k02_protobuf_symbols(spark, sf_dir):
+    own = _protobuf(spark, sf_dir, "symbols")
+    return own.select("relative_path", F.col("place").cast("long").alias("place"), "symbol", "doc", _relations_text())
+
+
+@query()
+def k02_protobuf_external(spark, sf_dir):
+    return _protobuf(spark, sf_dir, "external").select("symbol", "doc", _relations_text())
+
+
+#: What the files hold is what the index holds.
+ORACLE_SQL |= {f"k02_protobuf_{name}": ORACLE_SQL[f"k02_{other}"] for name, other in (("occurrences", "document_occurrences"), ("symbols", "document_symbols"), ("external", "external_symbols"))}
+
+
+@query("SELECT suffix, relative_path, start_line, start_char, end_line, end_char FROM fwd_raw")
+def s07_protobuf_forward(spark, sf_dir):
+    """References through forward declarations, written as shards of protobuf files and read back."""
+    path = fresh_path(spark, "forward-files")
+    index_files.write_forward_files(merge.forward_groups(fwd_raw(spark, sf_dir)), path)
+    return index_files.read_forward_files(spark, path)[0].drop("shard", "doc")
