@@ -259,10 +259,11 @@ def _settle(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(pieces that repeat as they are, one copy of each kind of rows that agree in `by` but not in all their bytes), both written."""
     kinds = cut(rows.groupBy(*by, "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "more", "rel")).alias("one")), "kinds")
     many = rows.join(kinds.where("n > 1").select(*by, "whole"), [*by, "whole"], "left_semi")
-    mixed = kinds.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1").select(*by)
+    mixed = cut(kinds.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1").select(*by), "mixed")
     pieces = cut(many.select("k", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end")), "pieces")
     edges = cut(kinds.join(mixed, by, "left_semi").select("fp", "one.*"), "edges")
     discard(kinds)
+    discard(mixed)
     discard(rows)
     return pieces, edges
 
@@ -296,10 +297,10 @@ def repeated_spans(docs: DataFrame, batches: int = 4) -> DataFrame:
     more, edges = _settle(eights, ["fp", "core"])
     runs = cut(_open(keyed, edges, 1), "runs")
     discard(edges)
-    twice = runs.groupBy("fp", "core").count().where("count > 1").select("fp", "core")
+    twice = cut(runs.groupBy("fp", "core").count().where("count > 1").select("fp", "core"), "twice")
     single = runs.join(twice, ["fp", "core"], "left_semi").select("k", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
     found = cut(pieces.union(more).union(single).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("pieces")), "found")
-    for table in (runs, pieces, more):
+    for table in (runs, twice, pieces, more):
         discard(table)
     return found
 
