@@ -8,26 +8,21 @@ from pyspark.sql import functions as F
 from codefacts.operators.tables import durable
 from codefacts.schema import MAX_GRAPH_STEPS
 
-#: Rounds after which the pairs seen so far become one table again.
-MERGE_EVERY = 16
-
-
 def closure(edges: DataFrame, steps: int = MAX_GRAPH_STEPS, defined: DataFrame | None = None) -> DataFrame:
     """All (derived, base) that edges (derived, base) reach; a node is never its own base.
 
-    With defined (derived), bases without a definition are reached but not gone on from. Each round joins only the pairs that
-    the last round found and takes away those already seen, so cycles end; it writes the new pairs alone.
+    With defined (derived), bases without a definition are reached but not gone on from. A round joins the pairs that the last round
+    found with all pairs so far, so that the length of the paths doubles and the rounds are the logarithm of the depth; it takes away the pairs
+    already seen, so cycles end, and writes the new ones alone.
     """
-    direct = edges.select("derived", "base").where("derived <> base").distinct()
-    known = direct if defined is None else direct.join(defined.select("derived").distinct(), "derived", "left_semi")
-    hops = known.select(F.col("derived").alias("base"), F.col("base").alias("next"))
-    kept = lambda rows: durable(rows) if rows.sparkSession.sparkContext.getCheckpointDir() is not None else rows.persist()
-    seen = fresh = kept(direct)
-    for step in range(1, steps + 1):
+    seen = fresh = durable(edges.select("derived", "base").where("derived <> base").distinct())
+    goes_on = None if defined is None else durable(defined.select("derived").distinct())
+    for _ in range(steps):
+        further = seen if goes_on is None else seen.join(goes_on, "derived", "left_semi")
+        hops = further.select(F.col("derived").alias("base"), F.col("base").alias("next"))
         found = fresh.join(hops, "base").select("derived", F.col("next").alias("base")).where("derived <> base").distinct()
-        fresh = kept(found.join(seen, ["derived", "base"], "left_anti"))
+        fresh = durable(found.join(seen, ["derived", "base"], "left_anti"))
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
-        seen = kept(seen) if step % MERGE_EVERY == 0 else seen
-    raise RuntimeError(f"no fixed point after {steps} steps")
+    raise RuntimeError(f"no fixed point after {steps} rounds")
