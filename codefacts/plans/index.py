@@ -26,6 +26,16 @@ def document_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("relative_path").agg(F.count("*").alias("n_occ"), F.count_distinct("symbol").alias("n_sym"), F.sum("roles").cast("long").alias("n_def"))
 
 
+def merged_parts(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame) -> dict[str, DataFrame]:
+    """What merged_index() nests, as flat rows: occurrences, symbols of documents, and external symbols."""
+    resolved = durable(merge.resolve(references, symbols, external))
+    whole = merge.append_forward(merge.merge_occurrences(occurrences), merge.forward_occurrences(references, resolved), merge.OCCURRENCE)
+    own = merge.merge_symbols(symbols, ["relative_path", "symbol"], ["is_multi", "task_id", "doc"])
+    own = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, references), relations)
+    others = merge.with_relationships(merge.external_records(external, symbols, references, resolved), relations)
+    return {"occurrences": whole, "symbols": own, "external_symbols": others.drop("suffix")}
+
+
 def merged_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, project_root: str) -> dict[str, DataFrame]:
     """The whole index of a project from what its units have written: metadata, nested documents and external symbols.
 
@@ -33,14 +43,9 @@ def merged_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame
     suffix, doc; relations: symbol, target and four flags; references (through forward declarations): task_id, suffix, doc,
     and a range in relative_path.
     """
-    spark = occurrences.sparkSession
-    resolved = durable(merge.resolve(references, symbols, external))
-    whole = merge.append_forward(merge.merge_occurrences(occurrences), merge.forward_occurrences(references, resolved), merge.OCCURRENCE)
-    own = merge.merge_symbols(symbols, ["relative_path", "symbol"], ["is_multi", "task_id", "doc"])
-    own = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, references), relations)
-    others = merge.with_relationships(merge.external_records(external, symbols, references, resolved), relations)
-    about = spark.range(1).select(F.lit("0.4").alias("version"), F.lit("codefacts").alias("tool"), root_uri(F.lit(project_root)).alias("project_root"), F.lit("UTF8").alias("text_encoding"))
-    return {"metadata": about, "documents": render.nested_documents(whole, own), "external_symbols": others.drop("suffix")}
+    parts = merged_parts(occurrences, symbols, external, relations, references)
+    about = occurrences.sparkSession.range(1).select(F.lit("0.4").alias("version"), F.lit("codefacts").alias("tool"), root_uri(F.lit(project_root)).alias("project_root"), F.lit("UTF8").alias("text_encoding"))
+    return {"metadata": about, "documents": render.nested_documents(parts["occurrences"], parts["symbols"]), "external_symbols": parts["external_symbols"]}
 
 
 def write_index(index: dict[str, DataFrame], path: str) -> None:

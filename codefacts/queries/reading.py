@@ -8,7 +8,7 @@ from codefacts.operators.tables import fresh_path
 from codefacts.operators import merge
 from codefacts.queries import ORACLE_SQL, merging, query
 from codefacts.sources import files, index_files
-from codefacts.sources.adapters import fwd_raw, table
+from codefacts.sources.adapters import fwd_raw, occ_raw, table
 
 _KEPT = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('/proj/', coalesce(source, 'none')) END"
 
@@ -70,3 +70,22 @@ def s07_protobuf_forward(spark, sf_dir):
     path = fresh_path(spark, "forward-files")
     index_files.write_forward_files(merge.forward_groups(fwd_raw(spark, sf_dir)), path)
     return index_files.read_forward_files(spark, path)[0].drop("shard", "doc")
+
+
+@query("SELECT task_id, relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw")
+def k01_unit_shards(spark, sf_dir):
+    """Occurrences of units, written as shards and read back; shards that can't be read would be missing."""
+    own, path = occ_raw(spark, sf_dir), fresh_path(spark, "unit-shards")
+    files.write_shards(own, path)
+    return files.read_shards(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields))[0]
+
+
+@query("""SELECT c_nationkey AS map, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord, concat('/proj/{', c_custkey, '}') AS path, concat('cust', c_custkey, '@v"', c_nationkey) AS package FROM customer""")
+def s05_package_files(spark, sf_dir):
+    """Package maps of nations, a JSON array each, read in blocks."""
+    c, path = F.col("c_custkey"), fresh_path(spark, "package-maps")
+    entry = F.struct(F.concat(F.lit("/proj/{"), c, F.lit("}")).alias("path"), F.concat(F.lit("cust"), c, F.lit('@v"'), "c_nationkey").alias("package"))
+    one = F.transform(F.array_sort(F.collect_list(F.struct(c, entry.alias("entry")))), lambda x: x["entry"])
+    table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("map")).agg(F.to_json(one).alias("value")).write.partitionBy("map").text(path)
+    own = files.read_packages(spark, path)
+    return own.select(F.regexp_extract("file_path", "map=(-?[0-9]+)", 1).cast("int").alias("map"), F.col("ord").cast("long").alias("ord"), "path", "package")

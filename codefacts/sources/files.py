@@ -90,9 +90,9 @@ def relative_directories(commands: DataFrame) -> DataFrame:
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """ord, path, package of a package map."""
-    own = json_arrays.array_objects(spark, path).select(F.col("ord").cast("int").alias("ord"), F.from_json("json", PACKAGE_ENTRY).alias("p"))
-    return own.select("ord", "p.path", "p.package")
+    """ord, path, package, file_path of package maps."""
+    own = json_arrays.array_objects(spark, path).select("file_path", F.col("ord").cast("int").alias("ord"), F.from_json("json", PACKAGE_ENTRY).alias("p"))
+    return own.select("ord", "p.path", "p.package", "file_path")
 
 
 def read_sources(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
