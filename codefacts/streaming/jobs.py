@@ -6,15 +6,20 @@ operator keeps a few numbers a job or a worker, so its state grows with them and
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from codefacts.operators.jobs import latest_state
 
+# The runner of stateful operators doesn't look into the files that Spark ships, so their code goes with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATES = {"start": "wip", "finish": "done", "kill": "maybe_errored"}
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
