@@ -279,8 +279,9 @@ def _cutoff(counts: DataFrame, most: int) -> int:
 
 def _looked_up(batches: Iterator[pa.RecordBatch], pair: np.ndarray, n_docs: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The last two columns of a batch are pairs and times; of them come back the sums over the known pairs."""
-    for batch in batches:
-        for batch in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):  # noqa: B020, PLW2901
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
             pairs, times = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             own, n = pairs.flatten().to_numpy(), times.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), pairs.value_lengths().to_numpy())

@@ -161,6 +161,13 @@ def test_alignment_query(spark, sf_dir):
     assert {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum) for r in got} == {i: (*w[:4], digest(w[4]), *w[5:]) for i, w in want.items()}
 
 
+def test_alignment_of_many_rows(spark):
+    """More rows in one batch than are looked up at a time."""
+    texts = [f"row {i} of many, word{i % 7}" for i in range(700)]
+    got = alignment.add_link_counts(alignment.align(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)), alignment.piece_count()).collect()
+    assert {r.doc_id: (r.n_links, r.n_best, r.count_sum) for r in got} == {i: (w[3], *w[5:]) for i, w in enumerate(expected(texts))} and len(got) == 700
+
+
 def test_gallop_and_slices():
     rng = np.random.default_rng(2)
     for n, m in ((0, 5), (1, 1), (40, 4000), (300, 300), (5, 100_000)):
