@@ -21,39 +21,71 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import cut, fresh_path
+from codefacts.llm.common import cut, discard, fresh_path
 
 #: Fixed values of the public seekable format: skippable-frame magic, seek-table magic.
 SKIPPABLE, SEEK_TABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 32 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: What a row of plan_records() is known by, and the words of 64 bits in a bitmap over it: 8 MB.
+KEY, WORDS = ["page_id", "digest", "size"], 1 << 20
 INDEX = "page_id bigint, file string, frame int, record_offset bigint, record_bytes bigint"
 RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, file string"
 
 
+def _place() -> list[Column]:
+    """word and pos: the bit of a bitmap that stands for a row's KEY."""
+    h = F.xxhash64(*KEY)
+    return [F.pmod(h, F.lit(WORDS)).alias("word"), F.shiftrightunsigned(h, 58).cast("int").alias("pos")]
+
+
+def bitmap(rows: DataFrame) -> DataFrame:
+    """word, bits: the words with a bit set of the bitmap of rows. WORDS bound it at any number of rows, so it may be broadcast."""
+    return rows.select(*_place()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("bits"))
+
+
+def hits(rows: DataFrame, bits: DataFrame, hit: bool = True) -> DataFrame:
+    """The rows whose bit is set, which all rows of the bitmap are and few others; or all those whose bit isn't."""
+    placed = rows.select("*", *_place()).join(F.broadcast(bits), "word", "inner" if hit else "left")
+    return placed.where((F.coalesce(F.expr("bit_get(bits, pos)"), F.lit(0)) == 1) == F.lit(hit)).select(*rows.columns)
+
+
 def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """page_id, url, payload, digest, and refers_to (null for a response).
+    """page_id, url, payload (null for a revisit), size, digest, and refers_to (null for a response).
 
-    Payloads are compared by SHA-1 and length. Digests seen twice or more are found with partial counts and written, so
-    that the join with them is one of two plain shuffles, which AQE splits at a hot digest.
+    Payloads are compared by SHA-1 and length; only ids, urls, digests and sizes are shuffled. Digests seen twice or more are
+    found with partial counts and written, so that the join with them is one of two plain shuffles, which AQE splits at a hot
+    digest. A response's payload stays where it is read, as no bit of the revisits' bitmap is set for it. Those few for which
+    one is set by chance are known from their ids: a second bitmap finds them, and only their payloads go through a join.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+    narrow = cut(rows.drop("payload"), "pages")
+    groups = narrow.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = cut(groups, "digests")
     of = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(groups, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", of.alias("refers_to"))
+    told = narrow.join(groups, ["digest", "size"], "left").select("page_id", "url", "digest", "size", of.alias("refers_to"))
+    revisits = told.where("refers_to IS NOT NULL")
+    maybe = cut(bitmap(revisits), "maybe")
+    chance = cut(hits(told.where("refers_to IS NULL"), maybe).select(*KEY).distinct(), "chance")
+    second = cut(bitmap(chance), "second")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in KEY]
+    found = hits(hits(rows, maybe), second).alias("r").join(chance.alias("c"), same, "left_semi")
+    responses = hits(rows, maybe, False).union(found.select(*rows.columns)).withColumn("refers_to", F.lit(None).cast("long"))
+    out = responses.unionByName(revisits.withColumn("payload", F.lit(None).cast("binary"))).select("page_id", "url", "payload", "size", "digest", "refers_to")
+    out._tables = [narrow, groups, maybe, chance, second]
+    return out
 
 
 def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def format_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def format_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}",
@@ -128,9 +160,9 @@ def _write(tables: Iterator[pd.DataFrame], uri: str, frame_bytes: int, bundle_by
         return rows.astype({"page_id": "Int64", "frame": "int32", "record_offset": "int64", "record_bytes": "int64"})
 
     for t in tables:
-        for page_id, known, url, payload, digest, refers_to, again in t.itertuples(index=False, name=None):
+        for page_id, known, url, payload, size, digest, refers_to, again in t.itertuples(index=False, name=None):
             page_id = int(page_id) if known else None
-            record = format_record(page_id, url, bytes(payload), digest, int(refers_to) if again else None)
+            record = format_record(page_id, url, None if again else bytes(payload), size, digest, int(refers_to) if again else None)
             filled.append((page_id, len(frame), len(record)))
             frame += record
             if len(frame) >= frame_bytes:
@@ -145,8 +177,8 @@ def write_bundles(records: DataFrame, uri: str, frame_bytes: int = FRAME_BYTES,
     """Write plan_records() rows as bundles under uri; returns the index, already written. A task holds one bundle at most."""
     null = F.lit(0).cast("long")
     rows = records.select(
-        F.coalesce("page_id", null), F.col("page_id").isNotNull(), "url", "payload", "digest", F.coalesce("refers_to", null), F.col("refers_to").isNotNull()
-    ).toDF("page_id", "known", "url", "payload", "digest", "refers_to", "again")
+        F.coalesce("page_id", null), F.col("page_id").isNotNull(), "url", "payload", "size", "digest", F.coalesce("refers_to", null), F.col("refers_to").isNotNull()
+    ).toDF("page_id", "known", "url", "payload", "size", "digest", "refers_to", "again")
     return cut(rows.mapInPandas(lambda tables: _write(tables, uri, frame_bytes, bundle_bytes), INDEX), "warc-index")
 
 
@@ -165,6 +197,9 @@ class Bundle:
         length = 9 + n * (12 if flags & 0x80 else 8)
         self.frames = frames(self.file.read_at(length, size - length))
 
+    def close(self) -> None:
+        self.file.close()
+
     def frame(self, number: int) -> bytes:
         start, packed, plain = self.frames[number]
         return zstandard.ZstdDecompressor().decompress(self.file.read_at(packed, start), max_output_size=plain)
@@ -189,12 +224,16 @@ def _read(tables: Iterator[pd.DataFrame], uri: str, payloads: bool) -> Iterator[
         rows = []
         for file, frame, at, n in t.itertuples(index=False, name=None):
             if file != name:
+                if bundle:
+                    bundle.close()
                 name, bundle, number = file, Bundle(store, f"{folder}/{file}"), None
             if frame != number:
                 number, plain = frame, bundle.frame(frame)
             rows.append((*_fields(plain[at : at + n], payloads), file))
         out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file"], dtype=object)
         yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+    if bundle:
+        bundle.close()
 
 
 def read_records(index: DataFrame, uri: str, payloads: bool = False) -> DataFrame:
@@ -208,4 +247,8 @@ def read_records(index: DataFrame, uri: str, payloads: bool = False) -> DataFram
 def archive(pages: DataFrame, least_bytes: int = 1000, uri: str | None = None) -> tuple[DataFrame, str]:
     """Write the pages as bundles; (index, uri)."""
     uri = uri or fresh_path(pages.sparkSession, "warc")
-    return write_bundles(plan_records(pages, least_bytes), uri), uri
+    records = plan_records(pages, least_bytes)
+    index = write_bundles(records, uri)
+    for table in records._tables:
+        discard(table)
+    return index, uri

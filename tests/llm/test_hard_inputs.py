@@ -1,12 +1,14 @@
 """Inputs that once broke an operator: tight clusters, rare dimensions, one huge text, words that weak hashes confuse, long words."""
 
+import re
 import tracemalloc
 import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from codefacts.llm import lattice_lm, mil_quality, minhash, pivot_index, quality_rules
+from codefacts.llm import lattice_lm, mil_quality, minhash, pivot_index, quality_rules, warc
 from codefacts.llm.buffers import Spans
 
 
@@ -120,3 +122,30 @@ def test_long_words_by_the_recursion_of_short_ones(monkeypatch):
     lattice.run(["ab1" * 30_000], np.ones(1))
     assert tracemalloc.get_traced_memory()[1] < 40 * 90_000
     tracemalloc.stop()
+
+
+def test_payloads_that_share_a_bit_of_the_bitmap(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "WORDS", 2)
+    rows = [(i, "u", f"{i % 40 if i % 3 else i}" * 1200) for i in range(1200)] + [(None, "u", "7" * 1200), (None, None, "n" * 1200), (5, "u", "5" * 1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index, uri = warc.archive(pages, uri=f"file://{tmp_path}/w")
+    got = warc.read_records(index, uri, payloads=True).collect()
+    largest = {}
+    for page_id, _, html in rows:
+        largest[html] = max((x for x in (largest.get(html), page_id) if x is not None), default=None)
+    want = [(p, len(h), None if largest[h] == p else largest[h], h if largest[h] == p else None) for p, _, h in rows]
+    assert sorted(map(repr, want)) == sorted(repr((r.page_id, r.payload_bytes, r.refers_to, r.payload and bytes(r.payload).decode())) for r in got)
+
+
+def test_payloads_are_not_shuffled(spark):
+    pages = spark.range(0, 3000, 1, 4).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("y"), 1200), F.col("id") % 2000).alias("html"))
+    records = warc.plan_records(pages)
+    assert records.where("payload IS NOT NULL").count() == 2000
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(records.select("*")._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffled = re.findall(r"\) Exchange *\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert shuffled and sum("payload" in columns for columns in shuffled) <= 1  # those that share a bit by chance
