@@ -89,3 +89,34 @@ def s05_package_files(spark, sf_dir):
     table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("map")).agg(F.to_json(one).alias("value")).write.partitionBy("map").text(path)
     own = files.read_packages(spark, path)
     return own.select(F.regexp_extract("file_path", "map=(-?[0-9]+)", 1).cast("int").alias("map"), F.col("ord").cast("long").alias("ord"), "path", "package")
+
+
+@query(f"""WITH numbered AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS task_id, {_KEPT} AS directory, concat('f', doc_id, '.cc') AS file,
+    concat(CASE WHEN doc_id % 3 = 0 THEN 'cc -c ' ELSE '' END, 'cc ', coalesce(text, '')) AS arguments FROM documents)
+SELECT task_id, directory, file, md5(arguments) AS arguments_md5 FROM numbered WHERE directory IS NOT NULL""")
+def s02_command_lines(spark, sf_dir):
+    """One command a line, in files that are split. Numbers count rows that a later filter takes away; a command's words come before its arguments."""
+    d, path = F.col("doc_id"), fresh_path(spark, "command-lines")
+    docs = table(spark, sf_dir, "documents")
+    command = F.struct(
+        F.when(d % 5 != 0, F.concat(F.lit("/proj/"), F.coalesce("source", F.lit("none")))).alias("directory"), F.concat(F.lit("f"), d, F.lit(".cc")).alias("file"),
+        F.when(d % 3 == 0, F.lit("cc -c")).alias("command"), F.array(F.lit("cc"), F.coalesce("text", F.lit(""))).alias("arguments"),
+    )
+    docs.orderBy(d).select(F.to_json(command)).write.text(path)
+    own = files.read_command_lines(spark, path).where("directory IS NOT NULL")
+    return own.select("task_id", "directory", "file", F.md5(F.array_join("arguments", " ").cast("binary")).alias("arguments_md5"))
+
+
+@query("""WITH whole AS (
+  SELECT doc_id // 100 AS folder, concat(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), chr(10)) AS content FROM documents GROUP BY doc_id // 100),
+lines AS (
+  SELECT folder, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM whole)
+SELECT folder, CAST(line_no AS INT) AS line_no, md5(replace(regexp_replace(line, chr(13) || '$', ''), chr(9), ' ')) AS text_md5 FROM lines""")
+def s10_source_tree(spark, sf_dir):
+    """A tree of folders with a source file of 100 documents in each, read recursively."""
+    d, path = F.col("doc_id"), fresh_path(spark, "source-tree")
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(d, F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    table(spark, sf_dir, "documents").groupBy(F.expr("doc_id DIV 100").alias("folder")).agg(one.alias("value")).write.partitionBy("folder").text(path)
+    own = files.read_sources(spark, path)
+    return own.select(F.regexp_extract("relative_path", "folder=(-?[0-9]+)/", 1).cast("long").alias("folder"), "line_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
