@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import components, cut, spare, without
+from codefacts.llm.common import components, cut, discard, spare, without
 
 ADDED = ("n_links", "component_id", "kept")
 DESCRIBED = "vec_id bigint, label string, dims int, n bigint, unit array<double>, near array<int>"
@@ -146,6 +146,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, depth: int = 12, share
     degree = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     result = classes.select(*by, "vec_id", "n").join(degree, "vec_id", "left").join(joined, "vec_id", "left")
     result = cut(result.select(*by, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "vec_id").alias("component")), "result")
+    for table in (classes, described, size, sizes, found):
+        discard(table)
     wanted, of = spare(vectors, "class_key"), spare(vectors, "of_class")
     keyed = vectors.select("*", F.when(usable, F.struct(*key)).alias(wanted))
     out = keyed.join(result.select(F.struct(*by).alias(of), "links", "component").select(F.struct(of, "links", "component").alias(of)), F.col(wanted) == F.col(f"{of}.{of}"), "left")
