@@ -2,8 +2,8 @@
 
 Reading: a shard is one row of Spark's binary reader and is decoded whole by the task that has it, so a bad one gives a row that says why, and nothing
 else; the others are read. Writing: each document, each 1024 external symbols and the metadata are a fragment. Fragments are sorted
-by ranges, and each task writes its range as a file; files get their names when all tasks have ended. In the order of names they are, one after
-another, a valid index.
+by ranges, and each task writes its range as files of bounded size; they get their names when all tasks have ended. In the order of names they are, one after
+another, a valid index. Both ways, messages are read and written many at a time, as columns (wire_columns).
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from codefacts.functions import ranges
-from codefacts.operators.tables import numbered, written
+from codefacts.operators.tables import durable, numbered, written
 from codefacts.schema import MISSING_DOC
-from codefacts.sources import wire
+from codefacts.sources import wire, wire_columns
 
 EXTERNALS = 1024
 PREFIX = "index-"
+#: Bytes of a file, beyond which a task begins another one: what one task of the reader holds at once doesn't grow with the index.
+MOST = 1 << 24
 _RELATED = "array<struct<symbol: string, is_reference: boolean, is_implementation: boolean, is_type_definition: boolean, is_definition: boolean>>"
 _SYMBOL = f"symbol: string, documentation: array<string>, relationships: {_RELATED}"
 _READ = f"""shard string, kind string, reason string, relative_path string, language string,
@@ -33,26 +37,74 @@ _READ = f"""shard string, kind string, reason string, relative_path string, lang
 _FORWARD = "shard string, kind string, reason string, suffix string, doc string, references array<struct<range: array<int>, relative_path: string>>"
 
 
-def _decoded(fields: wire.Fields, rows: Callable[[dict], list[dict]], schema: pa.Schema):
-    """A function over batches of (path, content): what rows makes of each message, or a row with a reason."""
+Rows = list[tuple[int, dict[str, pa.Array]]]
+
+
+def _filled(shard: str, n: int, columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    columns = {"shard": pa.array([shard] * n, pa.string()), **columns}
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _decoded(rows: Callable[[np.ndarray], Rows], schema: pa.Schema):
+    """A function over batches of (path, content): what rows makes of each message, or a row with a reason.
+
+    A shard's rows are kept as columns until all of it has been read, so a task holds a few times the bytes of one shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    out = rows(wire.decode(fields, content))
+                    out = [_filled(path.as_py(), n, columns, schema) for n, columns in rows(np.frombuffer(content.as_buffer(), np.uint8))]
                 except ValueError as e:  # whatever is wrong with a shard, the others are read
-                    out = [{"kind": "bad", "reason": str(e)[:200]}]
-                for i in range(0, len(out), 1000):
-                    yield pa.RecordBatch.from_pylist([{"shard": path, **x} for x in out[i : i + 1000]], schema=schema)
+                    out = [_filled(path.as_py(), 1, {"kind": pa.array(["bad"]), "reason": pa.array([str(e)[:200]])}, schema)]
+                for own in out:
+                    for i in range(0, own.num_rows, 1000):
+                        yield own.slice(i, 1000)
 
     return run
 
 
-def _rows_of_index(index: dict) -> list[dict]:
-    about = [{"kind": "metadata", "project_root": index["metadata"]["project_root"]}] if index["metadata"] else []
-    documents = [{"kind": "document", **{k: d[k] for k in ("relative_path", "language", "occurrences", "symbols")}} for d in index["documents"]]
-    return [*about, *documents, *[{"kind": "external", "symbols": [s]} for s in index["external_symbols"]]]
+def _kind(name: str, n: int) -> pa.Array:
+    return pa.array([name] * n, pa.string())
+
+
+def _message(fields: wire.Fields, data: np.ndarray) -> dict:
+    return wire_columns.decode(fields, data, np.array([0]), np.array([len(data)]))
+
+
+def _read_symbols(s: dict) -> pa.Array:
+    related, counts = s["relationships"]
+    names = ["symbol", "is_reference", "is_implementation", "is_type_definition", "is_definition"]
+    relations = wire_columns.lists(pa.StructArray.from_arrays([pa.array(related[c]) for c in names], names), counts)
+    return pa.StructArray.from_arrays([s["symbol"], wire_columns.lists(*s["documentation"]), relations], ["symbol", "documentation", "relationships"])
+
+
+def _read_ranges(numbers: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    return wire_columns.lists(pa.array(numbers[0]), numbers[1])
+
+
+def _rows_of_index(data: np.ndarray) -> Rows:
+    index = _message(wire.INDEX, data)
+    (about, n_about), (documents, n_documents), (external, n_external) = index["metadata"], index["documents"], index["external_symbols"]
+    out: Rows = []
+    if n_about[0]:
+        out.append((1, {"kind": _kind("metadata", 1), "project_root": about["project_root"][-1:]}))
+    n = int(n_documents[0])
+    occurrences, counts = documents["occurrences"]
+    places = pa.StructArray.from_arrays([_read_ranges(occurrences["range"]), occurrences["symbol"], pa.array(occurrences["roles"])], ["range", "symbol", "roles"])
+    symbols = wire_columns.lists(_read_symbols(documents["symbols"][0]), documents["symbols"][1])
+    out.append((n, {"kind": _kind("document", n), "relative_path": documents["relative_path"], "language": documents["language"], "occurrences": wire_columns.lists(places, counts), "symbols": symbols}))
+    m = int(n_external[0])
+    out.append((m, {"kind": _kind("external", m), "symbols": wire_columns.lists(_read_symbols(external), np.ones(m, np.int64))}))
+    return out
+
+
+def _rows_of_forward(data: np.ndarray) -> Rows:
+    forward, counts = _message(wire.FORWARD_INDEX, data)["forward_decls"]
+    (references, each), n = forward["references"], int(counts[0])
+    places = pa.StructArray.from_arrays([_read_ranges(references["range"]), references["relative_path"]], ["range", "relative_path"])
+    return [(n, {"kind": _kind("forward", n), "suffix": forward["suffix"], "doc": forward["documentation"], "references": wire_columns.lists(places, each)})]
 
 
 def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -67,7 +119,7 @@ def _content(spark: SparkSession, root: str) -> DataFrame:
 
 def read_index_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The parts of all shards below a folder: occurrences, symbols, external, metadata, and bad (shard, reason)."""
-    rows = _content(spark, root).mapInArrow(_decoded(wire.INDEX, _rows_of_index, _arrow(spark, _READ)), _READ)
+    rows = _content(spark, root).mapInArrow(_decoded(_rows_of_index, _arrow(spark, _READ)), _READ)
     rows = written(rows, "shards", "kind")
     documents = rows.where("kind = 'document'")
     occurrences = documents.select("shard", "relative_path", F.posexplode("occurrences").alias("place", "o")).select("shard", "relative_path", "place", "o.symbol", ranges.decode(F.col("o.range")).alias("r"), "o.roles")
@@ -83,64 +135,96 @@ def read_index_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def read_forward_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Shards of forward declarations: (a row per reference, bad shards)."""
-    make = lambda m: [{"kind": "forward", "suffix": f["suffix"], "doc": f["documentation"], "references": f["references"]} for f in m["forward_decls"]]
-    rows = written(_content(spark, root).mapInArrow(_decoded(wire.FORWARD_INDEX, make, _arrow(spark, _FORWARD)), _FORWARD), "forward", "kind")
+    rows = written(_content(spark, root).mapInArrow(_decoded(_rows_of_forward, _arrow(spark, _FORWARD)), _FORWARD), "forward", "kind")
     each = rows.where("reason IS NULL").select("shard", "suffix", "doc", F.explode("references").alias("r")).select("shard", "suffix", "doc", "r.relative_path", ranges.decode(F.col("r.range")).alias("p"))
     return each.select("shard", "suffix", "doc", "relative_path", *[(F.col(f"p.{c}") - 1).alias(c) for c in ranges.RANGE]), rows.where("reason IS NOT NULL").select("shard", "reason")
 
 
-def _range(o: dict) -> list[int]:
-    one = o["start_line"] == o["end_line"]
-    return [o["start_line"], o["start_char"], o["end_char"]] if one else [o["start_line"], o["start_char"], o["end_line"], o["end_char"]]
+Columns = dict[str, pa.Array]
 
 
-def _symbol(s: dict) -> dict:
-    related = [{**r, "symbol": r["target"]} for r in s.get("relationships") or []]
-    return {"symbol": s["symbol"], "documentation": [s["doc"]], "relationships": related}
+def _parts(rows: pa.Array) -> Columns:
+    return dict(zip([f.name for f in rows.type], rows.flatten(), strict=True))
 
 
-def _document(row: dict) -> dict:
-    occurrences = [{"range": _range(o), "symbol": o["symbol"], "roles": o["roles"]} for o in row["occurrences"] or []]
-    return {"documents": [{"relative_path": row["relative_path"], "language": row["language"], "occurrences": occurrences, "symbols": [_symbol(s) for s in row["symbols"] or []]}]}
+def _each(rows: pa.Array) -> tuple[Columns, np.ndarray]:
+    """The elements of lists of structs, and how many each list has; a null list has none."""
+    return _parts(rows.flatten()), _numbers(pc.list_value_length(rows))
 
 
-def _externals(row: dict) -> dict:
-    return {"external_symbols": [_symbol(s) for s in row["of"]]}
+def _numbers(values: pa.Array) -> np.ndarray:
+    return pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _about(row: dict) -> dict:
-    return {"metadata": {"tool_info": {"name": row["tool"], "version": row["version"]}, "project_root": row["project_root"], "text_document_encoding": 1}}
+def _ranges(o: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Three numbers of a range on one line, four of others."""
+    sl, sc, el, ec = (_numbers(o[c]) for c in ranges.RANGE)
+    four = np.stack([sl, sc, el, ec], axis=1)
+    kept = np.ones(four.shape, bool)
+    kept[:, 2] = sl != el
+    return four[kept], kept.sum(axis=1)
 
 
-def _forward(row: dict) -> dict:
-    references = [{"range": _range(r), "relative_path": r["relative_path"]} for r in row["references"]]
-    return {"forward_decls": [{"suffix": row["suffix"], "documentation": row["doc"], "references": references}]}
+def _symbols(s: Columns) -> dict:
+    n = len(s["symbol"])
+    out = {"symbol": s["symbol"], "documentation": (s["doc"], np.ones(n, np.int64))}
+    if "relationships" in s:
+        related, counts = _each(s["relationships"])
+        flags = {c: pc.fill_null(related[c], False).to_numpy(zero_copy_only=False) for c in ("is_reference", "is_implementation", "is_type_definition", "is_definition")}
+        out["relationships"] = {"symbol": related["target"], **flags}, counts
+    return out
 
 
-_FRAGMENT = "part int, key string, fragment binary"
+def _documents(rows: Columns) -> dict:
+    (o, n_occurrences), (s, n_symbols) = _each(rows["occurrences"]), _each(rows["symbols"])
+    occurrences = {"range": _ranges(o), "symbol": o["symbol"], "roles": _numbers(o["roles"])}
+    return {"documents": {"relative_path": rows["relative_path"], "language": rows["language"], "occurrences": (occurrences, n_occurrences), "symbols": (_symbols(s), n_symbols)}}
 
 
-def fragments(rows: DataFrame, part: int, key: str, fields: wire.Fields, make: Callable[[dict], dict]) -> DataFrame:
-    """A message for each row, under its part and its key."""
+def _externals(rows: Columns) -> dict:
+    s, counts = _each(rows["of"])
+    return {"external_symbols": (_symbols(s), counts)}
+
+
+def _about(rows: Columns) -> dict:
+    n = len(rows["tool"])
+    one = np.ones(n, np.int64)
+    tool = {"name": rows["tool"], "version": rows["version"]}, one
+    return {"metadata": {"tool_info": tool, "project_root": rows["project_root"], "text_document_encoding": one}}
+
+
+def _forward(rows: Columns) -> dict:
+    r, counts = _each(rows["references"])
+    return {"forward_decls": {"suffix": rows["suffix"], "documentation": rows["doc"], "references": ({"range": _ranges(r), "relative_path": r["relative_path"]}, counts)}}
+
+
+_FRAGMENT = "fragment binary"
+#: Rows that are encoded at once.
+AT_ONCE = 512
+
+
+def fragments(rows: DataFrame, fields: wire.Fields, make: Callable[[Columns], dict]) -> DataFrame:
+    """A message for each row, in the order of rows. A field for which make has no counts is there once in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                own = batch.slice(i, 64).to_pylist()
-                keys = pa.array([str(r[key]) for r in own], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), keys, pa.array([wire.encode(fields, make(r)) for r in own], pa.binary())], ["part", "key", "fragment"])
+            for i in range(0, batch.num_rows, AT_ONCE):
+                own = batch.slice(i, AT_ONCE)
+                one = np.ones(own.num_rows, np.int64)
+                message = {k: v if isinstance(v, tuple) else (v, one) for k, v in make(dict(zip(own.schema.names, own.columns, strict=True))).items()}
+                yield pa.RecordBatch.from_arrays([wire_columns.binary(*wire_columns.encode(fields, message, own.num_rows))], ["fragment"])
 
     return rows.mapInArrow(run, _FRAGMENT)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
+    names: list[str]
     at: int
 
 
 class FragmentWriter(DataSourceWriter):
-    """Each task writes one file of fragments; the files get the names that the next reader sees when all of them are whole."""
+    """Each task writes its fragments, in files of about MOST bytes; they get the names that the next reader sees when all of them are whole."""
 
     def __init__(self, path: str):
         self._path, self._run = path.rstrip("/"), uuid.uuid4().hex
@@ -151,27 +235,37 @@ class FragmentWriter(DataSourceWriter):
     def write(self, iterator) -> Written:
         task = TaskContext.get()
         store, folder = self._store()
-        name = f"_{self._run}-{task.partitionId()}-{task.taskAttemptId()}"
+        names, out, size = [], None, 0
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/{name}") as out:
+        try:
             for row in iterator:
+                if out is None or size >= MOST:
+                    if out is not None:
+                        out.close()
+                    names.append(f"_{self._run}-{task.partitionId()}-{task.taskAttemptId()}-{len(names)}")
+                    out, size = store.open_output_stream(f"{folder}/{names[-1]}"), 0
                 out.write(row["fragment"])
-        return Written(name, task.partitionId())
+                size += len(row["fragment"])
+        finally:
+            if out is not None:
+                out.close()
+        return Written(names, task.partitionId())
 
-    def commit(self, messages) -> None:
+    def _move(self, messages, to: Callable[[fs.FileSystem, str, str], None]) -> None:
         store, folder = self._store()
         for m in messages:
-            store.move(f"{folder}/{m.name}", f"{folder}/{PREFIX}{m.at:08d}")
+            for i, name in enumerate(m.names if m is not None else []):
+                to(store, f"{folder}/{name}", f"{folder}/{PREFIX}{m.at:08d}-{i:06d}")
+
+    def commit(self, messages) -> None:
+        self._move(messages, lambda store, old, new: store.move(old, new))
 
     def abort(self, messages) -> None:
-        store, folder = self._store()
-        for m in messages:
-            if m is not None:
-                store.delete_file(f"{folder}/{m.name}")
+        self._move(messages, lambda store, old, new: store.delete_file(old))
 
 
 class FragmentSink(DataSource):
-    """A sink of the format index_fragments: rows of part, key and fragment, sorted, into a new folder that pyarrow's file systems know."""
+    """A sink of the format index_fragments: rows of one column fragment, in their order, into a new folder that pyarrow's file systems know."""
 
     @classmethod
     def name(cls) -> str:
@@ -186,17 +280,21 @@ class FragmentSink(DataSource):
 
 def _save(rows: DataFrame, path: str) -> None:
     rows.sparkSession.dataSource.register(FragmentSink)
-    rows.orderBy("part", F.octet_length("key"), "key").write.format("index_fragments").option("path", path).mode("append").save()
+    rows.write.format("index_fragments").option("path", path).mode("append").save()
 
 
 def write_index_files(index: dict[str, DataFrame], path: str) -> None:
-    """The whole index (plans.index) as files: metadata, a fragment a document in the order of paths, external symbols by 1024 in their order."""
+    """The whole index (plans.index) as files: metadata, a fragment a document in the order of paths, external symbols by 1024 in their order.
+
+    Rows are sorted before they are encoded, and documents written before that: sorting by ranges looks at its rows twice.
+    """
     external = numbered(index["external_symbols"], ranges.by_length(F.col("symbol")), "place")
-    groups = external.groupBy(F.floor((F.col("place") - 1) / EXTERNALS).alias("nr")).agg(F.array_sort(F.collect_list(F.struct("place", "symbol", F.coalesce("doc", F.lit(MISSING_DOC)).alias("doc"), "relationships"))).alias("of"))
-    parts = [fragments(index["metadata"], 0, "version", wire.INDEX, _about), fragments(index["documents"], 1, "relative_path", wire.INDEX, _document), fragments(groups, 2, "nr", wire.INDEX, _externals)]
+    groups = external.groupBy(F.floor((F.col("place") - 1) / EXTERNALS).alias("nr")).agg(F.sort_array(F.collect_list(F.struct("place", "symbol", F.coalesce("doc", F.lit(MISSING_DOC)).alias("doc"), "relationships"))).alias("of"))
+    documents = durable(index["documents"]).orderBy(*ranges.by_length(F.col("relative_path")))
+    parts = [fragments(index["metadata"], wire.INDEX, _about), fragments(documents, wire.INDEX, _documents), fragments(groups.orderBy("nr"), wire.INDEX, _externals)]
     _save(parts[0].unionByName(parts[1]).unionByName(parts[2]), path)
 
 
 def write_forward_files(groups: DataFrame, path: str) -> None:
     """Forward declarations (merge.forward_groups: task_id, suffix, doc, references) as files, a fragment a suffix and unit."""
-    _save(fragments(groups, 0, "suffix", wire.FORWARD_INDEX, _forward), path)
+    _save(fragments(groups.orderBy(*ranges.by_length(F.col("suffix"))), wire.FORWARD_INDEX, _forward), path)

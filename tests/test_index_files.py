@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codefacts.plans import index
-from codefacts.sources import index_files, wire
+from codefacts.sources import index_files, wire, wire_columns
 
 
 def test_messages_by_hand():
@@ -61,3 +63,61 @@ def test_index_files(spark, tmp_path):
     assert {r.shard.rsplit("/", 1)[1] for r in got["bad"].collect()} == {"index-broken", "index-other"}
     assert got["occurrences"].count() == 61 and got["external"].count() == 2500 and got["metadata"].count() == 1
     assert {(r.symbol, r.relationships[0]["symbol"]) for r in got["symbols"].where("size(relationships) > 0").collect()} == {("cxx . p v$ S1#", "t")}
+
+
+def _columns(fields, messages):
+    """Messages as the columns that wire_columns takes."""
+    out = {}
+    for name, kind in fields.values():
+        values = [m[name] for m in messages]
+        if kind in (wire.INT, wire.BOOL):
+            out[name] = np.array(values)
+        elif kind == wire.TEXT:
+            out[name] = pa.array(values, pa.string())
+        else:
+            each = [v if isinstance(v, list) else [] if v is None else [v] for v in values]
+            flat, one = [x for own in each for x in own], kind[0] if isinstance(kind, list) else kind
+            of = np.array(flat, np.int64) if kind == wire.INTS else pa.array(flat, pa.string()) if one == wire.TEXT else _columns(one, flat)
+            out[name] = of, np.array([len(own) for own in each], np.int64)
+    return out
+
+
+def test_many_messages_at_once(spark):
+    """Columns of messages and single messages have the same bytes; damaged bytes are refused by both, or read the same."""
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("aé\U0001f600 #") for _ in range(rng.randrange(6)))
+    place = lambda: {"range": [rng.choice([rng.randrange(-3, 999), 2**31 - 1, -(2**31)]) for _ in range(rng.randrange(5))], "symbol": text(), "roles": rng.randrange(300)}
+    symbol = lambda: {"symbol": text(), "documentation": [text() for _ in range(rng.randrange(3))], "relationships": [dict.fromkeys(("is_reference", "is_implementation", "is_type_definition", "is_definition"), True) | {"symbol": text()}]}
+    document = lambda: {"relative_path": text(), "language": "CPP", "occurrences": [place() for _ in range(rng.randrange(40))], "symbols": [symbol() for _ in range(rng.randrange(4))]}
+    for n in (1, 5, 40):
+        about = [None if rng.random() < 0.5 else {"tool_info": None, "project_root": text(), "text_document_encoding": 1} for _ in range(n)]
+        whole = [{"metadata": a, "documents": [document() for _ in range(rng.randrange(30))], "external_symbols": [symbol()]} for a in about]
+        want = [wire.encode(wire.INDEX, m) for m in whole]
+        data, lengths = wire_columns.encode(wire.INDEX, _columns(wire.INDEX, whole), n)
+        ends = np.cumsum(lengths)
+        assert [data[e - k : e].tobytes() for e, k in zip(ends, lengths, strict=True)] == want
+        again = wire_columns.encode(wire.INDEX, wire_columns.decode(wire.INDEX, data, ends - lengths, ends), n)
+        assert again[0].tobytes() == data.tobytes()
+        for _ in range(40):
+            damaged = bytearray(want[-1][:3000])
+            damaged[rng.randrange(len(damaged))] = rng.randrange(256)
+            try:
+                one = wire.encode(wire.INDEX, wire.decode(wire.INDEX, bytes(damaged)))
+            except ValueError:
+                with pytest.raises(ValueError):
+                    wire_columns.decode(wire.INDEX, np.frombuffer(bytes(damaged), np.uint8), np.array([0]), np.array([len(damaged)]))
+            else:
+                column = wire_columns.decode(wire.INDEX, np.frombuffer(bytes(damaged), np.uint8), np.array([0]), np.array([len(damaged)]))
+                if not column["metadata"][1][0] > 1:
+                    assert wire_columns.encode(wire.INDEX, column, 1)[0].tobytes() == one
+
+
+def test_files_are_bounded(spark, tmp_path):
+    """A task that has more than MOST bytes begins another file, and what one task reads stays small; nothing is lost."""
+    place = F.struct(F.concat(F.lit("f"), "id").alias("relative_path"), *[F.lit(i).alias(c) for i, c in enumerate(("start_line", "start_char", "end_line", "end_char"))])
+    groups = spark.range(40_000).coalesce(1).select(F.lit(1).alias("task_id"), F.concat(F.lit("S"), "id").alias("suffix"), F.repeat(F.lit("d"), 1000).alias("doc"), F.array(place).alias("references"))
+    index_files.write_forward_files(groups.coalesce(1), f"file://{tmp_path}/forward")
+    sizes = [p.stat().st_size for p in (tmp_path / "forward").iterdir() if p.name.startswith("index-")]
+    assert sum(sizes) > 40e6 and max(sizes) < index_files.MOST + 1e6
+    got, bad = index_files.read_forward_files(spark, f"file://{tmp_path}/forward")
+    assert got.count() == 40_000 and bad.count() == 0
