@@ -1,11 +1,13 @@
 """Job states, timeouts and late answers over a stream of job events.
 
 Events (ts, seq, worker_id, task_id, subtask, event) are told in the order in which they happen for each job and each worker, in batches of any size. Each
-operator keeps a few numbers a job or a worker, so its state grows with them and not with the events.
+operator keeps a few numbers a job or a worker, so its state grows with them and not with the events. Jobs and workers are dealt to groups by a hash;
+a group's numbers are one value in the store, a table, so a batch costs a step a group and not a step a job.
 """
 
 from __future__ import annotations
 
+import io
 import sys
 from collections.abc import Iterator
 
@@ -24,6 +26,9 @@ STATES = {"start": "wip", "finish": "done", "kill": "maybe_errored"}
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTED = ("start", "finish", "kill")
+#: Groups of jobs or workers, however many there are.
+GROUPS = 512
+JOB = ["task_id", "subtask"]
 
 
 def states(events: DataFrame) -> DataFrame:
@@ -35,72 +40,113 @@ def _in_order(tables: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(tables)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
 
 
+class GroupState:
+    """A table of a group, kept as the bytes of a Feather file."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self._state = handle.getValueState(name, "rows binary")
+
+    def get(self) -> pd.DataFrame | None:
+        return pd.read_feather(io.BytesIO(bytes(self._state.get()[0]))) if self._state.exists() else None
+
+    def set(self, rows: pd.DataFrame) -> None:
+        if rows.empty:
+            self._state.clear()
+            return
+        out = io.BytesIO()
+        rows.reset_index(drop=True).to_feather(out)
+        self._state.update((out.getvalue(),))
+
+
 class JobStates(StatefulProcessor):
     """Per job: its last event, whether it has been killed, and how many answers have come after that."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("job", "event string, killed boolean, n_late bigint")
+        self._known = GroupState(handle, "jobs")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = _in_order(rows)["event"]
-        _, killed, n_late = self._state.get() or (None, False, 0)
-        after_kill = (own == "kill").cumsum().gt(0) | killed
-        n_late += int((after_kill & (own == "finish")).sum())
-        last = own.iloc[-1]
-        self._state.update((last, bool(after_kill.iloc[-1]), n_late))
-        yield pd.DataFrame({"task_id": [key[0]], "subtask": [key[1]], "event": [last], "state": [STATES.get(last, "pending")], "n_late": [n_late]})
+        own, known = _in_order(rows)[[*JOB, "event"]], self._known.get()
+        if known is not None:
+            own = own.merge(known[[*JOB, "killed", "n_late"]], "left", JOB)
+        else:
+            own = own.assign(killed=False, n_late=0)
+        jobs = [own[c] for c in JOB]
+        before = own["killed"].eq(True)
+        after_kill = (own["event"] == "kill").groupby(jobs, dropna=False).cumsum().gt(0) | before
+        own = own.assign(killed=after_kill, late=(after_kill & (own["event"] == "finish")).astype("int64"), n_late=own["n_late"].fillna(0).astype("int64"))
+        new = own.groupby(JOB, dropna=False, as_index=False).agg(event=("event", lambda e: e.iloc[-1]), killed=("killed", "max"), n_late=("n_late", "first"), late=("late", "sum"))
+        new = new.assign(n_late=new["n_late"] + new["late"]).drop(columns="late")
+        self._known.set(new if known is None else pd.concat([known, new], ignore_index=True).drop_duplicates(JOB, keep="last"))
+        yield new.assign(state=new["event"].map(STATES).fillna("pending"))[[*JOB, "event", "state", "n_late"]]
 
     def close(self) -> None:
         pass
 
 
 class WorkerTimeouts(StatefulProcessor):
-    """Per worker: the start that nothing has followed yet. A timer at its limit tells it as timed out; so does a later event that comes after the limit."""
+    """Per worker: the start that nothing has followed yet. A timer at its limit tells it as timed out; so does a later event that comes after the limit.
+
+    A group has one timer, at the first of its workers' limits.
+    """
 
     def __init__(self, seconds: int, by_event_time: bool):
         self._limit, self._by_event_time = 1000 * seconds, by_event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getValueState("open", "ts timestamp, seq bigint, task_id bigint, subtask bigint")
-
-    def _clear(self) -> None:
-        self._open.clear()
-        for at in list(self._handle.listTimers()):
-            self._handle.deleteTimer(at)
-
-    def _told(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"worker_id": key[0], "ts": rows["ts"], "seq": rows["seq"], "task_id": rows["task_id"], "subtask": rows["subtask"]})
+        self._open = GroupState(handle, "open")
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        self._open.set(rows)
+        wanted = [] if rows.empty else [int(rows["due"].min())]
+        timers = list(self._handle.listTimers())
+        for at in timers:
+            if at not in wanted:
+                self._handle.deleteTimer(at)
+        for at in wanted:
+            if at not in timers:
+                self._handle.registerTimer(at)
+
+    def _told(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["worker_id", "ts", "seq", *JOB]].reset_index(drop=True)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         own = _in_order(rows)
-        own = own[own["event"].isin(COUNTED)][["ts", "seq", "task_id", "subtask", "event"]]
+        own = own[own["event"].isin(COUNTED)][["worker_id", "ts", "seq", *JOB, "event"]]
         if own.empty:
             return
-        if self._open.exists():
-            own = pd.concat([pd.DataFrame([(*self._open.get(), "start")], columns=own.columns), own], ignore_index=True)
-        self._clear()
-        gap = own["ts"].shift(-1) - own["ts"]
-        yield self._told(key, own[(own["event"] == "start") & (gap > pd.Timedelta(milliseconds=self._limit))])
-        last = own.iloc[-1]
-        if last["event"] == "start":
-            self._open.update((last["ts"].to_pydatetime(), int(last["seq"]), int(last["task_id"]), int(last["subtask"])))
-            begun = int(last["ts"].timestamp() * 1000) if self._by_event_time else timerValues.getCurrentProcessingTimeInMs()
-            self._handle.registerTimer(begun + self._limit)
+        begun = own["ts"].astype("datetime64[us]").astype("int64") // 1000 if self._by_event_time else timerValues.getCurrentProcessingTimeInMs()
+        own, known = own.assign(due=begun + self._limit), self._open.get()
+        seen = own["worker_id"].unique()
+        if known is not None:
+            own = pd.concat([known[known["worker_id"].isin(seen)].assign(event="start"), own], ignore_index=True)
+        follow = own.groupby("worker_id", dropna=False)["ts"].shift(-1)
+        yield self._told(own[(own["event"] == "start") & (follow - own["ts"] > pd.Timedelta(milliseconds=self._limit))])
+        waiting = own[(own["event"] == "start") & follow.isna()].drop(columns="event")
+        self._keep(waiting if known is None else pd.concat([known[~known["worker_id"].isin(seen)], waiting], ignore_index=True))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._open.exists():
-            yield self._told(key, pd.DataFrame([self._open.get()], columns=["ts", "seq", "task_id", "subtask"]))
-            self._open.clear()
+        known = self._open.get()
+        if known is not None:
+            now = timerValues.getCurrentWatermarkInMs() if self._by_event_time else timerValues.getCurrentProcessingTimeInMs()
+            over = known["due"] <= now
+            yield self._told(known[over])
+            self._open.set(known[~over])
+            if not over.all():  # the timer that fired is taken away by itself
+                self._handle.registerTimer(int(known[~over]["due"].min()))
 
     def close(self) -> None:
         pass
 
 
+def _dealt(events: DataFrame, *by: str):
+    return events.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(GROUPS))).groupBy("_group")
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """An update a batch for each job that it tells of: last event, state, late answers so far. Update mode."""
     kinds = "task_id bigint, subtask bigint, event string, state string, n_late bigint"
-    return events.groupBy("task_id", "subtask").transformWithStateInPandas(JobStates(), kinds, "Update", "None")
+    return _dealt(events, *JOB).transformWithStateInPandas(JobStates(), kinds, "Update", "None")
 
 
 def worker_timeouts(events: DataFrame, seconds: int, by_event_time: bool = False) -> DataFrame:
@@ -111,7 +157,7 @@ def worker_timeouts(events: DataFrame, seconds: int, by_event_time: bool = False
     """
     kinds = "worker_id bigint, ts timestamp, seq bigint, task_id bigint, subtask bigint"
     mode = "EventTime" if by_event_time else "ProcessingTime"
-    return events.groupBy("worker_id").transformWithStateInPandas(WorkerTimeouts(seconds, by_event_time), kinds, "Append", mode)
+    return _dealt(events, "worker_id").transformWithStateInPandas(WorkerTimeouts(seconds, by_event_time), kinds, "Append", mode)
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
