@@ -107,7 +107,7 @@ def _folded(events: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         own = items.where(F.col("level") == level)
         if done:
             own = own.join(done[-1].select(F.col("pid").alias("child"), F.col("hash").alias("inner")), "child", "left").withColumn("value", F.coalesce("value", "inner"))
-        of = F.array_sort(F.collect_list(F.struct("place", "value", "context", "data")))
+        of = F.sort_array(F.collect_list(F.struct("place", "value", "context", "data")))
         hashes = F.aggregate("of", F.lit("0"), lambda h, x: _mixed(h, x["value"]))
         done.append(durable(own.groupBy("pid").agg(of.alias("of")).withColumn("hash", hashes)))
     return done, passages
@@ -156,6 +156,6 @@ def history_text(history: DataFrame) -> DataFrame:
     """Per passage, its history as a YAML document."""
     line = lambda name, column: F.concat(F.lit(f"    {name}:".ljust(21)), column)
     step = F.concat_ws("\n", F.concat(F.lit("  - before-hash:".ljust(21)), "before"), line("mixed-value", F.col("mixed_value")), line("mix-context", F.col("mix_context")), line("context-data", F.col("context_data")), line("after-hash", F.col("after")))
-    own = history.withColumn("step", step).groupBy("task_id", "passage", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "step", "after"))).alias("steps"))
+    own = history.withColumn("step", step).groupBy("task_id", "passage", "path").agg(F.sort_array(F.collect_list(F.struct("ord", "step", "after"))).alias("steps"))
     head = F.concat(F.lit("---\npath:            "), "path", F.lit("\nhash:            "), F.element_at("steps", -1)["after"], F.lit("\nhistory:"))
     return own.select("task_id", "passage", "path", F.concat_ws("\n", head, F.array_join(F.transform("steps", lambda s: s["step"]), "\n"), F.lit("...")).alias("text"))

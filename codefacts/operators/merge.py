@@ -32,7 +32,7 @@ def merge_symbols(symbols: DataFrame, by: list[str], order: list[str]) -> DataFr
 def merge_relationships(relations: DataFrame) -> DataFrame:
     """Relationships (symbol, target, four flags) as a set per symbol, ordered by their flags, then by target: shorter ones first."""
     one = F.struct(*FLAGS, F.octet_length("target").alias("n"), "target")
-    return relations.select("symbol", "target", *FLAGS).distinct().groupBy("symbol").agg(F.array_sort(F.collect_list(one)).alias("relationships"))
+    return relations.select("symbol", "target", *FLAGS).distinct().groupBy("symbol").agg(F.sort_array(F.collect_list(one)).alias("relationships"))
 
 
 def with_relationships(symbols: DataFrame, relations: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def forward_groups(references: DataFrame) -> DataFrame:
 
 def external_names(external: DataFrame) -> DataFrame:
     """The set of external symbols of each suffix."""
-    return external.groupBy("suffix").agg(F.array_sort(F.collect_set("symbol")).alias("names"))
+    return external.groupBy("suffix").agg(F.sort_array(F.collect_set("symbol")).alias("names"))
 
 
 def forward_by_document(documents: DataFrame, references: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def all_files(well: DataFrame, ill: DataFrame) -> DataFrame:
 
 def file_order(files: DataFrame) -> DataFrame:
     """Per unit, the order in which its files are told: those with one hash by hash and path, then those with several by path, with their hashes in order."""
-    each = files.groupBy("task_id", "path").agg(F.array_sort(F.collect_set("hash")).alias("hashes")).withColumn("is_multi", F.size("hashes") > 1)
+    each = files.groupBy("task_id", "path").agg(F.sort_array(F.collect_set("hash")).alias("hashes")).withColumn("is_multi", F.size("hashes") > 1)
     order = Window.partitionBy("task_id", "is_multi").orderBy(F.when(~F.col("is_multi"), F.get("hashes", 0)), "path", "hashes")
     return each.withColumn("place", F.row_number().over(order))
 

@@ -61,7 +61,7 @@ def snapshot(lines: DataFrame, occurrences: DataFrame, symbols: DataFrame | None
     told = occurrences.withColumn("marker", _told(F.col("roles"), F.col("symbol")))
     told = told if symbols is None else documented_lines(told, symbols)
     order = [c.alias(f"k{i}") for i, c in enumerate([*ranges.order()[1:], *ranges.by_length(F.col("symbol"))])]
-    marks = F.array_sort(F.collect_list(F.struct(*order, "roles", "marker", "start_char", "end_char", (F.col("start_line") == F.col("end_line")).alias("single"))))
+    marks = F.sort_array(F.collect_list(F.struct(*order, "roles", "marker", "start_char", "end_char", (F.col("start_line") == F.col("end_line")).alias("single"))))
     own = told.groupBy("relative_path", (F.col("start_line") + 1).alias("line_no")).agg(marks.alias("marks"))
     space, line = F.lit(" "), F.char_length("text")
     carets = lambda m: F.when(m["single"], m["end_char"] - m["start_char"]).otherwise(F.greatest(line - m["start_char"], F.lit(1)))
@@ -89,12 +89,11 @@ def nested_documents(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
 
     A document's rows meet here and nowhere before; a document is bounded by the size of a source file.
     """
-    keys = ranges.occurrence_keys(occurrences.columns)
     fields = [c for c in occurrences.columns if c != "relative_path"]
-    place = F.struct(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("order"), F.struct(*fields).alias("o"))
-    a = occurrences.groupBy("relative_path").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["o"]).alias("occurrences"))
+    place = F.struct("place", F.struct(*fields).alias("o"))  # rows are sorted as rows; lists of them, which are compared by interpreted code, are then in order already
+    a = ranked(occurrences).groupBy("relative_path").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["o"]).alias("occurrences"))
     more = ["relationships"] if "relationships" in symbols.columns else []
-    b = symbols.groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct(F.octet_length("symbol").alias("n"), "symbol", "doc", *more))).alias("symbols"))
+    b = symbols.groupBy("relative_path").agg(F.sort_array(F.collect_list(F.struct(F.octet_length("symbol").alias("n"), "symbol", "doc", *more))).alias("symbols"))
     return a.join(b, "relative_path", "full").withColumn("language", F.lit("CPP"))
 
 

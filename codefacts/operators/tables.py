@@ -24,12 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(rows: DataFrame) -> DataFrame:
-    """rows as a reliable checkpoint in the shared folder.
+    """rows as a new table in the shared folder, compressed and by columns; as a reliable checkpoint where Parquet can't hold them.
 
-    A join with a checkpoint is one of two plain shuffles, whose hot keys AQE can split; a join with an aggregate isn't.
+    A join with such a table is one of two plain shuffles, whose hot keys AQE can split; a join with an aggregate isn't. The order of rows isn't kept.
     """
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
+    names, kinds = [c.lower() for c in rows.columns], rows.schema.simpleString()
+    if not names or len(set(names)) < len(names) or "void" in kinds or "interval" in kinds:
+        shared_folder(rows.sparkSession)
+        return rows.checkpoint()
+    return written(rows, "rows")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -46,8 +49,7 @@ def written(rows: DataFrame, label: str, *by: str) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows with their place (from 1) in a total order: sorted by ranges, counted per range, and moved by what stands before."""
-    own = durable(rows.orderBy(*order))
-    own = own.withColumn("_at", F.monotonically_increasing_id())
+    own = durable(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     own = own.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
     parts = own.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))

@@ -23,7 +23,7 @@ def s01_array_commands(spark, sf_dir):
         F.when(d % 5 != 0, F.concat(F.lit("/proj/"), F.coalesce("source", F.lit("none")))).alias("directory"), F.concat(F.lit("f"), d, F.lit(".cc")).alias("file"),
         F.when(d % 3 == 0, F.lit("cc -c")).alias("command"), F.array(F.lit("cc"), F.col("text")).alias("arguments"),
     )
-    one = F.transform(F.array_sort(F.collect_list(F.struct(d, command.alias("command")))), lambda x: x["command"])
+    one = F.transform(F.sort_array(F.collect_list(F.struct(d, command.alias("command")))), lambda x: x["command"])
     path = fresh_path(spark, "databases")
     docs.groupBy(F.expr("doc_id DIV 500").alias("database")).agg(F.to_json(one).alias("value")).write.partitionBy("database").text(path)
     own = files.read_commands(spark, path)
@@ -85,7 +85,7 @@ def s05_package_files(spark, sf_dir):
     """Package maps of nations, a JSON array each, read in blocks."""
     c, path = F.col("c_custkey"), fresh_path(spark, "package-maps")
     entry = F.struct(F.concat(F.lit("/proj/{"), c, F.lit("}")).alias("path"), F.concat(F.lit("cust"), c, F.lit('@v"'), "c_nationkey").alias("package"))
-    one = F.transform(F.array_sort(F.collect_list(F.struct(c, entry.alias("entry")))), lambda x: x["entry"])
+    one = F.transform(F.sort_array(F.collect_list(F.struct(c, entry.alias("entry")))), lambda x: x["entry"])
     table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("map")).agg(F.to_json(one).alias("value")).write.partitionBy("map").text(path)
     own = files.read_packages(spark, path)
     return own.select(F.regexp_extract("file_path", "map=(-?[0-9]+)", 1).cast("int").alias("map"), F.col("ord").cast("long").alias("ord"), "path", "package")
@@ -116,7 +116,7 @@ SELECT folder, CAST(line_no AS INT) AS line_no, md5(replace(regexp_replace(line,
 def s10_source_tree(spark, sf_dir):
     """A tree of folders with a source file of 100 documents in each, read recursively."""
     d, path = F.col("doc_id"), fresh_path(spark, "source-tree")
-    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(d, F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(d, F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
     table(spark, sf_dir, "documents").groupBy(F.expr("doc_id DIV 100").alias("folder")).agg(one.alias("value")).write.partitionBy("folder").text(path)
     own = files.read_sources(spark, path)
     return own.select(F.regexp_extract("relative_path", "folder=(-?[0-9]+)/", 1).cast("long").alias("folder"), "line_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -118,7 +118,7 @@ def extra_arguments(lines: DataFrame) -> DataFrame:
     """Words of leading "// extra-args:" lines per file, in order."""
     own = leading_lines(lines, "// extra-args:")
     words = own.select("relative_path", "line_no", F.posexplode(F.split(F.btrim(F.substr("text", F.lit(15))), " +")).alias("at", "word")).where("word <> ''")
-    return words.groupBy("relative_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "at", "word"))), lambda w: w["word"]).alias("arguments"))
+    return words.groupBy("relative_path").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "at", "word"))), lambda w: w["word"]).alias("arguments"))
 
 
 def format_options(lines: DataFrame) -> DataFrame:

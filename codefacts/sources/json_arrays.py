@@ -51,7 +51,7 @@ def array_objects(spark: SparkSession, path: str) -> DataFrame:
     if cut_off:
         raise ValueError(f"arrays that don't end: {', '.join(sorted(r.file_path for r in cut_off))}")
     counted = scan(deep, ["file_path"], "place", closed=("sum", F.col("closes")))
-    parts = F.array_sort(F.collect_list(F.struct("place", "value")))
+    parts = F.sort_array(F.collect_list(F.struct("place", "value")))
     whole = counted.groupBy("file_path", (F.col("closed") - F.col("closes")).alias("ord")).agg(parts.alias("parts"), F.max("closes").alias("ends")).where("ends = 1")
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}"))
     return whole.select("file_path", "ord", F.regexp_replace(text, r"^[^{]*", "").alias("json"))
