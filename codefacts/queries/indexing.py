@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codefacts.functions.symbols import FAKE_PREFIX
 from codefacts.operators import places
-from codefacts.operators.tables import fresh_path
+from codefacts.operators.tables import durable, fresh_path
 from codefacts.plans import index
 from codefacts.queries import query, rules
 from codefacts.queries.rules import _IN, _RULE, _USABLE
@@ -18,13 +18,19 @@ _PREFIX = "cxx . m v$ T"
 
 def _facts(spark, sf_dir):
     """Facts of every kind with content hashes, ranges, documentation, and overrides of methods."""
-    n, s, q = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
-    own, more = rules.every_fact(spark, sf_dir), table(spark, sf_dir, "lineitem")
-    more = more.select(
-        F.col("l_orderkey").alias("task_id"), (F.col("l_partkey") * 10 + n).alias("seq"), (s % 2).alias("hash"), n.alias("end_line"), (q + 2).alias("end_char"),
-        F.when(n % 2 == 0, F.concat(F.lit("d "), "l_orderkey", F.lit(" "), "l_partkey")).otherwise(F.lit("")).alias("text"), F.when(s % 5 == 1, F.array(F.concat(F.lit(_PREFIX), s, F.lit("#")))).alias("overrides"),
-    )
-    own = own.join(more, ["task_id", "seq"]).withColumn("doc", F.col("text")).drop("text")
+    raw = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
+    key = F.col("l_partkey") * 10 + F.col("l_linenumber")
+    items = table(spark, sf_dir, "lineitem").select(*raw).where(F.col("l_orderkey").isNotNull() & key.isNotNull())
+    # Facts meet the rest of what is known of them by order and number. Both come from the same rows, so these are shuffled once, as they are in the table.
+    alike = items.groupBy("l_orderkey", key.alias("_key")).agg(F.collect_list(F.struct(*raw)).alias("_of"))
+    each = alike.select("_of", F.explode("_of").alias("_one")).select("_one.*", F.explode("_of").alias("_other"))
+    n, s, q, o, p = F.col("_other.l_linenumber"), F.col("_other.l_suppkey"), F.col("_other.l_quantity").cast("int"), F.col("_other.l_orderkey"), F.col("_other.l_partkey")
+    more = [
+        (s % 2).alias("hash"), n.alias("end_line"), (q + 2).alias("end_char"),
+        F.when(n % 2 == 0, F.concat(F.lit("d "), o, F.lit(" "), p)).otherwise(F.lit("")).alias("text"), F.when(s % 5 == 1, F.array(F.concat(F.lit(_PREFIX), s, F.lit("#")))).alias("overrides"),
+    ]
+    own = rules.every_fact(spark, sf_dir, each, *more)
+    own = own.withColumn("doc", F.col("text")).drop("text")
     return own.withColumn("seq", F.col("task_id") * 10 + F.col("start_line")).withColumn("task_id", F.expr("task_id DIV 50"))  # fifty orders a unit
 
 
@@ -47,7 +53,7 @@ def _includes(own):
 
 def _stored(spark, sf_dir, part):
     """A part of the index that the facts make, written and read back."""
-    own = _facts(spark, sf_dir)
+    own = durable(_facts(spark, sf_dir))  # many steps read it
     seen = own.where("path <> ''").select("task_id", "path", "hash").distinct()
     edges = base_edge(spark, sf_dir).select(*[F.concat(F.lit(_PREFIX), c, F.lit("#")).alias(c) for c in ("derived", "base")])
     whole = index.index_from_facts(own, _files(spark, sf_dir), seen, "/proj", includes=_includes(own), bases=edges)

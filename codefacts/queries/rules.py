@@ -14,9 +14,10 @@ _STATES = ["defined", "undefined", "ambiguous", "builtin"]
 _PLACE = ["task_id", "seq", "node_kind", "symbol"]
 
 
-def every_fact(spark, sf_dir):
-    """Facts of all kinds from line items: the kind by order and line, the file by part, flags and related symbols by other columns."""
-    t, p, s, o, n = table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
+def every_fact(spark, sf_dir, items=None, *more):
+    """Facts of all kinds from line items: the kind by order and line, the file by part, flags and related symbols by other columns; with more columns of items, if asked."""
+    t = table(spark, sf_dir, "lineitem") if items is None else items
+    p, s, o, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
     name = lambda k: F.concat(F.lit("cxx . m v$ T"), k, F.lit("#"))
     return t.select(
         o.alias("task_id"), (p * 10 + n).alias("seq"), F.get(F.array(*map(F.lit, KINDS)), ((o * 7 + n) % len(KINDS)).cast("int")).alias("node_kind"),
@@ -24,7 +25,7 @@ def every_fact(spark, sf_dir):
         F.when(s % 3 == 0, F.array().cast("array<string>")).when(s % 3 == 1, F.array(name(s))).otherwise(F.array(name(s), name(o), F.lit(""))).alias("related"),
         (F.col("l_returnflag") == "A").alias("is_definition"), (F.col("l_returnflag") == "R").alias("is_pure_virtual"), (F.col("l_linestatus") == "F").alias("canonical_is_definition"),
         (p % 5 == 0).alias("is_local"), (s % 17 == 0).alias("is_implicit"), F.lit(False).alias("is_builtin"), F.get(F.array(*map(F.lit, _STATES)), (p % 4).cast("int")).alias("macro_state"),
-        (p % 7 != 0).alias("is_identifier"), (s % 4 == 0).alias("is_structured"), (s % 5 == 0).alias("is_own_definition"), F.lit("").alias("doc"), n.alias("start_line"), F.col("l_quantity").cast("int").alias("start_char"),
+        (p % 7 != 0).alias("is_identifier"), (s % 4 == 0).alias("is_structured"), (s % 5 == 0).alias("is_own_definition"), F.lit("").alias("doc"), n.alias("start_line"), F.col("l_quantity").cast("int").alias("start_char"), *more,
     )
 
 
