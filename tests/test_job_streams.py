@@ -101,3 +101,13 @@ def test_timeouts_by_the_clock():
     assert seqs(job.handleExpiredTimer((1,), Clock(80_001), None)) == [5] and not handle.exists()
     assert seqs(job.handleInputRows((1,), rows((500, 6, "finish"), (510, 7, "start")), Clock(90_000))) == [] and handle.exists()
     assert seqs(job.handleInputRows((1,), rows((700, 8, "kill")), Clock(95_000))) == [7] and handle.timers == []
+
+
+def test_a_call_serves_many_jobs():
+    """A group's jobs are told in one call, and the next batch goes on from what is known of each."""
+    handle, job = Handle(), jobs.JobStates()
+    job.init(handle)
+    rows = lambda *own: iter([pd.DataFrame([(pd.Timestamp(t, unit="s"), t, 1, task, 0, e) for t, task, e in own], columns=["ts", "seq", "worker_id", "task_id", "subtask", "event"])])
+    told = lambda *own: {(r.task_id, r.event, r.state, r.n_late) for t in job.handleInputRows((3,), rows(*own), Clock(0)) for r in t.itertuples()}
+    assert told((1, 7, "start"), (3, 7, "kill"), (2, 8, "finish"), (4, 7, "finish")) == {(7, "finish", "done", 1), (8, "finish", "done", 0)}
+    assert told((5, 7, "finish"), (6, 9, "other")) == {(7, "finish", "done", 2), (9, "other", "pending", 0)}
