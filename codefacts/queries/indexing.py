@@ -26,11 +26,12 @@ def _facts(spark, sf_dir):
     each = alike.select("_of", F.explode("_of").alias("_one")).select("_one.*", F.explode("_of").alias("_other"))
     n, s, q, o, p = F.col("_other.l_linenumber"), F.col("_other.l_suppkey"), F.col("_other.l_quantity").cast("int"), F.col("_other.l_orderkey"), F.col("_other.l_partkey")
     more = [
-        (s % 2).alias("hash"), n.alias("end_line"), (q + 2).alias("end_char"),
+        (s % 2).alias("hash"), n.alias("_line"), q.alias("_char"), n.alias("end_line"), (q + 2).alias("end_char"),
         F.when(n % 2 == 0, F.concat(F.lit("d "), o, F.lit(" "), p)).otherwise(F.lit("")).alias("text"), F.when(s % 5 == 1, F.array(F.concat(F.lit(_PREFIX), s, F.lit("#")))).alias("overrides"),
     ]
     own = rules.every_fact(spark, sf_dir, each, *more)
-    own = own.withColumn("doc", F.col("text")).drop("text")
+    # Line items of one order, part and number are facts at each other's ranges, so both ends of a range come from the same one.
+    own = own.withColumns({"doc": F.col("text"), "start_line": F.col("_line"), "start_char": F.col("_char")}).drop("text", "_line", "_char")
     return own.withColumn("seq", F.col("task_id") * 10 + F.col("start_line")).withColumn("task_id", F.expr("task_id DIV 50"))  # fifty orders a unit
 
 
