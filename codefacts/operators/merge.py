@@ -70,15 +70,14 @@ def first_symbols(symbols: DataFrame) -> DataFrame:
 def resolve(suffixes: DataFrame, in_documents: DataFrame, external: DataFrame) -> DataFrame:
     """suffix, symbol and how it was found: the first in a document, else under every external name, else invented.
 
-    External names are joined to suffixes without an in-document symbol only, so others don't fan out.
+    External names are joined to suffixes without an in-document symbol only, so others don't fan out. Suffixes are read once.
     """
     keys = suffixes.select("suffix").distinct()
     d = first_symbols(in_documents).select("suffix", F.col("symbol").alias("d"))
-    found = keys.join(d, "suffix", "left")
-    open_keys = found.where("d IS NULL").select("suffix").join(external.select("suffix", F.col("symbol").alias("e")).distinct(), "suffix", "left")
-    own = found.where("d IS NOT NULL").select("suffix", F.col("d").alias("symbol"), F.lit("document").alias("found"))
-    rest = open_keys.select("suffix", F.coalesce("e", fake_symbol(F.col("suffix"))).alias("symbol"), F.when(F.col("e").isNull(), "invented").otherwise("external").alias("found"))
-    return own.unionByName(rest)
+    names = external.select(F.col("suffix").alias("_of"), F.col("symbol").alias("e")).distinct()
+    found = keys.join(d, "suffix", "left").join(names, (F.col("suffix") == F.col("_of")) & F.col("d").isNull(), "left")
+    how = F.when(F.col("d").isNotNull(), "document").when(F.col("e").isNull(), "invented").otherwise("external")
+    return found.select("suffix", F.coalesce("d", "e", fake_symbol(F.col("suffix"))).alias("symbol"), how.alias("found"))
 
 
 def forward_occurrences(references: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -103,16 +102,20 @@ def offered_docs(resolved: DataFrame, references: DataFrame) -> DataFrame:
     return resolved.select("suffix", "symbol").join(first, "suffix").groupBy("symbol").agg(F.min("first").alias("first")).select("symbol", F.col("first.doc").alias("offer"))
 
 
-def external_records(external: DataFrame, in_documents: DataFrame, references: DataFrame, resolved: DataFrame) -> DataFrame:
-    """symbol, suffix, doc of the external symbols of an index: those that remain, with their documentation patched, and the invented ones."""
-    left = patched_docs(remaining_external(external, in_documents, references).select("symbol", "suffix", "doc"), resolved, references)
-    new = resolved.where("found = 'invented'").join(offered_docs(resolved, references), "symbol", "left")
+def external_records(external: DataFrame, in_documents: DataFrame, references: DataFrame, resolved: DataFrame, offers: DataFrame | None = None) -> DataFrame:
+    """symbol, suffix, doc of the external symbols of an index: those that remain, with their documentation patched, and the invented ones.
+
+    offers: offered_docs() as a written table, where there is one.
+    """
+    offers = durable(offered_docs(resolved, references)) if offers is None else offers
+    left = patched_docs(remaining_external(external, in_documents, references).select("symbol", "suffix", "doc"), resolved, references, offers)
+    new = resolved.where("found = 'invented'").join(offers, "symbol", "left")
     return left.select("symbol", "suffix", "doc").unionByName(new.select("symbol", "suffix", F.coalesce("offer", F.lit(MISSING_DOC)).alias("doc")))
 
 
-def patched_docs(symbols: DataFrame, resolved: DataFrame, references: DataFrame) -> DataFrame:
-    """symbols (symbol, doc) where forward declarations document those that have no documentation themselves."""
-    offers = durable(offered_docs(resolved, references))
+def patched_docs(symbols: DataFrame, resolved: DataFrame, references: DataFrame, offers: DataFrame | None = None) -> DataFrame:
+    """symbols (symbol, doc) where forward declarations document those that have no documentation themselves; offers as in external_records()."""
+    offers = durable(offered_docs(resolved, references)) if offers is None else offers
     doc = F.when(is_doc(F.col("doc")), F.col("doc")).otherwise(F.coalesce("offer", "doc"))
     return symbols.join(offers, "symbol", "left").withColumn("doc", doc).drop("offer")
 

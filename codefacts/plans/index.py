@@ -26,14 +26,27 @@ def document_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("relative_path").agg(F.count("*").alias("n_occ"), F.count_distinct("symbol").alias("n_sym"), F.sum("roles").cast("long").alias("n_def"))
 
 
-def merged_parts(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame) -> dict[str, DataFrame]:
-    """What merged_index() nests, as flat rows: occurrences, symbols of documents, and external symbols."""
+FLAT = ("occurrences", "symbols", "external_symbols")
+
+
+def merged_parts(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, names: tuple[str, ...] = FLAT) -> dict[str, DataFrame]:
+    """What merged_index() nests, as flat rows: occurrences, symbols of documents, and external symbols; those of names only.
+
+    What forward declarations document is written once for all parts that need it. Occurrences don't.
+    """
     resolved = durable(merge.resolve(references, symbols, external))
-    whole = merge.append_forward(merge.merge_occurrences(occurrences), merge.forward_occurrences(references, resolved), merge.OCCURRENCE)
-    own = merge.merge_symbols(symbols, ["relative_path", "symbol"], ["is_multi", "task_id", "doc"])
-    own = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, references), relations)
-    others = merge.with_relationships(merge.external_records(external, symbols, references, resolved), relations)
-    return {"occurrences": whole, "symbols": own, "external_symbols": others.drop("suffix")}
+    out = {}
+    if "occurrences" in names:
+        out["occurrences"] = merge.append_forward(merge.merge_occurrences(occurrences), merge.forward_occurrences(references, resolved), merge.OCCURRENCE)
+    if set(names) == {"occurrences"}:
+        return out
+    offers = durable(merge.offered_docs(resolved, references))
+    if "symbols" in names:
+        own = merge.merge_symbols(symbols, ["relative_path", "symbol"], ["is_multi", "task_id", "doc"])
+        out["symbols"] = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, references, offers), relations)
+    if "external_symbols" in names:
+        out["external_symbols"] = merge.with_relationships(merge.external_records(external, symbols, references, resolved, offers), relations).drop("suffix")
+    return out
 
 
 def merged_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, project_root: str) -> dict[str, DataFrame]:

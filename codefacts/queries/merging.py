@@ -61,9 +61,9 @@ def _index(spark, sf_dir):
     return index.merged_index(occ_raw(spark, sf_dir), s.where("in_doc"), s.where("is_ext"), rel_raw(spark, sf_dir), fwd_raw(spark, sf_dir), "/proj")
 
 
-def _parts(spark, sf_dir):
+def _part(spark, sf_dir, name):
     s = sym_raw(spark, sf_dir)
-    return index.merged_parts(occ_raw(spark, sf_dir), s.where("in_doc"), s.where("is_ext"), rel_raw(spark, sf_dir), fwd_raw(spark, sf_dir))
+    return index.merged_parts(occ_raw(spark, sf_dir), s.where("in_doc"), s.where("is_ext"), rel_raw(spark, sf_dir), fwd_raw(spark, sf_dir), (name,))[name]
 
 
 _SHOWN_RELATIONS = "coalesce((SELECT string_agg(concat(CAST(r.is_definition AS INT), CAST(r.is_reference AS INT), CAST(r.is_type_definition AS INT), CAST(r.is_implementation AS INT), ' ', r.target), ',' ORDER BY r.is_definition, r.is_reference, r.is_type_definition, r.is_implementation, strlen(r.target), r.target) FROM rel_raw r WHERE r.symbol = s.symbol), '')"
@@ -78,7 +78,7 @@ def _relations_text():
     start_line, start_char, end_line, end_char, symbol, roles FROM (SELECT DISTINCT relative_path, symbol, start_line, start_char, end_line, end_char, roles FROM occ_raw
     UNION ALL SELECT w.relative_path, r.symbol, w.start_line, w.start_char, w.end_line, w.end_char, 0 FROM fwd_raw w JOIN {_RES} r ON w.suffix = r.suffix) x""")
 def k02_document_occurrences(spark, sf_dir):
-    own = render.ranked(_parts(spark, sf_dir)["occurrences"])
+    own = render.ranked(_part(spark, sf_dir, "occurrences"))
     return own.select("relative_path", (F.col("place") - 1).cast("long").alias("place"), "start_line", "start_char", "end_line", "end_char", "symbol", "roles")
 
 
@@ -86,13 +86,13 @@ def k02_document_occurrences(spark, sf_dir):
     FROM (SELECT relative_path, symbol, coalesce(arg_min(doc, (is_multi, task_id, doc)) FILTER (doc <> '' AND doc <> '{MISSING_DOC}'), '{MISSING_DOC}') AS doc FROM sym_raw WHERE in_doc GROUP BY relative_path, symbol) s LEFT JOIN {_OFFER} o ON o.symbol = s.symbol""")
 def k02_document_symbols(spark, sf_dir):
     order = Window.partitionBy("relative_path").orderBy(*ranges.by_length(F.col("symbol")))
-    own = _parts(spark, sf_dir)["symbols"].withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    own = _part(spark, sf_dir, "symbols").withColumn("place", (F.row_number().over(order) - 1).cast("long"))
     return own.select("relative_path", "place", "symbol", "doc", _relations_text())
 
 
 @query(f"SELECT s.symbol, s.doc, {_SHOWN_RELATIONS} AS relations FROM {_EXTERNAL} s")
 def k02_external_symbols(spark, sf_dir):
-    return _parts(spark, sf_dir)["external_symbols"].select("symbol", "doc", _relations_text())
+    return _part(spark, sf_dir, "external_symbols").select("symbol", "doc", _relations_text())
 
 
 @query("""SELECT o.relative_path, count(w.start_line) AS n FROM (SELECT DISTINCT relative_path FROM occ_raw WHERE roles = 1) o LEFT JOIN fwd_raw w ON o.relative_path = w.relative_path GROUP BY o.relative_path""")
