@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.functions.ranges import is_definition
+from codefacts.functions.ranges import RANGE, is_definition
 from codefacts.functions.symbols import is_doc
 from codefacts.operators import places as places_of
 
@@ -16,7 +16,7 @@ def definitions(occurrences: DataFrame) -> DataFrame:
 
 def at_position(occurrences: DataFrame, places: DataFrame) -> DataFrame:
     """Symbols under places (relative_path, line, char), with depth: 1 for the symbols of the innermost range, which may go over several lines."""
-    return places_of.holding(occurrences, places).groupBy("relative_path", "line", "char", "symbol").agg(F.min("depth").alias("depth"))
+    return places_of.holding(occurrences.select("relative_path", "symbol", *RANGE), places).groupBy("relative_path", "line", "char", "symbol").agg(F.min("depth").alias("depth"))
 
 
 def go_to_definition(occurrences: DataFrame, places: DataFrame) -> DataFrame:

@@ -67,8 +67,11 @@ def presumed(ranges: DataFrame, directives: DataFrame, block: int = BLOCK_LINES)
     return out
 
 
-def line_intervals(first: Column, last: Column) -> Column:
-    """The fewest intervals (level, at) of 2 ** level lines from at * 2 ** level on that together are the lines first to last."""
+def line_intervals(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """The fewest intervals (level, at) of 2 ** level lines from at * 2 ** level on that together are the lines first to last.
+
+    levels: above all levels that occur, so that no others are looked at.
+    """
 
     def at_level(k: Column) -> Column:
         low, high = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1), k) - 1, k), F.call_function("shiftright", last + 1, k)
@@ -77,7 +80,7 @@ def line_intervals(first: Column, last: Column) -> Column:
         right = F.when((high.bitwiseAND(F.lit(1)) == 1) & (low + odd < high), F.struct(k.alias("level"), (high - 1).alias("at")))
         return F.array(left, right)
 
-    several = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at_level)))
+    several = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at_level)))
     return F.when(first == last, F.array(F.struct(F.lit(0).alias("level"), first.alias("at")))).otherwise(several)
 
 
@@ -89,11 +92,12 @@ def holding(ranges: DataFrame, places: DataFrame) -> DataFrame:
     equality of path, length and number, and only the two ends have to be compared. Only lengths that occur are looked for.
     Innermost first: the latest start, then the earliest end; ranges that are the same have the same depth.
     """
-    own = ranges.where("end_line >= start_line")
-    intervals = line_intervals(F.col("start_line").cast("long"), F.col("end_line").cast("long"))
-    cut = own.withColumn("_in", F.explode(intervals)).withColumns({"_level": F.col("_in.level"), "_at": F.col("_in.at")}).drop("_in")
-    levels = own.select(F.explode(F.transform(intervals, lambda x: x["level"])).alias("level")).distinct()
+    own = ranges.where("end_line >= start_line").distinct()
+    lines = [F.col(c).cast("long") for c in ("start_line", "end_line")]
+    # Levels are those of the different pairs of lines, which are few; the other columns of the ranges aren't read for them.
+    levels = own.select("start_line", "end_line").distinct().select(F.explode(line_intervals(*lines)).alias("_in")).select("_in.level").distinct()
     known = sorted(r.level for r in levels.collect())  # LEVELS numbers at most
+    cut = own.withColumn("_in", F.explode(line_intervals(*lines, max(known, default=0) + 1))).withColumns({"_level": F.col("_in.level"), "_at": F.col("_in.at")}).drop("_in")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("line").cast("long"), k).alias("at")) for k in known])) if known else None
     asked = places.select("relative_path", "line", "char").distinct()
     asked = asked.withColumn("_in", each) if known else asked.withColumn("_in", F.lit(None).cast("struct<level: int, at: bigint>")).where(F.lit(False))
@@ -101,6 +105,6 @@ def holding(ranges: DataFrame, places: DataFrame) -> DataFrame:
     after_start = (F.col("start_line") < F.col("line")) | ((F.col("start_line") == F.col("line")) & (F.col("start_char") <= F.col("char")))
     before_end = (F.col("line") < F.col("end_line")) | ((F.col("line") == F.col("end_line")) & (F.col("char") < F.col("end_char")))
     on = (F.col("_path") == F.col("relative_path")) & (F.col("_of") == F.col("_level")) & (F.col("_nr") == F.col("_at")) & after_start & before_end
-    found = asked.join(cut, on).drop("_path", "_of", "_nr", "_level", "_at").distinct()
+    found = asked.join(cut, on).drop("_path", "_of", "_nr", "_level", "_at")  # different as they are: both sides are, and one interval of a range holds a place
     inner_first = Window.partitionBy("relative_path", "line", "char").orderBy(F.desc("start_line"), F.desc("start_char"), "end_line", "end_char")
     return found.withColumn("depth", F.dense_rank().over(inner_first))

@@ -71,6 +71,15 @@ def test_ranges_that_hold_a_place(spark):
     assert navigate.at_position(table.limit(0), points).count() == 0 and navigate.at_position(table, points.limit(0)).count() == 0
 
 
+def test_rows_are_made_different_before_they_meet(spark):
+    """What holds a place is many times the ranges, so it isn't shuffled once more to find equal rows."""
+    table = spark.createDataFrame([("f", "s#", 0, 2, 5, 1)] * 3 + [("f", "t#", 1, 0, 1, 9)], f"relative_path string, symbol string, {RANGE}")
+    out = places.holding(table, spark.createDataFrame([("f", 1, 4), ("f", 1, 4), ("f", 3, 0)], "relative_path string, line int, char int"))
+    assert sorted((r.line, r.symbol, r.depth) for r in out.collect()) == [(1, "s#", 2), (1, "t#", 1), (3, "s#", 1)]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "Window" in above and "Aggregate" not in above
+
+
 def test_snapshot_of_several_lines(spark):
     lines = spark.createDataFrame([("f", 1, "abcdef"), ("f", 2, "gh"), ("f", 3, "")], "relative_path string, line_no int, text string")
     occ = spark.createDataFrame([("f", "s#", 0, 2, 2, 1, 1), ("f", "s#", 0, 2, 0, 3, 0), ("f", "t#", 2, 0, 4, 1, 0)], f"relative_path string, symbol string, {RANGE}, roles int")
