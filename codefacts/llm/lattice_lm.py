@@ -68,7 +68,8 @@ class Lattice:
         self.slot_bits = 20
         starts = np.searchsorted(self.keys >> np.uint64(64 - self.slot_bits), np.arange((1 << self.slot_bits) + 1, dtype=np.uint64))
         self.first = starts[:-1].astype(np.int32)
-        self.deepest = int(np.diff(starts).max())
+        sizes = np.diff(starts)
+        self.used, self.deepest = sizes > 0, int(sizes.max())
 
     def _key(self, piece: str) -> int:
         h = 0
@@ -79,16 +80,16 @@ class Lattice:
     def _find(self, raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(places in raw, piece ids) of the spans that are pieces."""
         keys = (raw + np.uint64(size)) * np.uint64(0xBF58476D1CE4E5B9)
-        at = self.first[keys >> np.uint64(64 - self.slot_bits)]
-        rows, ids = [], []
+        slots = (keys >> np.uint64(64 - self.slot_bits)).view(np.int64)
+        rows = self.used.take(slots).nonzero()[0]  # most spans are no pieces, and most of these fall into empty slots
+        keys, at = keys.take(rows), self.first.take(slots.take(rows))
+        ids = np.full(len(rows), -1)
         for step in range(self.deepest):
             place = np.minimum(at + step, len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[place] == keys)
-            rows.append(hit)
-            ids.append(self.order[place[hit]])
-        rows, ids = np.concatenate(rows), np.concatenate(ids)
-        rows, one = np.unique(rows, return_index=True)
-        return rows, ids[one]
+            hit = ((self.keys.take(place) == keys) & (ids < 0)).nonzero()[0]
+            ids[hit] = self.order.take(place.take(hit))
+        found = (ids >= 0).nonzero()[0]
+        return rows.take(found), ids.take(found)
 
     def _edges(self, own: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(from, to, rows, ids, log scores) over words of equal length, in the order of `from`."""
@@ -156,10 +157,13 @@ class Lattice:
                 if weights is not None:
                     backward = np.full((size + 1, len(rows)), -np.inf)
                     backward[size] = 0
+                    own, shares = weights[rows], []
                     for i, j, r, ids, s in reversed(edges):
-                        backward[i, r] = np.logaddexp(backward[i, r], backward[j, r] + s)
-                        share = np.exp(forward[i, r] + s + backward[j, r] - forward[size, r]) * weights[rows[r]]
-                        uses += np.bincount(ids, share * np.where(ids == len(self.pieces), np.round(s / self.byte), 1), len(uses))
+                        after = backward[j, r] + s
+                        backward[i, r] = np.logaddexp(backward[i, r], after)
+                        share = np.exp(forward[i, r] + after - forward[size, r]) * own[r]
+                        shares.append(share if ids[0] < len(self.pieces) else share * np.round(s / self.byte))  # bytes are edges of their own
+                    uses += np.bincount(np.concatenate([e[3] for e in reversed(edges)]), np.concatenate(shares), len(uses))
         return out if weights is None else uses
 
 
