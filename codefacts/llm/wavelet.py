@@ -87,12 +87,14 @@ class WaveletMatrix:
         return sum(self.rank(k, first, end) for k in kinds)
 
     def cut(self, kinds: tuple[int, ...], first: np.ndarray, end: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """For each [first, end), the place after its first `units` units, which begin at bytes of the kinds: where the next one begins, or end."""
-        low, high = first, end
-        while (low < high).any():
-            mid = (low + high) >> 1
-            enough = self.count(kinds, first, mid + 1) > units
-            open_ = low < high
-            high = np.where(open_ & enough, mid, high)
-            low = np.where(open_ & ~enough, mid + 1, low)
+        """For each [first, end), the place after its first `units` units, which begin at bytes of the kinds: where the next one begins, or end.
+
+        Only what is still open is looked up: a place past a cut at the end of the buffer has no word.
+        """
+        low, high = first.copy(), end.copy()
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) >> 1
+            enough = self.count(kinds, first[open_], mid + 1) > units[open_]
+            high[open_[enough]] = mid[enough]
+            low[open_[~enough]] = mid[~enough] + 1
         return low

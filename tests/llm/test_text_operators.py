@@ -63,6 +63,19 @@ def test_wavelet_ranks():
     assert matrix.count(TOKENS, np.array([0, 2]), np.array([2, 6])).tolist() == [1, 3] and matrix.count(CHARACTERS, np.array([2]), np.array([6])).tolist() == [3]
 
 
+def test_cuts_at_the_end_of_a_buffer():
+    """Whatever the size of a buffer is, a cut may be at its end, while cuts of other texts are still looked for; its last texts may be empty."""
+    for size in range(140):
+        for texts in (["a " * (size // 2) + "b" * (size % 2), ""], ["a " * 40, "b" * size], ["é1", "c" * size, "", ""]):
+            data = "".join(texts).encode()
+            offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+            units = [re.findall("[A-Za-z]+|[^A-Za-z]", t) for t in texts]
+            draw = np.array([[len(u) // 2, len(u)] for u in units])
+            n, a, b, before, between = fill_middle.find_cuts(np.frombuffer(data, np.uint8), offsets, draw, TOKENS)
+            assert n.tolist() == [len(u) for u in units] and b.tolist() == offsets[1:].tolist()
+            assert before.tolist() == [len("".join(u[: len(u) // 2])) for u in units] and [data[i:j].decode() for i, j in zip(a, b, strict=True)] == ["".join(u[len(u) // 2 :]) for u in units]
+
+
 def phrase_places(text):
     words = licenses.word_list(text or "")
     return words, [(i, label) for label, p in licenses.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
