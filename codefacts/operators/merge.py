@@ -96,6 +96,12 @@ def remaining_external(external: DataFrame, in_documents: DataFrame, suffixes: D
     return external.join(defined.distinct(), "suffix", "left_anti")
 
 
+def mentions(references: DataFrame) -> DataFrame:
+    """Each suffix that references have, with their first documentation of it (task_id, doc); nulls where there is none."""
+    first = F.min(F.when(is_doc(F.col("doc")), F.struct("task_id", "doc")))
+    return references.groupBy("suffix").agg(first.alias("first")).select("suffix", "first.task_id", "first.doc")
+
+
 def offered_docs(resolved: DataFrame, references: DataFrame) -> DataFrame:
     """The first documentation (offer) that forward declarations have for each symbol. References are reduced to one a suffix first."""
     first = references.where(is_doc(F.col("doc"))).groupBy("suffix").agg(F.min(F.struct("task_id", "doc")).alias("first"))

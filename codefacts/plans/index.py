@@ -32,23 +32,38 @@ FLAT = ("occurrences", "symbols", "external_symbols")
 def merged_parts(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, names: tuple[str, ...] = FLAT) -> dict[str, DataFrame]:
     """What merged_index() nests, as flat rows: occurrences, symbols of documents, and external symbols; those of names only.
 
-    What forward declarations document is written once for all parts that need it. Occurrences don't.
+    placed: occurrences with is_forward, those of units as often as they are reported, for writers that merge them themselves.
+    What forward declarations document is written once for all parts that need it, after references are reduced to one a suffix. Occurrences don't.
     """
-    resolved = durable(merge.resolve(references, symbols, external))
-    out = {}
+    documented = bool({"symbols", "external_symbols"} & set(names))
+    mentions = durable(merge.mentions(references)) if documented else references
+    resolved = durable(merge.resolve(mentions, symbols, external))
+    out, flag = {}, "is_forward"
     if "occurrences" in names:
         out["occurrences"] = merge.append_forward(merge.merge_occurrences(occurrences), merge.forward_occurrences(references, resolved), merge.OCCURRENCE)
-    if set(names) == {"occurrences"}:
+    if "placed" in names:
+        out["placed"] = merge.append_forward(occurrences.withColumn(flag, F.lit(False)), merge.forward_occurrences(references, resolved).withColumn(flag, F.lit(True)), [*merge.OCCURRENCE, flag])
+    if not documented:
         return out
-    offers = durable(merge.offered_docs(resolved, references))
+    offers = durable(merge.offered_docs(resolved, mentions))
     if "symbols" in names:
         own = merge.merge_symbols(symbols, ["relative_path", "symbol"], ["is_multi", "task_id", "doc"])
-        out["symbols"] = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, references, offers), relations)
+        out["symbols"] = merge.with_relationships(merge.patched_docs(own.drop("n_seen"), resolved, mentions, offers), relations)
     if "external_symbols" in names:
-        out["external_symbols"] = merge.with_relationships(merge.external_records(external, symbols, references, resolved, offers), relations).drop("suffix")
+        out["external_symbols"] = merge.with_relationships(merge.external_records(external, symbols, mentions, resolved, offers), relations).drop("suffix")
     return out
 
 
+def _about(spark: SparkSession, project_root: str) -> DataFrame:
+    return spark.range(1).select(F.lit("0.4").alias("version"), F.lit("codefacts").alias("tool"), root_uri(F.lit(project_root)).alias("project_root"), F.lit("UTF8").alias("text_encoding"))
+
+
+def flat_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, project_root: str) -> dict[str, DataFrame]:
+    """The whole index as merged_index() has it, but with flat rows (placed, symbols) in place of nested documents."""
+    parts = merged_parts(occurrences, symbols, external, relations, references, ("placed", "symbols", "external_symbols"))
+    return {"metadata": _about(occurrences.sparkSession, project_root), **parts}
+
+
 def merged_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame, relations: DataFrame, references: DataFrame, project_root: str) -> dict[str, DataFrame]:
     """The whole index of a project from what its units have written: metadata, nested documents and external symbols.
 
@@ -57,8 +72,7 @@ def merged_index(occurrences: DataFrame, symbols: DataFrame, external: DataFrame
     and a range in relative_path.
     """
     parts = merged_parts(occurrences, symbols, external, relations, references)
-    about = occurrences.sparkSession.range(1).select(F.lit("0.4").alias("version"), F.lit("codefacts").alias("tool"), root_uri(F.lit(project_root)).alias("project_root"), F.lit("UTF8").alias("text_encoding"))
-    return {"metadata": about, "documents": render.nested_documents(parts["occurrences"], parts["symbols"]), "external_symbols": parts["external_symbols"]}
+    return {"metadata": _about(occurrences.sparkSession, project_root), "documents": render.nested_documents(parts["occurrences"], parts["symbols"]), "external_symbols": parts["external_symbols"]}
 
 
 def write_index(index: dict[str, DataFrame], path: str) -> None:

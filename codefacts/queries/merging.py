@@ -58,7 +58,7 @@ def j07_external_records(spark, sf_dir):
 
 def _index(spark, sf_dir):
     s = sym_raw(spark, sf_dir)
-    return index.merged_index(occ_raw(spark, sf_dir), s.where("in_doc"), s.where("is_ext"), rel_raw(spark, sf_dir), fwd_raw(spark, sf_dir), "/proj")
+    return index.flat_index(occ_raw(spark, sf_dir), s.where("in_doc"), s.where("is_ext"), rel_raw(spark, sf_dir), fwd_raw(spark, sf_dir), "/proj")
 
 
 def _part(spark, sf_dir, name):

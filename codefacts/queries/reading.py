@@ -36,7 +36,7 @@ def _protobuf(spark, sf_dir, part):
     whole = merging._index(spark, sf_dir)
     path = fresh_path(spark, "index-files")
     index_files.write_index_files(whole, path)
-    return index_files.read_index_files(spark, path)[part]
+    return index_files.read_index_files(spark, path, (part,))[part]
 
 
 def _relations_text():

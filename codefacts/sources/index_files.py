@@ -3,13 +3,14 @@
 Reading: a shard is one row of Spark's binary reader and is decoded whole by the task that has it, so a bad one gives a row that says why, and nothing
 else; the others are read. Writing: each document, each 1024 external symbols and the metadata are a fragment. Fragments are sorted
 by ranges, and each task writes its range as files of bounded size; they get their names when all tasks have ended. In the order of names they are, one after
-another, a valid index. Both ways, messages are read and written many at a time, as columns (wire_columns).
+another, a valid index. Both ways, messages are read and written many at a time, as columns (wire_columns). Documents of flat rows are shuffled once, as
+rows, and what a query reads of one part isn't written again: besides the files, an index takes the disk of that shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from codefacts.functions import ranges
 from codefacts.operators.tables import durable, numbered, written
@@ -45,8 +46,8 @@ def _filled(shard: str, n: int, columns: dict[str, pa.Array], schema: pa.Schema)
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _decoded(rows: Callable[[np.ndarray], Rows], schema: pa.Schema):
-    """A function over batches of (path, content): what rows makes of each message, or a row with a reason.
+def _decoded(rows: Callable[[np.ndarray], Rows], schema: pa.Schema, kinds: Container[str] | None = None):
+    """A function over batches of (path, content): what rows makes of each message, or a row with a reason; those of kinds only.
 
     A shard's rows are kept as columns until all of it has been read, so a task holds a few times the bytes of one shard.
     """
@@ -59,6 +60,8 @@ def _decoded(rows: Callable[[np.ndarray], Rows], schema: pa.Schema):
                 except ValueError as e:  # whatever is wrong with a shard, the others are read
                     out = [_filled(path.as_py(), 1, {"kind": pa.array(["bad"]), "reason": pa.array([str(e)[:200]])}, schema)]
                 for own in out:
+                    if kinds is not None and own.num_rows and own.column("kind")[0].as_py() not in kinds:
+                        continue
                     for i in range(0, own.num_rows, 1000):
                         yield own.slice(i, 1000)
 
@@ -117,20 +120,30 @@ def _content(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
 
-def read_index_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The parts of all shards below a folder: occurrences, symbols, external, metadata, and bad (shard, reason)."""
-    rows = _content(spark, root).mapInArrow(_decoded(_rows_of_index, _arrow(spark, _READ)), _READ)
-    rows = written(rows, "shards", "kind")
+#: The kind of rows that a part comes from.
+KINDS = {"occurrences": "document", "symbols": "document", "external": "external", "metadata": "metadata", "bad": "bad"}
+
+
+def read_index_files(spark: SparkSession, root: str, names: Container[str] = tuple(KINDS)) -> dict[str, DataFrame]:
+    """The parts of all shards below a folder: occurrences, symbols, external, metadata, and bad (shard, reason); those of names only.
+
+    A single part is read from the shards whenever it is used. For several, what the shards hold is written once, as columns.
+    """
+    own = [name for name in KINDS if name in names]
+    decoded = _decoded(_rows_of_index, _arrow(spark, _READ), {KINDS[name] for name in own})
+    rows = _content(spark, root).mapInArrow(decoded, _READ)
+    rows = rows if len(own) == 1 else written(rows, "shards", "kind")
     documents = rows.where("kind = 'document'")
     occurrences = documents.select("shard", "relative_path", F.posexplode("occurrences").alias("place", "o")).select("shard", "relative_path", "place", "o.symbol", ranges.decode(F.col("o.range")).alias("r"), "o.roles")
     told = lambda s: [F.col(f"{s}.symbol"), F.coalesce(F.get(f"{s}.documentation", 0), F.lit("")).alias("doc"), F.col(f"{s}.relationships")]
-    return {
+    parts = {
         "occurrences": occurrences.select("shard", "relative_path", "place", "symbol", *[(F.col(f"r.{c}") - 1).alias(c) for c in ranges.RANGE], "roles"),
         "symbols": documents.select("shard", "relative_path", F.posexplode("symbols").alias("place", "s")).select("shard", "relative_path", "place", *told("s")),
         "external": rows.where("kind = 'external'").select("shard", F.get("symbols", 0).alias("s")).select("shard", *told("s")),
         "metadata": rows.where("kind = 'metadata'").select("shard", "project_root"),
         "bad": rows.where("kind = 'bad'").select("shard", "reason"),
     }
+    return {name: parts[name] for name in own}
 
 
 def read_forward_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -181,6 +194,78 @@ def _documents(rows: Columns) -> dict:
     return {"documents": {"relative_path": rows["relative_path"], "language": rows["language"], "occurrences": (occurrences, n_occurrences), "symbols": (_symbols(s), n_symbols)}}
 
 
+#: What a row of a document is: an occurrence, one through a forward declaration, or a symbol.
+OCCURRENCE, FORWARD, SYMBOL, KINDS_OF_ROWS = range(4)
+#: Documents whose symbols are messages already: such a field is written as a text is.
+_DOCUMENT = {n: (name, [wire.TEXT] if name == "symbols" else kind) for n, (name, kind) in wire.DOCUMENT.items()}
+_OF_DOCUMENTS = {n: (name, [_DOCUMENT]) for n, (name, _) in wire.INDEX.items() if name == "documents"}
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
+    """Columns of whole documents: batches parted where the group changes. A document may stand in many batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("group").to_numpy()
+        cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+        if held and held[-1].column("group")[-1].as_py() != group[0]:
+            cuts = np.append(0, cuts)
+        if len(cuts):
+            held.append(batch.slice(0, cuts[-1]))
+            yield _together(held)
+            held.clear()
+        held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+    if held:
+        yield _together(held)
+
+
+def _together(batches: list[pa.RecordBatch]) -> Columns:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    return {name: rows.column(name).chunk(0) for name in rows.schema.names}
+
+
+def _by_length(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each text among the different ones, in the order of ranges.by_length, and these; a null is an empty text."""
+    own = pc.dictionary_encode(pc.fill_null(texts.cast(pa.large_string()), ""))
+    each = own.dictionary.cast(pa.large_binary())
+    order = pc.sort_indices(pa.table({"n": pc.binary_length(each), "t": each}), sort_keys=[("n", "ascending"), ("t", "ascending")])
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[own.indices.to_numpy(zero_copy_only=False)], own.dictionary.take(order)
+
+
+def _pair(numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The upper and the lower half of numbers that _halves() has made."""
+    both = _numbers(numbers).view("<i4").reshape(-1, 2).astype(np.int64)
+    return both[:, 1], both[:, 0]
+
+
+def _flat_documents(rows: Columns) -> tuple[pa.Array, dict]:
+    """The paths of documents, and the documents from their rows in any order. Occurrences of units are there once, those through forward declarations as often as they are."""
+    (document, paths), (symbol, symbols) = _by_length(rows["relative_path"]), _by_length(rows["symbol"])
+    n, (what, kind) = len(paths), np.divmod(_numbers(rows["what"]), KINDS_OF_ROWS)
+    (sl, sc), (lines, chars) = _pair(rows["start"]), _pair(rows["extent"])
+    el, ec = ((first + more).astype(np.int32).astype(np.int64) for first, more in ((sl, lines), (sc, chars)))
+    many = sl != el
+    keys = [document * 2 + (kind == SYMBOL), sl << 32 | sc + 2**31, many * 2**33 + np.where(many, el, ec), ec, symbol, what, kind]  # as ranges.occurrence_keys has them
+    order = np.lexsort(keys[::-1])
+    again = kind[order] == OCCURRENCE
+    again[:1] = False
+    for key in keys:
+        own = key[order]
+        again[1:] &= own[1:] == own[:-1]
+    told = kind[order] == SYMBOL
+    placed, told = order[~told & ~again], order[told]
+    four = np.stack([sl, sc, el, ec], axis=1)[placed]
+    kept = np.ones(four.shape, bool)
+    kept[:, 2] = many[placed]
+    occurrences = {"range": (four[kept], kept.sum(axis=1)), "symbol": symbols.take(pa.array(symbol[placed])), "roles": what[placed]}
+    each = lambda at: np.bincount(document[at], minlength=n)
+    own = {"relative_path": paths, "language": pa.array(["CPP"] * n), "occurrences": (occurrences, each(placed)), "symbols": (rows["told"].take(pa.array(told)), each(told))}
+    return paths, {"documents": (own, np.ones(n, np.int64))}
+
+
 def _externals(rows: Columns) -> dict:
     s, counts = _each(rows["of"])
     return {"external_symbols": (_symbols(s), counts)}
@@ -217,13 +302,50 @@ def fragments(rows: DataFrame, fields: wire.Fields, make: Callable[[Columns], di
     return rows.mapInArrow(run, _FRAGMENT)
 
 
+def _halves(upper: Column, lower: Column) -> Column:
+    """Two numbers as one, which takes fewer bytes in a shuffle."""
+    return F.shiftleft(upper, 32).bitwiseOR(lower.bitwiseAND(F.lit(2**32 - 1)))
+
+
+def document_fragments(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A message for each document of flat rows, in the order of paths. occurrences has is_forward.
+
+    Rows are shuffled once, by ranges of paths, and never nested: nested documents would be shuffled again to be put in order. A partition's
+    rows are sorted by one number, so that those of a document meet, and then its documents by their paths. Symbols are messages before
+    that: Spark looks at the size of a batch for Python after each row, which takes long where columns are nested.
+    """
+    path, kind = F.coalesce("relative_path", F.lit("")).alias("relative_path"), F.when(F.col("is_forward"), FORWARD).otherwise(OCCURRENCE)
+    sl, sc, el, ec = (F.coalesce(c, F.lit(0)).cast("long") for c in ranges.RANGE)
+    what = F.coalesce("roles", F.lit(0)).cast("long") * KINDS_OF_ROWS + kind
+    o = occurrences.select(path, "symbol", _halves(sl, sc).alias("start"), _halves(el - sl, ec - sc).alias("extent"), what.alias("what"), F.lit(None).cast("binary").alias("told"))
+    none = F.lit(0).cast("long")
+    own = symbols.select(path, "symbol", "doc", *[c for c in symbols.columns if c == "relationships"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = _symbols(dict(zip(batch.schema.names, batch.columns, strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], wire_columns.binary(*wire_columns.encode(wire.SYMBOL, told, batch.num_rows))], ["relative_path", "symbol", "told"])
+
+    s = own.mapInArrow(encoded, "relative_path string, symbol string, told binary").select("relative_path", "symbol", none.alias("start"), none.alias("extent"), F.lit(SYMBOL).cast("long").alias("what"), "told")
+    by_path = ranges.by_length(F.col("relative_path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _whole_documents(batches):
+            paths, documents = _flat_documents(own)
+            fragment = wire_columns.binary(*wire_columns.encode(_OF_DOCUMENTS, documents, len(paths)))
+            yield pa.RecordBatch.from_arrays([paths.cast(pa.string()), fragment], ["relative_path", "fragment"])
+
+    rows = o.unionByName(s).repartitionByRange(*by_path).withColumn("group", F.xxhash64("relative_path")).sortWithinPartitions("group")
+    return rows.mapInArrow(run, f"relative_path string, {_FRAGMENT}").sortWithinPartitions(*by_path).select("fragment")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
     at: int
 
 
-class FragmentWriter(DataSourceWriter):
+class FragmentWriter(DataSourceArrowWriter):
     """Each task writes its fragments, in files of about MOST bytes; they get the names that the next reader sees when all of them are whole."""
 
     def __init__(self, path: str):
@@ -238,14 +360,19 @@ class FragmentWriter(DataSourceWriter):
         names, out, size = [], None, 0
         store.create_dir(folder, recursive=True)
         try:
-            for row in iterator:
-                if out is None or size >= MOST:
-                    if out is not None:
-                        out.close()
-                    names.append(f"_{self._run}-{task.partitionId()}-{task.taskAttemptId()}-{len(names)}")
-                    out, size = store.open_output_stream(f"{folder}/{names[-1]}"), 0
-                out.write(row["fragment"])
-                size += len(row["fragment"])
+            for batch in iterator:
+                data, ends = wire_columns.own_bytes(batch.column("fragment"))
+                at = 0
+                while at < len(ends) - 1:
+                    if out is None or size >= MOST:
+                        if out is not None:
+                            out.close()
+                        names.append(f"_{self._run}-{task.partitionId()}-{task.taskAttemptId()}-{len(names)}")
+                        out, size = store.open_output_stream(f"{folder}/{names[-1]}"), 0
+                    to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + MOST - size))), len(ends) - 1)
+                    out.write(data[ends[at] : ends[to]])
+                    size += int(ends[to] - ends[at])
+                    at = to
         finally:
             if out is not None:
                 out.close()
@@ -286,12 +413,15 @@ def _save(rows: DataFrame, path: str) -> None:
 def write_index_files(index: dict[str, DataFrame], path: str) -> None:
     """The whole index (plans.index) as files: metadata, a fragment a document in the order of paths, external symbols by 1024 in their order.
 
-    Rows are sorted before they are encoded, and documents written before that: sorting by ranges looks at its rows twice.
+    Documents are nested ones, which are written before they are sorted (sorting by ranges looks at its rows twice), or flat parts (index.flat_index).
     """
     external = numbered(index["external_symbols"], ranges.by_length(F.col("symbol")), "place")
     groups = external.groupBy(F.floor((F.col("place") - 1) / EXTERNALS).alias("nr")).agg(F.sort_array(F.collect_list(F.struct("place", "symbol", F.coalesce("doc", F.lit(MISSING_DOC)).alias("doc"), "relationships"))).alias("of"))
-    documents = durable(index["documents"]).orderBy(*ranges.by_length(F.col("relative_path")))
-    parts = [fragments(index["metadata"], wire.INDEX, _about), fragments(documents, wire.INDEX, _documents), fragments(groups.orderBy("nr"), wire.INDEX, _externals)]
+    if "documents" in index:
+        documents = fragments(durable(index["documents"]).orderBy(*ranges.by_length(F.col("relative_path"))), wire.INDEX, _documents)
+    else:
+        documents = document_fragments(index["placed"], index["symbols"])
+    parts = [fragments(index["metadata"], wire.INDEX, _about), documents, fragments(groups.orderBy("nr"), wire.INDEX, _externals)]
     _save(parts[0].unionByName(parts[1]).unionByName(parts[2]), path)
 
 

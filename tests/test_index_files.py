@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from codefacts.operators.tables import durable
 from codefacts.plans import index
+from codefacts.queries import reading
 from codefacts.sources import index_files, wire, wire_columns
 
 
@@ -65,6 +67,47 @@ def test_index_files(spark, tmp_path):
     assert {(r.symbol, r.relationships[0]["symbol"]) for r in got["symbols"].where("size(relationships) > 0").collect()} == {("cxx . p v$ S1#", "t")}
 
 
+def test_flat_documents(spark, tmp_path):
+    """Flat rows make the same files as nested documents: rows of a document in many batches, repeated rows, ranges over lines, lone symbols."""
+    place = "relative_path string, symbol string, start_line int, start_char int, end_line int, end_char int, roles int"
+    rng = random.Random(5)
+    rows = [(f"{'d/' * (i % 3)}f{i % 11}.cc", f"S{'x' * rng.randrange(3)}é{rng.randrange(9)}#", line := rng.randrange(4), rng.randrange(3), line + rng.randrange(2), rng.randrange(4), rng.randrange(2)) for i in range(900)]
+    occurrences = spark.createDataFrame([*rows, *rows[:300]], place)
+    symbols = spark.createDataFrame([(f"f{i % 13}.cc", f"S{i}#", f"S{i}#", f"doc {i}", i, False) for i in range(60)], "relative_path string, symbol string, suffix string, doc string, task_id int, is_multi boolean")
+    external = spark.createDataFrame([("X1#", "X1#", "e")], "symbol string, suffix string, doc string")
+    relations = spark.createDataFrame([(f"S{i}#", t, True, False, True, False) for i in range(9) for t in ("u", "t")], "symbol string, target string, is_definition boolean, is_reference boolean, is_type_definition boolean, is_implementation boolean")
+    references = spark.createDataFrame([(1, "S3#", "fwd", "f1.cc", 9, 1, 9, 3)] * 2 + [(2, "S4#", "", "only/forward.cc", 2, 1, 3, 0)], "task_id int, suffix string, doc string, relative_path string, start_line int, start_char int, end_line int, end_char int")
+    inputs = (occurrences, symbols, external, relations, references, "/proj")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for name, whole in (("nested", index.merged_index(*inputs)), ("flat", index.flat_index(*inputs))):
+            index_files.write_index_files(whole, f"file://{tmp_path}/{name}")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nested, flat = (b"".join(p.read_bytes() for p in sorted((tmp_path / name).iterdir()) if p.name.startswith("index-")) for name in ("nested", "flat"))
+    assert nested == flat and len(wire.decode(wire.INDEX, flat)["documents"]) > 11
+
+
+def test_groups_of_rows_that_hold_two_documents():
+    """Paths whose hashes are equal meet in one group; their rows still make two documents."""
+    rows = {"relative_path": pa.array(["b", "a", "b", "aa"]), "symbol": pa.array(["t", "s", "t", "s"]), "start": pa.array([1 << 32, 5, 1 << 32, -1]), "extent": pa.array([4, 2, 4, 1 << 32]), "what": pa.array([index_files.KINDS_OF_ROWS, 0, index_files.KINDS_OF_ROWS, 1]), "told": pa.array([None] * 4, pa.binary())}
+    paths, of = index_files._flat_documents(rows)
+    own = of["documents"][0]
+    (o, counts), (numbers, sizes) = own["occurrences"], own["occurrences"][0]["range"]
+    assert paths.to_pylist() == ["a", "b", "aa"] and counts.tolist() == [1, 1, 1] and o["roles"].tolist() == [0, 1, 0]
+    assert numbers.tolist() == [0, 5, 7, 1, 0, 4, -1, -1, 0, -1] and sizes.tolist() == [3, 3, 4]
+
+
+def test_documents_are_written_once(spark, sf_dir, monkeypatch):
+    """Besides the files, occurrences take the disk of one shuffle: no table of documents, and none of what the files hold."""
+    tables, plans, write, save = [], [], index_files.written, index_files._save
+    monkeypatch.setattr(index_files, "durable", lambda rows: tables.append(set(rows.columns)) or durable(rows))
+    monkeypatch.setattr(index_files, "written", lambda rows, *a: tables.append(set(rows.columns)) or write(rows, *a))
+    monkeypatch.setattr(index_files, "_save", lambda rows, path: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or save(rows, path))
+    assert reading.k02_protobuf_occurrences(spark, sf_dir).count() > 10_000
+    assert not any("occurrences" in columns for columns in tables) and plans[0].count("RepartitionByExpression") == 1
+
+
 def _columns(fields, messages):
     """Messages as the columns that wire_columns takes."""
     out = {}
